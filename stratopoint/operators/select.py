@@ -61,15 +61,16 @@ def clip_coordinates(m: Sequence[float], x: Column, y: Column, z: Column) -> lis
             + F.lit(float(m[4 * i + 3])) for i in range(4)]
 
 
-def to_screen(df: DataFrame, mvp: Sequence[float], width: int, height: int) -> DataFrame:
-    """Add sx, sy (origin bottom left) and depth; depth is null behind the eye."""
+def screen_columns(mvp: Sequence[float], width: int, height: int) -> tuple[Column, Column, Column]:
+    """sx, sy (origin bottom left) and depth; depth is null behind the eye."""
     cx, cy, cz, cw = clip_coordinates(mvp, F.col("x"), F.col("y"), F.col("z"))
     w = F.when(F.abs(cw) < W_EPS, F.lit(W_EPS)).otherwise(cw)
-    return df.withColumns({
-        "sx": (cx / w * 0.5 + 0.5) * F.lit(float(width)),
-        "sy": (cy / w * 0.5 + 0.5) * F.lit(float(height)),
-        "depth": F.when(cw >= 0, cz / w),
-    })
+    return ((cx / w * 0.5 + 0.5) * F.lit(float(width)), (cy / w * 0.5 + 0.5) * F.lit(float(height)),
+            F.when(cw >= 0, cz / w))
+
+
+def to_screen(df: DataFrame, mvp: Sequence[float], width: int, height: int) -> DataFrame:
+    return df.withColumns(dict(zip(("sx", "sy", "depth"), screen_columns(mvp, width, height))))
 
 
 def on_screen() -> Column:
