@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linear import rot_z
+from ..functions.literals import constant_rows
 from ..session import cut
 from .grid import DsmGrid, dsm, dsm_quality, height_raster
 from .percentiles import quantiles
@@ -23,9 +24,9 @@ Pose = tuple[float, float, float, float]   # yaw, tx, ty, tz
 
 
 def _pose_array(poses: Sequence[Pose]):
-    return F.array(*[F.struct(F.lit(i).alias("pose"), F.lit(math.cos(a)).alias("c"), F.lit(math.sin(a)).alias("s"),
-                              *[F.lit(float(v)).alias(n) for v, n in zip(t, ("tx", "ty", "tz"))])
-                     for i, (a, *t) in enumerate(poses)])
+    rows = [{"pose": i, "c": math.cos(a), "s": math.sin(a), "tx": float(x), "ty": float(y), "tz": float(z)}
+            for i, (a, x, y, z) in enumerate(poses)]
+    return constant_rows(rows, "pose: int, c: double, s: double, tx: double, ty: double, tz: double")
 
 
 class Surface:
@@ -77,8 +78,8 @@ def yaw_scores(model: DataFrame, spectrum, centre: tuple[float, float], angles:
     Rasters of all angles are built in one aggregation; a group handed to the
     FFT is one raster, at most n x n cells.
     """
-    turns = F.array(*[F.struct(F.lit(float(a)).alias("angle"), F.lit(math.cos(math.radians(a))).alias("c"),
-                               F.lit(math.sin(math.radians(a))).alias("s")) for a in angles])
+    turns = constant_rows([{"angle": float(a), "c": math.cos(math.radians(a)), "s": math.sin(math.radians(a))} for a in angles],
+                          "angle: double, c: double, s: double")
     df = model.select("x", "y", "z", F.explode(turns).alias("t"))
     dx, dy = F.col("x") - F.lit(centre[0]), F.col("y") - F.lit(centre[1])
     turned = df.select(F.col("t.angle").alias("angle"), (F.col("t.c") * dx - F.col("t.s") * dy).alias("x"),
@@ -124,15 +125,17 @@ def coarse_yaw(model: DataFrame, target: DataFrame, res: float = 0.5, n: int = 5
 
 # sigma of the kernel, first step in metres and last step of the search at each stage
 STAGES = ((2.0, 1.0, 0.1), (1.0, 0.4, 0.02), (0.5, 0.15, 2e-4))
-STENCIL = [d for d in itertools.product((-1, 0, 1), repeat=4) if any(d)]
+# moves tried around the best pose: every axis, and every pair of axes both ways
+MOVES = [d for d in itertools.product((-1, 0, 1), repeat=4) if 1 <= sum(map(abs, d)) <= 2]
+SHRINK = (1.0, 0.5, 0.25, 0.125)
 
 
 def fit_to_dsm(model: DataFrame, target: DataFrame, yaw: float, tx: float, ty: float, res: float = 0.4) -> dict:
     """Maximise the surface score over yaw and shift, kernel narrowing in three stages.
 
-    Every round scores the whole 3^4 stencil around the best pose in one job,
-    moves to its best point or halves the step; the turn moves by two degrees
-    per metre of step.
+    Every round scores all moves around the best pose at four step sizes in one
+    job, takes the best of them, or goes on with a sixteenth of the step. The
+    turn moves by two degrees per metre of step.
     """
     surface = Surface(target, res)
     model = cut(model.select("x", "y", "z"))
@@ -143,14 +146,17 @@ def fit_to_dsm(model: DataFrame, target: DataFrame, yaw: float, tx: float, ty: f
     for sigma, step, last in STAGES:
         value = surface.scores(model, n, [pose], sigma)[0]
         while step >= last:
-            unit = (math.radians(2.0 * step), step, step, step)
-            around = [tuple(p + d * u for p, d, u in zip(pose, delta, unit)) for delta in STENCIL]
+            around, sizes = [], []
+            for size in (step * k for k in SHRINK):
+                unit = (math.radians(2.0 * size), size, size, size)
+                around += [tuple(p + d * u for p, d, u in zip(pose, move, unit)) for move in MOVES]
+                sizes += [size] * len(MOVES)
             scores = surface.scores(model, n, around, sigma)
             k = max(range(len(around)), key=lambda i: scores[i])
             if scores[k] > value:
-                pose, value = around[k], scores[k]
+                pose, value, step = around[k], scores[k], min(step, 2.0 * sizes[k])
             else:
-                step /= 2.0
+                step /= 16.0
     return {"yaw": pose[0], "t": list(pose[1:]), "inliers": value}
 
 

@@ -64,13 +64,13 @@ def back_in_place(fit, spark, sf):
 PLACE = f"{P} SELECT point_id, round(x, 2) + 0e0 AS x, round(y, 2) + 0e0 AS y, round(z, 2) + 0e0 AS z FROM fx_points"
 
 
-@query("icp_point_to_point")
+@query("icp_point_to_point", PLACE)
 def icp_point_to_point(spark, sf):
     fit = IC.icp(displaced(spark, sf), I.points(spark, sf), [6.0, 3.0], kind="point", max_iter=25)[0]
     return back_in_place(fit, spark, sf)
 
 
-@query("icp_point_to_plane")
+@query("icp_point_to_plane", PLACE)
 def icp_point_to_plane(spark, sf):
     target = IC.normals(I.points(spark, sf), 12.0)
     fit = IC.icp(displaced(spark, sf), target, [6.0, 3.0], kind="plane", max_iter=12)[0]
@@ -102,7 +102,7 @@ def surface_normals(spark, sf):
     return n.select("point_id", *[r6(F.abs(c), c) for c in ("nx", "ny", "nz")])
 
 
-@query("align_from_picked_pairs")
+@query("align_from_picked_pairs", PLACE)
 def align_from_picked_pairs(spark, sf):
     src, tgt = displaced(spark, sf), I.points(spark, sf)
     picks = src.where("z > 6").select("point_id", *[F.col(c).alias("s" + c) for c in "xyz"]).join(
