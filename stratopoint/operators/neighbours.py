@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-LEAF = 128
+LEAF = 512
 MAX_LEVEL = 10          # 4^10 cells per axis
 FRONTIER = 512          # nodes a query leaf may keep before it is split into its points
-BLOCK = 32              # leaf pairs per distance block
+BLOCK = 8               # leaf pairs per distance block: at most 512 x 4096 distances at a time
 XYZ = ("x", "y", "z")
 
 

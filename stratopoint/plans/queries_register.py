@@ -15,6 +15,7 @@ from ..operators import icp as IC
 from ..operators import transform as X
 from ..sources import rosbag as RB
 from ..sources import texts as TX
+from ..session import cut
 from ..sources.points import register
 from ..streaming import maps as ST
 from . import inputs as I
@@ -127,14 +128,15 @@ def as_messages(spark, sf) -> DataFrame:
         return pd.DataFrame([(key[0], "sensor_msgs/msg/PointCloud2", int(pdf["msg_seq"].iloc[0]) * 1000, int(pdf["msg_seq"].iloc[0]), point_message(xyz))],
                             columns=["topic", "type", "ts", "msg_seq", "data"])
 
-    rows = I.derived(spark, sf, "fx_messages").withColumn("batch", F.floor(F.col("msg_seq") / 50))
-    return rows.groupBy("topic", "batch").applyInPandas(encode, RB.MESSAGES)
+    rows = I.derived(spark, sf, "fx_messages").withColumn("batch", F.floor(F.col("msg_seq") / 500))
+    # written once: the recording is read several times, as a bag on disk would be
+    return cut(rows.groupBy("topic", "batch").applyInPandas(encode, RB.MESSAGES))
 
 
 F32 = "CAST(CAST({c} AS FLOAT) AS DOUBLE)"
 
 
-@query("bag_topics", f"{MSG} SELECT topic, 'sensor_msgs/msg/PointCloud2' AS type, count(DISTINCT floor(msg_seq / 50)) AS n FROM fx_messages GROUP BY topic")
+@query("bag_topics", f"{MSG} SELECT topic, 'sensor_msgs/msg/PointCloud2' AS type, count(DISTINCT floor(msg_seq / 500)) AS n FROM fx_messages GROUP BY topic")
 def bag_topics(spark, sf):
     m = as_messages(spark, sf)
     return RB.bag_topics(m.select("topic", "type").distinct(), m)
@@ -145,11 +147,11 @@ def decode_messages(spark, sf):
     return RB.decode_clouds(as_messages(spark, sf)).select("topic", r6("x"), r6("y"), r6("z"))
 
 
-LAST = "last AS (SELECT topic, max(floor(msg_seq / 50)) AS b FROM fx_messages GROUP BY topic)"
+LAST = "last AS (SELECT topic, max(floor(msg_seq / 500)) AS b FROM fx_messages GROUP BY topic)"
 
 
 @query("latest_message_cloud", f"{MSG}, {LAST} SELECT {s6(F32.format(c='x'), 'x')}, {s6(F32.format(c='y'), 'y')} FROM fx_messages JOIN last USING (topic) "
-       "WHERE topic = '/raw' AND floor(msg_seq / 50) = b")
+       "WHERE topic = '/raw' AND floor(msg_seq / 500) = b")
 def latest_message_cloud(spark, sf):
     return RB.bag_cloud(as_messages(spark, sf), "/raw", "last").select(r6("x"), r6("y"))
 
@@ -192,7 +194,7 @@ def streamed_progress(spark, sf):
     return _run_stream(spark, sf, lambda m: ST.progress_stream(RB.decode_clouds(m)), "complete", ["topic", "n_points"])
 
 
-@query("streamed_latest", f"{MSG}, f AS (SELECT topic, min(msg_seq) AS first FROM fx_messages GROUP BY topic, floor(msg_seq / 50)) "
+@query("streamed_latest", f"{MSG}, f AS (SELECT topic, min(msg_seq) AS first FROM fx_messages GROUP BY topic, floor(msg_seq / 500)) "
        "SELECT topic, max(first) * 1000 AS ts, max(first) AS msg_seq FROM f GROUP BY topic")
 def streamed_latest(spark, sf):
     return _run_stream(spark, sf, ST.latest_stream, "complete", ["topic", "ts", "msg_seq"])
