@@ -89,7 +89,7 @@ def in_polygon(x: Column, y: Column, poly: Sequence[Sequence[float]]) -> Column:
     return inside
 
 
-def in_polygons(df: DataFrame, edges: DataFrame, max_edges: int = 100_000) -> DataFrame:
+def in_polygons(df: DataFrame, edges: DataFrame, max_broadcast: int = 200_000) -> DataFrame:
     """(point_id, poly_id) containment for a polygon table (poly_id, seq, px, py).
 
     A polygon only meets points in the grid cells of its bounding box, so the
@@ -106,7 +106,7 @@ def in_polygons(df: DataFrame, edges: DataFrame, max_edges: int = 100_000) -> Da
 
     tiles = (poly.withColumn("gx", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1")))))
              .withColumn("gy", F.explode(F.sequence(cell(F.col("y0")), cell(F.col("y1"))))))
-    if edges.count() <= max_edges:
+    if tiles.count() <= max_broadcast:
         tiles = F.broadcast(tiles)
     joined = (df.select("point_id", "x", "y", cell(F.col("x")).alias("gx"), cell(F.col("y")).alias("gy"))
               .join(tiles, ["gx", "gy"]).where(F.col("x").between(F.col("x0"), F.col("x1"))))

@@ -17,6 +17,7 @@ from ..operators import neighbours as N
 from ..operators import raster as R
 from ..operators import transform as X
 from . import inputs as I
+from . import jobs
 from .queries_select import HEX, edge_sql
 from .registry import query, r6, s6
 
@@ -503,3 +504,39 @@ def model_to_model(spark, sf):
     a, b = model_cameras(spark, sf), I.cameras(spark, sf)
     s, r, t = T.model_to_model(a, b)
     return X.apply_similarity(a.select("cam_id", "c.x", "c.y", "c.z"), s, r, t).select("cam_id", r6("x"), r6("y"), r6("z"))
+
+
+# -------------------------------------------------------------------- jobs
+
+@query("temperature_job", f"{THERMAL} SELECT point_id, {s6('temp', 'temp')} FROM fx_points LEFT JOIN temps USING (point_id)")
+def temperature_job(spark, sf):
+    c = I.cameras(spark, sf)
+    photos = c.where("cam_id % 5 <> 4").select(F.regexp_replace("name", "_V", "_T").alias("name"), F.lit(0).alias("ord"))
+    rasters = I.thermal(C.with_optics(c, TW, TH, HFOV))
+    return jobs.temperature(I.points(spark, sf), c, photos, rasters, None, TW, TH, HFOV)[0].select("point_id", r6("temp"))
+
+
+@query("thermal_job")
+def thermal_job(spark, sf):
+    c = I.cameras(spark, sf)
+    photos = c.where("cam_id % 5 <> 4").select(F.regexp_replace("name", "_V", "_T").alias("name"), F.lit(0).alias("ord"))
+    rasters = I.images(C.with_optics(c, TW, TH, HFOV))
+    return jobs.thermal(I.points(spark, sf), c, photos, rasters, None, "jet", TW, TH, HFOV).select("point_id", "red", "green", "blue")
+
+
+@query("merge_job", f"{P} SELECT row_number() OVER (ORDER BY CASE cloud_id WHEN 2 THEN 0 ELSE 1 END, point_id) - 1 AS point_id, {s6('x', 'x')} FROM fx_points "
+       "WHERE cloud_id <> 1")
+def merge_job(spark, sf):
+    slots = spark.createDataFrame([(2, 0, True), (0, 1, True), (1, 2, False)], "cloud_id int, slot int, visible boolean")
+    return jobs.merge(I.points(spark, sf), slots).select("point_id", r6("x"))
+
+
+@query("profile_job")
+def profile_job(spark, sf):
+    return jobs.profile(I.points(spark, sf)).select("n_points", "n_valid", r6("view_radius"), r6("z_lo"), r6("z_hi"))
+
+
+@query("quality_job")
+def quality_job(spark, sf):
+    c = I.cameras(spark, sf)
+    return jobs.quality(I.points(spark, sf), c, I.images(c)).select("n_points", "n_seen", r6("mean_sd"))

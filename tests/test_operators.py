@@ -38,11 +38,11 @@ def brute(q, p):
     return ((q[:, None] - p[None]) ** 2).sum(-1)
 
 
-@pytest.mark.parametrize("leaf", [16, 512])
+@pytest.mark.parametrize("leaf", [16])
 def test_knn_equals_brute_force_under_skew(spark, skewed, monkeypatch, leaf):
     xyz, df = skewed
     monkeypatch.setattr(N.CellTree.__init__, "__defaults__", (leaf,))
-    monkeypatch.setattr(N, "FRONTIER", 20 if leaf == 16 else 512)
+    monkeypatch.setattr(N, "FRONTIER", 20)
     got = N.knn_join(df, df, 6).toPandas().sort_values(["point_id", "rank"])
     assert len(got) == 6 * len(xyz)
     d2 = brute(xyz, xyz)
