@@ -7,6 +7,7 @@ over prefix sums, so the hash of any span costs one subtraction and one product.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 U64 = np.uint64
 BLOCK_BYTES = (1 << 20) - 1    # text handled at once; one longer document is its own block
 SPACE = np.zeros(256, bool)
@@ -149,3 +152,62 @@ def carried(docs: DataFrame, made: list[str]) -> list[str]:
 def non_null_id(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows with a null id cannot be named in a result; they are left out."""
     return docs.filter(F.col(key).isNotNull())
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and continue from the files.
+
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; files there survive lost executors,
+    and later jobs start from them instead of from the source. Nothing is deleted here: a returned frame
+    may still read them, so their life is that of the checkpoint folder."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def shingles(column: pa.Array, size: int, fold_case: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``size``-word shingles of every document as sorted hashes, and their counts.
+
+    A text with fewer words is one shingle of all its words; a text without words has none."""
+    data, off = flat(column)
+    if fold_case:
+        data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    start, end, w_off = words(data, off)
+    n_words = np.diff(w_off)
+    pre = prefix(word_hashes(data, start, end), 1)
+    at, row = windows(n_words, size)
+    short = np.flatnonzero((n_words > 0) & (n_words < size))
+    keys = np.concatenate([span(pre, at, at + size, 1), span(pre, w_off[short], w_off[short + 1], 1)])
+    row = np.concatenate([row, short])
+    order = np.lexsort((keys, row))
+    keys, row = keys[order], row[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
+    return keys[first], np.bincount(row[first], minlength=len(n_words))
+
+
+def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, label) for every node of ``edges``; the label is the smallest node it is connected with.
+
+    Alternating large-star and small-star rounds: every round is a handful of aggregates and equi-joins on
+    edges, cut by a written table; only a count and a checksum of the edges reach the driver."""
+    edge = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
+    seen = None
+    while True:
+        both = edge.union(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edge = stage(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        now = edge.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        if now == seen:
+            return edge.select(F.col("u").alias("node"), F.col("v").alias("label")) \
+                .union(edge.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        seen = now

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import common, quality
+from . import common, minhash, quality
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,3 +46,26 @@ FROM f
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir, "doc_id", "text")
     return quality.line_quality(docs, _RULES, with_text=False)
+
+
+MINHASH_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws
+      FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [list_aggregate(ws, 'string_agg', ' ')]
+                                 ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS g FROM d),
+u AS (SELECT DISTINCT doc_id, g FROM s),
+n AS (SELECT doc_id, count(*) AS n FROM u GROUP BY 1),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM pair JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * i >= 85 * (p.n + q.n - i)),
+sym AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, s.y FROM reach r JOIN sym s ON r.y = s.x),
+c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) JOIN c ON c.x = doc_id
+"""
+
+
+@query("op7_near_duplicates", MINHASH_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir, "doc_id", "text")
+    return minhash.components(docs, minhash.NearDup(shingle_words=3, percent=85))
