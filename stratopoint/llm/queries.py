@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import common, minhash, quality
+from . import common, minhash, mixing, quality, substring
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -69,3 +69,57 @@ FROM documents LEFT JOIN n USING (doc_id) JOIN c ON c.x = doc_id
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir, "doc_id", "text")
     return minhash.components(docs, minhash.NearDup(shingle_words=3, percent=85))
+
+
+SUBSTRING_SQL = rf"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS word,
+                  generate_subscripts(regexp_extract_all(coalesce(text, ''), '{WORD}'), 1) AS i FROM documents),
+win AS (SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS ws FROM w),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY ws) AS low FROM win WHERE len(ws) = 13) WHERE low < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM again, range(13) r(k)),
+k AS (SELECT w.doc_id, count(*) AS n_words, count(g.i) AS n_removed, string_agg(CASE WHEN g.i IS NULL THEN word END, ' ' ORDER BY w.i) AS kept
+      FROM w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i GROUP BY 1)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN k USING (doc_id)
+"""
+
+
+@query("op9_substring_dedup", SUBSTRING_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir, "doc_id", "text")
+    return substring.remove_repeats(docs, substring.Repeats(window=13)).drop("kept_text")
+
+
+_MIX = mixing.MixTarget()
+MIXING_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS source,
+                            greatest(len(regexp_extract_all(coalesce(text, ''), '{WORD}')), 1)::BIGINT AS n_tokens FROM documents),
+t AS (SELECT source, sum(n_tokens)::BIGINT AS total FROM d GROUP BY 1),
+x AS (SELECT list(ln(total) ORDER BY source) AS x FROM t),
+ent AS (SELECT 0 AS step, 0e0 AS lo, 1e0 AS hi, 1e0 AS a, x FROM x
+        UNION ALL
+        SELECT step + 1, CASE WHEN ok THEN a ELSE lo END, CASE WHEN ok AND step > 0 THEN hi WHEN ok THEN 1e0 ELSE a END,
+               CASE WHEN ok AND step = 0 THEN 1e0 WHEN ok THEN (a + hi) / 2 ELSE (lo + a) / 2 END, x
+        FROM (SELECT *, ln(list_sum(list_transform(x, lambda v: exp(v * a))))
+                        - list_sum(list_transform(x, lambda v: v * a * exp(v * a))) / list_sum(list_transform(x, lambda v: exp(v * a)))
+                        >= {_MIX.entropy} * ln(len(x)) AS ok FROM ent) WHERE step < 41),
+rep AS (SELECT greatest(0e0, CASE WHEN list_max(x) > list_min(x) THEN 1 - ln({_MIX.max_repeats}) / (list_max(x) - list_min(x)) ELSE 0 END) AS a FROM x),
+alpha AS (SELECT greatest((SELECT lo FROM ent ORDER BY step DESC LIMIT 1), (SELECT a FROM rep)) AS a),
+w AS (SELECT source, total, greatest(round(exp(ln(total) * a) / (sum(exp(ln(total) * a)) OVER ()) * 1000000), 1)::HUGEINT AS millionths FROM t, alpha),
+b AS (SELECT *, max((total::HUGEINT * 1000000 + millionths - 1) // millionths) OVER () AS budget FROM w),
+q AS (SELECT source, total, (budget * millionths // 1000000)::BIGINT AS quota FROM b),
+n AS (SELECT ((sum(quota) + {_MIX.block_tokens} - 1) // {_MIX.block_tokens})::BIGINT AS blocks FROM q),
+e AS (SELECT doc_id, source, n_tokens, total, quota, unnest(range(quota // total + 1)) AS epoch FROM d JOIN q USING (source)),
+h AS (SELECT *, ('0x' || substr(md5('{_MIX.seed}order/' || doc_id || '/' || epoch), 1, 8))::BIGINT AS draw,
+             ('0x' || substr(md5('{_MIX.seed}place/' || doc_id || '/' || epoch), 1, 8))::BIGINT AS draw2 FROM e),
+p AS (SELECT *, epoch * total + sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY draw, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens AS first_token FROM h),
+k AS (SELECT *, (first_token::HUGEINT * blocks // quota)::BIGINT AS block FROM p, n WHERE first_token < quota)
+SELECT doc_id, source, n_tokens, epoch::BIGINT AS epoch, first_token::BIGINT AS first_token, block,
+       row_number() OVER (PARTITION BY block ORDER BY draw2, doc_id, epoch, first_token)::BIGINT AS place
+FROM k
+"""
+
+
+@query("op1_mix_sources", MIXING_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(common.documents(spark, sf_dir, "doc_id", "source", "text"), _MIX)
