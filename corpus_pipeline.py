@@ -9,8 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratopoint.llm import quality
-from stratopoint.session import ensure_checkpoint_dir, ship_package
+from stratopoint.llm import common, minhash, mixing, quality, sentencepiece_codec, substring
+from stratopoint.session import ship_package
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,18 +19,46 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.accepted(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    ship_package(spark)
+    return minhash.survivors(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document holds too are cut out."""
+    ship_package(spark)
+    return substring.without_repeats(docs, substring.Repeats(window=50, with_text=True))
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once, small sources up to twice, in permuted blocks."""
+    return mixing.mixed(docs)
+
+
+def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as SentencePiece ids."""
+    ship_package(spark)
+    return sentencepiece_codec.encode(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("minhash near-dedup", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("mixing sources", source_mixture),
+    ("sentencepiece", piece_ids),
+]
 
-#: The encoded pieces of the last stage are beyond SQL; tests compare with brute force.
+#: Best-score pieces are beyond SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read back."""
-    ensure_checkpoint_dir(spark)
-    shared = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{shared}/{i}")
-        docs = spark.read.parquet(f"{shared}/{i}")
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
     return docs

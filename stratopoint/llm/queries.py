@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import common, minhash, mixing, quality, substring
+from . import common, minhash, mixing, quality, sentencepiece_codec, substring
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -123,3 +123,8 @@ FROM k
 @query("op1_mix_sources", MIXING_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.documents(spark, sf_dir, "doc_id", "source", "text"), _MIX)
+
+
+@query("op3_sentencepiece")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.round_trip(common.documents(spark, sf_dir, "doc_id", "text"))
