@@ -10,10 +10,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -211,3 +213,60 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
             return edge.select(F.col("u").alias("node"), F.col("v").alias("label")) \
                 .union(edge.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
         seen = now
+
+
+def gather(flat_values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``starts[i] .. + sizes[i]`` of a flat array one after another, and their offsets."""
+    off = np.concatenate([[0], np.cumsum(sizes)])
+    return flat_values[np.repeat(starts - off[:-1], sizes) + np.arange(off[-1])], off
+
+
+class UnitCache:
+    """Ids of text units that a task has encoded before, by 64-bit key; emptied when it holds ``limit`` units."""
+
+    def __init__(self, limit: int = 400_000):
+        self.limit = limit
+        self._reset()
+
+    def _reset(self) -> None:
+        self.place: dict[int, int] = {}
+        self.sizes, self.starts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, solve) -> tuple[np.ndarray, np.ndarray]:
+        """All units' ids one after another, and their offsets; ``solve`` gets the new units' texts as a list."""
+        keys, where, which = np.unique(span(byte_prefix(data), starts, ends), return_index=True, return_inverse=True)
+        if len(self.place) > self.limit:
+            self._reset()
+        known, fresh, raw, base = np.empty(len(keys), np.int64), [], data.tobytes(), len(self.place)
+        for j, (key, s, e) in enumerate(zip(keys.tolist(), starts[where].tolist(), ends[where].tolist())):
+            at = self.place.get(key)
+            if at is None:
+                at = self.place[key] = base + len(fresh)
+                fresh.append(raw[s:e].decode("utf-8", "replace"))
+            known[j] = at
+        if fresh:
+            lists = solve(fresh)
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))])
+        unit = known[which]
+        return gather(self.ids, self.starts[unit], self.sizes[unit])
+
+
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path in the shared folder, and the path on it; for use in tasks."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
+def put_file(path: str, data: bytes) -> None:
+    """Write a file whole: under a name of this attempt first, then renamed, so a repeated task does no harm."""
+    fs, p = file_system(path)
+    folder, _, name = p.rpartition("/")
+    fs.create_dir(folder, recursive=True)
+    attempt = f"{folder}/_{uuid.uuid4().hex}-{name}"
+    with fs.open_output_stream(attempt) as out:
+        out.write(data)
+    fs.move(attempt, p)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import common, minhash, mixing, quality, sentencepiece_codec, substring
+from . import common, minhash, mixing, quality, sentencepiece_codec, substring, token_store
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -128,3 +128,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_sentencepiece")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(common.documents(spark, sf_dir, "doc_id", "text"))
+
+
+@query("op10_token_store")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    fmt = token_store.StoreFormat(public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.scan(spark, token_store.write(common.documents(spark, sf_dir, "doc_id", "text"), fmt))

@@ -13,7 +13,7 @@ ids may differ from those of the merge rule, while the decoded text may not.
 No piece crosses from another character into U+2581 (checked when a model is loaded), so the best
 segmentation of a text is that of its space-led units one after another; a task keeps the units it has
 already solved. One pass where the documents are read, no shuffle; memory is bounded by a block of
-text, the longest document and ``CACHED`` units.
+text, the longest document and the bounded unit cache.
 
 Defined results: null and empty texts have no pieces and decode to an empty text. Empty tables give
 empty results. Columns of the input named like a result column are replaced.
@@ -34,7 +34,6 @@ from pyspark.sql import types as T
 from . import common
 
 MADE = ["n_pieces", "pieces"]
-CACHED = 400_000
 SPACE_MARK = "▁"
 
 
@@ -89,11 +88,7 @@ class Codec:
         self.surface_size = np.array([len(s) for s in surfaces], np.int64)
         self.surface_at = np.concatenate([[0], np.cumsum(self.surface_size)])
         self.surface = np.frombuffer(b"".join(surfaces), np.uint8)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.place: dict[int, int] = {}
-        self.sizes, self.starts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.units = common.UnitCache()
 
     def segment(self, unit: str) -> list[int]:
         """The best-scoring pieces of one unit, whose spaces are already U+2581."""
@@ -139,31 +134,13 @@ class Codec:
         cut[:n] |= line
         cut[1:] |= line
         starts = np.flatnonzero(cut[:n])
-        ends = np.append(starts[1:], n)
-        keys, where, which = np.unique(common.span(common.byte_prefix(data), starts, ends), return_index=True, return_inverse=True)
-        if len(self.place) > CACHED:
-            self._reset()
-        known, new_sizes, new_ids, raw = np.empty(len(keys), np.int64), [], [], data.tobytes()
-        base = len(self.place)
-        for j, (key, u) in enumerate(zip(keys.tolist(), where.tolist())):
-            at = self.place.get(key)
-            if at is None:
-                at = self.place[key] = base + len(new_sizes)
-                ids = self.segment(raw[starts[u]: ends[u]].decode("utf-8", "replace").replace(" ", SPACE_MARK))
-                new_sizes.append(len(ids))
-                new_ids += ids
-            known[j] = at
-        sizes = np.array(new_sizes, np.int64)
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, np.array(new_ids, np.int32)])
-        unit = known[which]
-        ids, unit_off = _gather(self.ids, self.starts[unit], self.sizes[unit])
+        ids, unit_off = self.units.encode(data, starts, np.append(starts[1:], n),
+                                          lambda new: [self.segment(u.replace(" ", SPACE_MARK)) for u in new])
         return ids, unit_off[np.searchsorted(starts, off)]
 
     def decode(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all documents one after another, without the leading space, and their offsets."""
-        data, at = _gather(self.surface, self.surface_at[ids], self.surface_size[ids])
+        data, at = common.gather(self.surface, self.surface_at[ids], self.surface_size[ids])
         off = at[off]
         full = np.diff(off) > 0
         keep = np.ones(len(data), bool)
@@ -171,11 +148,6 @@ class Codec:
         return data[keep], off - np.concatenate([[0], np.cumsum(full)])
 
 
-def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    off = np.concatenate([[0], np.cumsum(sizes)])
-    return flat[np.repeat(starts - off[:-1], sizes) + np.arange(off[-1])], off
-
-
 @lru_cache(maxsize=2)
 def _codec(pieces: Pieces) -> Codec:
     return Codec(pieces)
