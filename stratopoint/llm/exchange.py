@@ -6,15 +6,20 @@ binary per key range ("bucket"); a bucket sees the keys of all chunks and return
 sent. So a piece that fills a third of the corpus still reaches a bucket once per chunk, and what is
 shuffled is a few bytes per distinct piece instead of a row.
 
+Answers are written to the shared folder and read by the tasks that go through the chunks again.
+
 The number of buckets follows the size of the input; a bucket holds about ``BUCKET_KEYS`` keys.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +36,7 @@ ANSWER_SCHEMA = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("bits
 
 
 def packed_row(chunk: int, ids: np.ndarray, data: np.ndarray, off: np.ndarray) -> list:
-    blob = pa.compress(pa.py_buffer(np.ascontiguousarray(data)), codec="zstd", asbytes=True) if len(data) else b""
+    blob = pa.Codec("zstd", compression_level=3).compress(pa.py_buffer(np.ascontiguousarray(data)), asbytes=True) if len(data) else b""
     return [[chunk], [ids.astype(np.int64).tobytes()], [off[1:].astype(np.int64).tobytes()], [len(data)], [blob]]
 
 
@@ -72,9 +77,12 @@ def cuts(top: np.ndarray, bits: int) -> np.ndarray:
     return np.searchsorted(top >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
 
 
-def answers(payloads: DataFrame, solve: Callable[[list[bytes]], list[np.ndarray]]) -> DataFrame:
-    """One row per chunk with the list of its answers: ``solve`` gets all payloads of a bucket and returns
-    a boolean array for each. Answers without a set bit are left out."""
+def answer_table(payloads: DataFrame, solve: Callable[[list[bytes]], list[np.ndarray]]) -> str:
+    """Solve all buckets and write their answers to the shared folder, one directory per part of the chunk table.
+
+    ``solve`` gets all payloads of a bucket and returns a boolean array for each; answers without a set bit are
+    left out. Tasks that go through the chunk table again read the answers of their own part, so the
+    texts are never shuffled."""
 
     def run(table: pa.Table) -> pa.Table:
         chunks, bucket = table.column("chunk").to_pylist(), table.column("bucket")[0].as_py()
@@ -82,14 +90,37 @@ def answers(payloads: DataFrame, solve: Callable[[list[bytes]], list[np.ndarray]
         rows = [(c, np.packbits(b).tobytes()) for c, b in zip(chunks, found, strict=True) if b.any()]
         return pa.table([[c for c, _ in rows], [bucket] * len(rows), [b for _, b in rows]], schema=ANSWER_SCHEMA)
 
-    return payloads.groupBy("bucket").applyInArrow(run, ANSWER).groupBy("chunk") \
-        .agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
-
-
-def bits_of(row: dict, cut: np.ndarray) -> np.ndarray:
-    """The answers of a chunk as one boolean array over its sorted keys."""
-    out = np.zeros(int(cut[-1]), bool)
-    for a in row["answers"] or ():
-        s, e = cut[a["bucket"]], cut[a["bucket"] + 1]
-        out[s:e] = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=e - s)
-    return out
+    folder = f"{common.shared_dir(payloads.sparkSession)}/answers-{uuid.uuid4().hex}"
+    payloads.groupBy("bucket").applyInArrow(run, ANSWER).withColumn("part", F.shiftright("chunk", 32)) \
+        .repartition("part").write.partitionBy("part").parquet(folder)
+    return folder
+
+
+class Answers:
+    """The answers of one part at a time, for use in a task."""
+
+    def __init__(self, folder: str):
+        self.folder, self.part = folder, -1
+        self.held: dict[int, list[tuple[int, bytes]]] = {}
+
+    def bits(self, chunk: int, cut: np.ndarray) -> np.ndarray:
+        """The answers to a chunk as one boolean array over its sorted keys, which ``cut`` divides into buckets."""
+        if chunk >> 32 != self.part:
+            self.part = chunk >> 32
+            self._load()
+        out = np.zeros(int(cut[-1]), bool)
+        for bucket, bits in self.held.get(chunk, ()):
+            s, e = cut[bucket], cut[bucket + 1]
+            out[s:e] = np.unpackbits(np.frombuffer(bits, np.uint8), count=e - s)
+        return out
+
+    def _load(self) -> None:
+        self.held = {}
+        fs, path = common.file_system(f"{self.folder}/part={self.part}")
+        if fs.get_file_info(path).type != pafs.FileType.Directory:
+            return
+        for f in fs.get_file_info(pafs.FileSelector(path)):
+            if f.path.endswith(".parquet"):
+                t = pq.ParquetFile(f.path, filesystem=fs).read(["chunk", "bucket", "bits"])
+                for chunk, bucket, bits in zip(*(t.column(i).to_pylist() for i in range(3))):
+                    self.held.setdefault(chunk, []).append((bucket, bits))

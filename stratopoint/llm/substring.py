@@ -8,7 +8,7 @@ passages run together into maximal exact repeats. Words of a repeat are removed
 also starts in a document with a smaller id.
 
 Two exchanges (see ``exchange``): truncated block keys find the candidates (a false hit costs work, not
-correctness), then full keys of more than 64 bits decide. Documents without a candidate end after the first.
+correctness), then full keys of more than 64 bits decide. The texts themselves are never shuffled.
 A key's group is reduced by counts and minima only; nothing is paired.
 
 Defined results: a null text counts as empty; empty and short texts keep all their words. Rows with a null id
@@ -31,8 +31,6 @@ MADE = ["n_words", "n_removed", "kept_sha256", "kept_text"]
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 RESULT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()),
                            ("kept_text", pa.string())])
-SECOND = RESULT + ", bucket int, payload binary, " + exchange.CHUNK + ", marks binary"
-SECOND_SCHEMA = pa.schema([*RESULT_SCHEMA, ("bucket", pa.int32()), ("payload", pa.binary()), *exchange.CHUNK_SCHEMA, ("marks", pa.binary())])
 
 
 @dataclass(frozen=True)
@@ -99,11 +97,25 @@ def _count(size: int) -> int:
     return n
 
 
+def _window_payload(key: np.ndarray, low: np.ndarray) -> bytes:
+    """Two counts, the keys, the documents, and for every key the place of its smallest document among them."""
+    docs, place = np.unique(low, return_inverse=True)
+    return np.array([len(key), len(docs)], np.int64).tobytes() + key.tobytes() + docs.tobytes() + place.astype(_place_type(len(docs))).tobytes()
+
+
+def _place_type(n: int) -> type:
+    return np.uint8 if n <= 1 << 8 else np.uint16 if n <= 1 << 16 else np.uint32
+
+
 def _solve_windows(payloads: list[bytes]) -> list[np.ndarray]:
-    """Keys that a smaller document of another chunk holds too; payload: n keys, then n smallest ids."""
-    sizes = [len(p) // 16 for p in payloads]
-    keys = np.concatenate([np.frombuffer(p, np.uint64, n) for p, n in zip(payloads, sizes)])
-    low = np.concatenate([np.frombuffer(p, np.int64, n, 8 * n) for p, n in zip(payloads, sizes)])
+    """Keys that a smaller document of another chunk holds too."""
+    sizes, keys, low = [], [], []
+    for p in payloads:
+        n, m = np.frombuffer(p, np.int64, 2).tolist()
+        sizes.append(n)
+        keys.append(np.frombuffer(p, np.uint64, n, 16))
+        low.append(np.frombuffer(p, np.int64, m, 16 + 8 * n)[np.frombuffer(p, _place_type(m), n, 16 + 8 * (n + m))])
+    keys, low = np.concatenate(keys), np.concatenate(low)
     order = np.argsort(keys)
     same = keys[order]
     first = np.flatnonzero(np.append(True, same[1:] != same[:-1]))
@@ -128,85 +140,81 @@ def _window_table(hashes: np.ndarray, at: np.ndarray, doc: np.ndarray, ids: np.n
     return r[first], k[first], low, place
 
 
-def _finished(ids, data, off, start, end, w_off, gone: np.ndarray, which: np.ndarray, with_text: bool) -> list:
-    """Result columns of the documents ``which``; ``gone`` marks removed words."""
-    n_words, removed = np.diff(w_off), common.per_row(gone, w_off)
+_ONE_SPACE = bytes(32 if i in b" \t\n\v\f\r" else i for i in range(256))
+
+
+def _finished(ids, data, off, start, end, w_off, gone: np.ndarray, with_text: bool) -> list:
+    """The result columns; ``gone`` marks removed words."""
+    removed = common.per_row(gone, w_off)
+    tight = np.diff(off) == common.per_row(end - start, w_off) + np.diff(w_off) - 1     # one white-space byte between words, none around
     raw = data.tobytes()
     sums, texts = [], []
-    for d in which:
-        here = np.arange(w_off[d], w_off[d + 1])
-        here = here[~gone[here]]
-        kept = b" ".join([raw[s:e] for s, e in zip(start[here].tolist(), end[here].tolist())])
+    for d in range(len(ids)):
+        if not removed[d] and tight[d]:
+            kept = raw[off[d]: off[d + 1]].translate(_ONE_SPACE)
+        else:
+            here = slice(w_off[d], w_off[d + 1])
+            stay = ~gone[here]
+            kept = b" ".join([raw[s:e] for s, e in zip(start[here][stay].tolist(), end[here][stay].tolist())])
         sums.append(hashlib.sha256(kept).hexdigest())
-        texts.append(kept.decode("utf-8", "replace") if with_text else None)
-    return [ids[which], n_words[which], removed[which], sums, texts]
+        texts.append(kept.decode("utf-8", "replace") if with_text and removed[d] else None)
+    return [ids, np.diff(w_off), removed, sums, texts]
+
+
+class _Chunk:
+    """A chunk's words and the windows that hold a hit block."""
+
+    def __init__(self, row: dict, p: Repeats, bits: int, hits: exchange.Answers):
+        self.ids, self.data, self.off = exchange.unpacked(row)
+        self.start, self.end, self.w_off, hashes = _words(self.data, self.off)
+        keys, at, _, _ = _block_keys(hashes, self.w_off, p.block)
+        distinct, which = np.unique(keys >> np.uint64(32 - bits), return_inverse=True)
+        hit = hits.bits(row["chunk"], exchange.cuts(distinct << np.uint64(32 - bits), bits))
+        before = np.zeros(len(self.start) + 1, np.int64)
+        before[at[hit[which]] + 1] = 1
+        before = np.cumsum(before)
+        at, doc = common.windows(np.diff(self.w_off), p.window)
+        marks = before[at + p.window - p.block + 1] > before[at]
+        self.at, self.doc = at[marks], doc[marks]
+        self.route, self.key, self.low, self.place = _window_table(hashes, self.at, self.doc, self.ids, p.window)
 
 
 def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and kept_text if asked for) per document."""
+    """doc_id, n_words, n_removed, kept_sha256 and kept_text (if asked for, of documents that lose words)."""
     chunks = exchange.pack(docs, text)
     total = chunks.agg(F.sum("size")).first()[0] or 0
     bits, bits2 = exchange.bucket_bits(total / 6), exchange.bucket_bits(total / 12)
 
-    def first(batches):
+    def probe(batches):
         for row in exchange.rows_of(batches):
             _, data, off = exchange.unpacked(row)
             _, _, w_off, hashes = _words(data, off)
             keys, _, doc, block = _block_keys(hashes, w_off, p.block)
             yield _first_payload(row["chunk"], keys >> np.uint64(32 - bits), doc, block, bits)
 
-    def second(batches):
+    hits = exchange.answer_table(chunks.mapInArrow(probe, exchange.PAYLOAD), _solve_blocks)
+
+    def extend(batches):
+        hit = exchange.Answers(hits)
         for row in exchange.rows_of(batches):
-            ids, data, off = exchange.unpacked(row)
-            start, end, w_off, hashes = _words(data, off)
-            keys, at, _, _ = _block_keys(hashes, w_off, p.block)
-            keys >>= np.uint64(32 - bits)
-            distinct = np.unique(keys)
-            hit = exchange.bits_of(row, exchange.cuts(distinct << np.uint64(32 - bits), bits))
-            hits = np.zeros(len(start) + 1, np.int64)
-            hits[1:][at[hit[np.searchsorted(distinct, keys)]]] = 1
-            hits = np.cumsum(hits)
-            at, doc = common.windows(np.diff(w_off), p.window)
-            marks = hits[at + p.window - p.block + 1] > hits[at]
-            open_doc = np.bincount(doc[marks], minlength=len(ids)) > 0
-            shut = np.flatnonzero(~open_doc)
-            if len(shut):
-                out = _finished(ids, data, off, start, end, w_off, np.zeros(len(start), bool), shut, p.with_text)
-                yield common.arrays(SECOND_SCHEMA, *[pa.array(c, f.type) for c, f in zip(out, RESULT_SCHEMA)],
-                                    *[pa.nulls(len(shut), f.type) for f in list(SECOND_SCHEMA)[len(RESULT_SCHEMA):]])
-            if not open_doc.any():
-                continue
-            route, key, low, _ = _window_table(hashes, at[marks], doc[marks], ids, p.window)
-            cut = exchange.cuts(route, bits2)
+            c = _Chunk(row, p, bits, hit)
+            cut = exchange.cuts(c.route, bits2)
             full = np.flatnonzero(np.diff(cut))
-            load = [key[cut[b]: cut[b + 1]].tobytes() + low[cut[b]: cut[b + 1]].tobytes() for b in full]
-            empty = [pa.nulls(len(full), f.type) for f in RESULT_SCHEMA]
-            yield common.arrays(SECOND_SCHEMA, *empty, full, load, np.full(len(full), row["chunk"]), *[pa.nulls(len(full), f.type) for f in list(SECOND_SCHEMA)[8:]])
-            keep = np.flatnonzero(open_doc)
-            stay = np.repeat(open_doc, np.diff(off))
-            parked = exchange.packed_row(row["chunk"], ids[keep], data[stay], np.concatenate([[0], np.cumsum(np.diff(off)[keep])]))
-            yield common.arrays(SECOND_SCHEMA, *[pa.nulls(1, f.type) for f in list(SECOND_SCHEMA)[:7]], *parked,
-                                [np.packbits(marks[open_doc[doc]]).tobytes()])
-
-    def third(batches):
+            load = [_window_payload(c.key[cut[b]: cut[b + 1]], c.low[cut[b]: cut[b + 1]]) for b in full]
+            yield common.arrays(exchange.PAYLOAD_SCHEMA, full, np.full(len(full), row["chunk"]), load)
+
+    repeats = exchange.answer_table(chunks.mapInArrow(extend, exchange.PAYLOAD), _solve_windows)
+
+    def finish(batches):
+        hit, repeated = exchange.Answers(hits), exchange.Answers(repeats)
         for row in exchange.rows_of(batches):
-            ids, data, off = exchange.unpacked(row)
-            start, end, w_off, hashes = _words(data, off)
-            at, doc = common.windows(np.diff(w_off), p.window)
-            marks = np.unpackbits(np.frombuffer(row["marks"], np.uint8), count=len(at)).astype(bool)
-            at, doc = at[marks], doc[marks]
-            route, _, low, place = _window_table(hashes, at, doc, ids, p.window)
-            earlier = exchange.bits_of(row, exchange.cuts(route, bits2))
-            again = earlier[place] | (low[place] < ids[doc])
-            gone = common.covered(at[again], p.window, len(start))
-            yield common.arrays(RESULT_SCHEMA, *_finished(ids, data, off, start, end, w_off, gone, np.arange(len(ids)), p.with_text))
-
-    asked = chunks.select("chunk", "size", "blob", "ends", "ids").mapInArrow(first, exchange.PAYLOAD)
-    told = exchange.answers(asked, _solve_blocks)
-    step = common.stage(chunks.join(told, "chunk", "left").mapInArrow(second, SECOND), "repeats")
-    told = exchange.answers(step.filter("payload IS NOT NULL").select("bucket", "chunk", "payload"), _solve_windows)
-    parked = step.filter("blob IS NOT NULL").select("chunk", "ids", "ends", "size", "blob", "marks").join(told, "chunk", "left")
-    return step.filter("doc_id IS NOT NULL").select(*RESULT_SCHEMA.names).union(parked.mapInArrow(third, RESULT))
+            c = _Chunk(row, p, bits, hit)
+            earlier = repeated.bits(row["chunk"], exchange.cuts(c.route, bits2))
+            again = earlier[c.place] | (c.low[c.place] < c.ids[c.doc])
+            gone = common.covered(c.at[again], p.window, len(c.start))
+            yield common.arrays(RESULT_SCHEMA, *_finished(c.ids, c.data, c.off, c.start, c.end, c.w_off, gone, p.with_text))
+
+    return chunks.mapInArrow(finish, RESULT)
 
 
 def without_repeats(docs: DataFrame, p: Repeats = Repeats(with_text=True), text: str = "text") -> DataFrame:
