@@ -222,37 +222,45 @@ def gather(flat_values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tu
 
 
 class UnitCache:
-    """Ids of text units that a task has encoded before, by 64-bit key; emptied when it holds ``limit`` units."""
+    """Ids of text units that a task has encoded before, in sorted arrays by 64-bit key; emptied when it holds
+    more than ``limit`` units, which bounds it to some tens of megabytes."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 1_000_000):
         self.limit = limit
         self._reset()
 
     def _reset(self) -> None:
-        self.place: dict[int, int] = {}
-        self.sizes, self.starts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.keys, self.place = np.zeros(0, U64), np.zeros(0, np.int32)
+        self.starts, self.sizes, self.ids, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.int32), 0
 
     def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, solve) -> tuple[np.ndarray, np.ndarray]:
         """All units' ids one after another, and their offsets; ``solve`` gets the new units' texts as a list."""
         keys, where, which = np.unique(span(byte_prefix(data), starts, ends), return_index=True, return_inverse=True)
-        if len(self.place) > self.limit:
+        if len(self.keys) > self.limit:
             self._reset()
-        known, fresh, raw, base = np.empty(len(keys), np.int64), [], data.tobytes(), len(self.place)
-        for j, (key, s, e) in enumerate(zip(keys.tolist(), starts[where].tolist(), ends[where].tolist())):
-            at = self.place.get(key)
-            if at is None:
-                at = self.place[key] = base + len(fresh)
-                fresh.append(raw[s:e].decode("utf-8", "replace"))
-            known[j] = at
-        if fresh:
-            lists = solve(fresh)
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))])
-        unit = known[which]
+        at = np.searchsorted(self.keys, keys)
+        fresh = np.ones(len(keys), bool)
+        inside = at < len(self.keys)
+        fresh[inside] = self.keys[at[inside]] != keys[inside]
+        if fresh.any():
+            raw, new = data.tobytes(), where[fresh]
+            self._add(keys[fresh], at[fresh], solve([raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[new].tolist(), ends[new].tolist())]))
+            at += np.cumsum(fresh) - fresh
+        unit = self.place[at][which]
         return gather(self.ids, self.starts[unit], self.sizes[unit])
 
+    def _add(self, keys: np.ndarray, at: np.ndarray, lists: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        n = int(sizes.sum())
+        if self.used + n > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + n, np.int32)])
+        self.ids[self.used: self.used + n] = np.fromiter(chain.from_iterable(lists), np.int32, n)
+        self.place = np.insert(self.place, at, np.arange(len(self.keys), len(self.keys) + len(keys), dtype=np.int32))
+        self.keys = np.insert(self.keys, at, keys)
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.used += n
+
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path in the shared folder, and the path on it; for use in tasks."""

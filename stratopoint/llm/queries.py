@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import common, minhash, mixing, quality, sentencepiece_codec, substring, token_store
+from . import common, language_id, minhash, mixing, quality, sentencepiece_codec, substring, suffix_dedup, token_store, warc
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -136,3 +136,34 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     fmt = token_store.StoreFormat(public_tokenizers.path("byte_bpe_50k.json"))
     return token_store.scan(spark, token_store.write(common.documents(spark, sf_dir, "doc_id", "text"), fmt))
+
+
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(common.documents(spark, sf_dir, "doc_id", "text")).drop("kept")
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir, "doc_id", "text", "lang").withColumn("held_out", language_id.held_out())
+    model = language_id.train(docs.filter(~F.col("held_out")))
+    return language_id.predict(docs.select("doc_id", "held_out", "text"), model)
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS low FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND low < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND low < page_id THEN low END AS refers_to
+FROM f
+"""
+
+
+@query("op6_warc", WARC_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).cast("long")
+    return warc.read(spark, folder, with_payload=False).select(
+        number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type",
+        F.when(F.col("refers_to").isNotNull(), number("refers_to")).alias("refers_to"))
