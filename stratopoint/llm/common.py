@@ -275,6 +275,6 @@ def put_file(path: str, data: bytes) -> None:
     folder, _, name = p.rpartition("/")
     fs.create_dir(folder, recursive=True)
     attempt = f"{folder}/_{uuid.uuid4().hex}-{name}"
-    with fs.open_output_stream(attempt) as out:
+    with fs.open_output_stream(attempt, compression=None) as out:
         out.write(data)
     fs.move(attempt, p)

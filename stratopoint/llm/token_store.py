@@ -136,11 +136,20 @@ class Shard:
 
 # ---- encoding -------------------------------------------------------------------------------------------------
 
+_KIND = np.zeros(256, np.uint8)                      # 1 space or line break, 2 letter, 3 digit, 4 other visible ASCII; 0 the rest
+_KIND[0x21:0x7F] = 4
+_KIND[[0x20, 0x0A]] = 1
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 2
+_KIND[0x30:0x3A] = 3
+
+
 class Encoder:
-    """The tokenizers library behind a cache of units that it never splits across.
+    """The tokenizers library behind a cache of units that its words never cross.
 
-    A single space between two characters that are no white space always begins a new word for a byte-level
-    tokenizer, so a text is the sequence of its space-led units and their ids are those of the whole text."""
+    A byte-level tokenizer begins a new word at a single space between two visible characters, around a single
+    line break between such, and where ASCII letters, digits and other signs change (an apostrophe may lead a
+    contraction, so nothing is cut behind one). A text is encoded as the sequence of these units; special tokens
+    hold several kinds of signs, so a text with "<|" is cut at spaces and line breaks only."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -153,13 +162,19 @@ class Encoder:
         n = len(data)
         if not n:
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
-        plain = (data > 0x20) & (data < 0x7F)
-        letter = plain.copy()                        # last byte of a character that is surely no white space
-        letter[1:] |= (data[1:] >= 0x80) & (data[:-1] >= 0xC3) & (data[:-1] < 0xE0)
-        begin = plain | ((data >= 0xC3) & (data < 0xE0))
+        kind = _KIND[data]
+        mark = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+        plain = np.repeat(np.diff(np.searchsorted(mark, off)) == 0, np.diff(off)) if len(mark) else np.ones(n, bool)
+        sure = kind > 1                              # last byte of a character that is surely no white space
+        sure[1:] |= (data[1:] >= 0x80) & (data[:-1] >= 0xC3) & (data[:-1] < 0xE0)
+        begin = (kind > 1) | ((data >= 0xC3) & (data < 0xE0))
+        lone = np.zeros(n, bool)                     # a space or line break between two such characters
+        lone[1:-1] = (kind[1:-1] == 1) & sure[:-2] & begin[2:]
         cut = np.zeros(n + 1, bool)
         cut[off] = True
-        cut[1: n - 1] |= (data[1:-1] == 0x20) & letter[:-2] & begin[2:]
+        cut[:n] |= lone
+        cut[1:] |= lone & (data == 0x0A)
+        cut[1:n] |= (kind[1:] != kind[:-1]) & (kind[1:] > 1) & (kind[:-1] > 1) & (data[:-1] != 0x27) & plain[1:]
         starts = np.flatnonzero(cut[:n])
         ids, unit_off = self.units.encode(data, starts, np.append(starts[1:], n), self._solve)
         return ids, unit_off[np.searchsorted(starts, off)]
