@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import common, language_id, minhash, mixing, quality, sentencepiece_codec, substring, suffix_dedup, token_store, warc
+from . import common, fingerprints, language_id, minhash, mixing, quality, sentencepiece_codec, substring, suffix_dedup, token_store, warc
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -167,3 +167,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder, with_payload=False).select(
         number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type",
         F.when(F.col("refers_to").isNotNull(), number("refers_to")).alias("refers_to"))
+
+
+@query("op4_fingerprints")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_halves(common.documents(spark, sf_dir, "doc_id", "text"))
