@@ -54,7 +54,9 @@ class SuffixRepeats:
 
 
 def anchors(data: np.ndarray, off: np.ndarray, p: SuffixRepeats):
-    """Anchor positions with their string's hash, document, and the nearest and farthest window start they stand for."""
+    """Anchor positions with their string's key, document, and the nearest and farthest window start they stand for.
+
+    Anchors have small hashes by choice; the key is a second hash, spread evenly over all values."""
     pre = common.byte_prefix(data)
     n = len(data)
     if n < p.length:
@@ -75,7 +77,7 @@ def anchors(data: np.ndarray, off: np.ndarray, p: SuffixRepeats):
     first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(anchor) else np.zeros(0, np.int64)
     last = np.append(first[1:], len(anchor)) - 1 if len(first) else first
     a = anchor[first]
-    return a, keys[a], doc[first], a - start[last], a - start[first], pre
+    return a, common.mix(keys[a]), doc[first], a - start[last], a - start[first], pre
 
 
 def _count_payload(chunk: int, keys: np.ndarray, bits: int) -> pa.RecordBatch:
