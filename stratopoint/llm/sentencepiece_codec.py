@@ -121,6 +121,7 @@ class Codec:
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents one after another, and where each document's ids begin."""
+        data, off = _marks_as_spaces(data, off)
         full = np.diff(off) > 0
         data = np.insert(data, off[:-1][full], 32)
         off = off + np.concatenate([[0], np.cumsum(full)])
@@ -148,6 +149,18 @@ class Codec:
         return data[keep], off - np.concatenate([[0], np.cumsum(full)])
 
 
+def _marks_as_spaces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's own U+2581 counts as a space, as it does for the model."""
+    at = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)) if len(data) > 2 else np.zeros(0, np.int64)
+    if not len(at):
+        return data, off
+    keep = np.ones(len(data), bool)
+    keep[at + 1] = keep[at + 2] = False
+    data = data.copy()
+    data[at] = 32
+    return data[keep], np.concatenate([[0], np.cumsum(keep)])[off]
+
+
 @lru_cache(maxsize=2)
 def _codec(pieces: Pieces) -> Codec:
     return Codec(pieces)

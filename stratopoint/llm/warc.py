@@ -103,6 +103,7 @@ def write(pages: DataFrame, folder: str | None = None, a: Archive = Archive(), k
         if held:
             yield close()
 
+    common.make_dir(f"{folder}/records")
     rows.join(revisits, "page_id", "left").mapInArrow(run, "path string, records long").write.parquet(f"{folder}/files")
     return folder
 
