@@ -269,6 +269,11 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
+def make_dir(path: str) -> None:
+    fs, p = file_system(path)
+    fs.create_dir(p, recursive=True)
+
+
 def put_file(path: str, data: bytes) -> None:
     """Write a file whole: under a name of this attempt first, then renamed, so a repeated task does no harm."""
     fs, p = file_system(path)

@@ -52,7 +52,7 @@ class StoreFormat:
 # ---- minimal perfect hash -------------------------------------------------------------------------------------
 
 def _bit(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-    return common.mix(keys.astype(U64) + U64(0x9E3779B97F4A7C15) * U64(2 * level + 1)) % U64(size)
+    return common.mix(keys.astype(U64) + U64(0x9E3779B97F4A7C15 * (2 * level + 1) & (1 << 64) - 1)) % U64(size)
 
 
 def build_index(keys: np.ndarray, load: float) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -229,6 +229,7 @@ def write(docs: DataFrame, fmt: StoreFormat, folder: str | None = None, text: st
 
     docs = common.non_null_id(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text)
     ordered = docs.repartitionByRange(common.shuffle_width(docs), "doc_id").sortWithinPartitions("doc_id")
+    common.make_dir(f"{folder}/shards")
     ordered.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return folder
 
@@ -263,16 +264,11 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
                 yield common.arrays(schema, np.full(n, part, np.int32), np.full(n, number, np.int32), shard.keys, shard.off[place],
                                     shard.off[place + 1] - shard.off[place], crc)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(f"{folder}/shards") if _has_shards(spark, folder) \
-        else spark.createDataFrame([], "path string, content binary")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(f"{folder}/shards")
     docs = files.select("path", "content").mapInArrow(run, "part int, number int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return docs.join(_starts(spark, folder), ["part", "number"]).select("doc_id", (F.col("shard_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def _has_shards(spark: SparkSession, folder: str) -> bool:
-    return not spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").isEmpty()
-
-
 def lookup(keys: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
     """(doc_id, ids) for the keys that the store holds. Keys are routed by the shards' key ranges (a sorted list
     with one entry per shard of ``shard_tokens`` ids), then every shard is opened once for all its keys."""
