@@ -14,12 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.linear import rot_z
 from ..functions.literals import constant_rows
 from ..session import cut
-from .grid import DsmGrid, dsm, dsm_quality, height_raster
+from .grid import DsmGrid, dsm, dsm_quality, height_raster, top_angles
 from .percentiles import quantiles
-from .transform import stride_sample
 
 BROADCAST_CELLS = 2_000_000
-MIN_HITS = 500
 Pose = tuple[float, float, float, float]   # yaw, tx, ty, tz
 
 
@@ -37,11 +35,11 @@ class Surface:
         self.cells = cut(dsm(target, res, self.grid))
         self.small = self.cells.count() <= BROADCAST_CELLS
 
-    def scores(self, model: DataFrame, n_model: int, poses: Sequence[Pose], sigma: float) -> list[float]:
+    def scores(self, model: DataFrame, n_model: int, poses: Sequence[Pose], sigma: float, min_hits: int = 500) -> list[float]:
         """Robust kernel score of every pose, all poses in one job.
 
-        sum exp(-(r / sigma)^2) / n_model; 0 when fewer than 500 points fall in
-        the window or on occupied cells.
+        sum exp(-(r / sigma)^2) / n_model; 0 when fewer than ``min_hits`` points fall in
+        the window or on occupied cells, a fit to a corner being no fit.
         """
         df = model.select("x", "y", "z", F.explode(_pose_array(poses)).alias("p"))
         x = F.col("p.c") * F.col("x") - F.col("p.s") * F.col("y") + F.col("p.tx")
@@ -56,7 +54,7 @@ class Surface:
                 .agg(F.count(F.lit(1)).alias("n"), F.count("surface").alias("m"), F.sum(F.exp(-r * r)).alias("s")).collect())
         out = [0.0] * len(poses)
         for row in rows:
-            if row["n"] >= MIN_HITS and row["m"] >= MIN_HITS:
+            if min(row["n"], row["m"]) >= min_hits:
                 out[row["pose"]] = row["s"] / n_model
         return out
 
@@ -73,10 +71,9 @@ def _centre(model: DataFrame) -> tuple[float, float]:
 
 
 def yaw_scores(model: DataFrame, spectrum, centre: tuple[float, float], angles: Sequence[float], res: float, n: int) -> DataFrame:
-    """angle, score, px, py: best circular shift of the turned model raster against the target's.
+    """angle, score and the circular shift (px, py) with which the turned model's raster fits the target's best.
 
-    Rasters of all angles are built in one aggregation; a group handed to the
-    FFT is one raster, at most n x n cells.
+    One aggregation builds the rasters of all angles; a group handed to the transform is one raster of n x n cells.
     """
     turns = constant_rows([{"angle": float(a), "c": math.cos(math.radians(a)), "s": math.sin(math.radians(a))} for a in angles],
                           "angle: double, c: double, s: double")
@@ -84,43 +81,62 @@ def yaw_scores(model: DataFrame, spectrum, centre: tuple[float, float], angles:
     dx, dy = F.col("x") - F.lit(centre[0]), F.col("y") - F.lit(centre[1])
     turned = df.select(F.col("t.angle").alias("angle"), (F.col("t.c") * dx - F.col("t.s") * dy).alias("x"),
                        (F.col("t.s") * dx + F.col("t.c") * dy).alias("y"), "z")
-    cells = height_raster(turned, 0.0, 0.0, res, n, by=["angle"])
 
-    def correlate(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        img = np.zeros((n, n), np.float32)
-        img[pdf["iy"].to_numpy(), pdf["ix"].to_numpy()] = pdf["value"].to_numpy()
-        r = np.fft.irfft2(spectrum.value * np.conj(np.fft.rfft2(img)), s=(n, n))
-        py, px = divmod(int(np.argmax(r)), n)
-        px, py = (v - n if v > n // 2 else v for v in (px, py))
-        return pd.DataFrame({"angle": [key[0]], "score": [float(r.max())], "px": [px], "py": [py]})
+    def correlate(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+        product = spectrum.value * np.conj(np.fft.rfft2(_raster(cells, n)))
+        fit = pd.Series(np.fft.irfft2(product, s=(n, n)).ravel())
+        return pd.DataFrame({"angle": [key[0]], "score": [float(fit.max())], "cell": [int(fit.idxmax())]})
 
-    return cells.groupBy("angle").applyInPandas(correlate, "angle double, score double, px int, py int")
+    half = n // 2 - 1
+    wrapped = [(F.pmod(c + F.lit(half), F.lit(n)) - F.lit(half)).cast("int") for c in (F.col("cell") % n, F.floor(F.col("cell") / n))]
+    best = height_raster(turned, 0.0, 0.0, res, n, by=["angle"]).groupBy("angle").applyInPandas(correlate, "angle double, score double, cell long")
+    return best.select("angle", "score", wrapped[0].alias("px"), wrapped[1].alias("py"))
 
 
-def coarse_yaw(model: DataFrame, target: DataFrame, res: float = 0.5, n: int = 512, step: float = 2.0) -> dict:
-    """Turn and plan shift by correlating height rasters over the full circle, then in quarter degrees."""
+def _raster(cells: pd.DataFrame, n: int) -> np.ndarray:
+    out = np.zeros(n * n, np.float32)
+    out[(cells["iy"] * n + cells["ix"]).to_numpy()] = cells["value"].to_numpy()
+    return out.reshape(n, n)
+
+
+def window_cells(target: DataFrame, middle: tuple[float, float], model: DataFrame, centre: tuple[float, float], res: float, most: int = 8192) -> int:
+    """Cells per side of a square raster that holds the target about ``middle`` and the model about ``centre`` at any turn.
+
+    A power of two; raises where it would exceed ``most``, since a raster is the unit of one task."""
+    def reach(df: DataFrame, at: tuple[float, float]) -> float:
+        return df.agg(F.max(F.hypot(F.col("x") - F.lit(at[0]), F.col("y") - F.lit(at[1])))).first()[0] or 0.0
+
+    n = 1 << max(4, math.ceil(math.log2(2 * (max(reach(target, middle), reach(model, centre)) / res + 2))))
+    if n > most:
+        raise ValueError(f"{n} cells of {res} m per side are more than {most}: choose a coarser res or remove stray points")
+    return n
+
+
+def coarse_yaw(model: DataFrame, target: DataFrame, res: float = 0.5, n: int | None = None, step: float = 2.0, fine: float = 0.25) -> dict:
+    """Turn and plan shift by correlating height rasters over the full circle, then in quarter degrees around the best.
+
+    ``n`` cells per side; by default as many as both clouds need, so nothing is cut off. ``second`` is the best
+    score more than ten degrees from the winner.
+    """
     mean = target.agg(F.avg("x").alias("x"), F.avg("y").alias("y")).first()
+    middle = (mean["x"], mean["y"])
     model = cut(model.select("x", "y", "z"))
     centre = _centre(model)
-    cells = height_raster(target, mean["x"], mean["y"], res, n).toPandas()   # at most n * n rows
-    img = np.zeros((n, n), np.float32)
-    img[cells["iy"].to_numpy(), cells["ix"].to_numpy()] = cells["value"].to_numpy()
-    spectrum = model.sparkSession.sparkContext.broadcast(np.fft.rfft2(img))
-
-    def run(angles) -> list[tuple[float, float, int, int]]:
-        return sorted((r["angle"], r["score"], r["px"], r["py"]) for r in yaw_scores(model, spectrum, centre, angles, res, n).collect())
-
-    coarse = run(np.arange(0.0, 360.0, step))
-    best = max(coarse, key=lambda r: r[1])
-    for r in run(np.arange(best[0] - step, best[0] + step + 1e-9, 0.25)):
-        if r[1] > best[1]:
-            best = r
-    ranked = sorted(coarse, key=lambda r: (-r[1], r[0]))
-    second = next((r[1] for r in ranked if abs((r[0] - best[0] + 180.0) % 360.0 - 180.0) > 10.0), 0.0)
-    yaw = math.radians(best[0])
-    shift = np.array([mean["x"], mean["y"]]) + np.array(best[2:]) * res - rot_z(yaw)[:2, :2] @ np.array(centre)
-    return {"yaw": yaw, "tx": float(shift[0]), "ty": float(shift[1]), "score": best[1], "second": second,
-            "ratio": best[1] / second if second > 0 else math.inf, "top": [(r[0], r[1]) for r in ranked[:5]]}
+    n = n or window_cells(target, middle, model, centre, res)
+    cells = height_raster(target, *middle, res, n).toPandas()                 # n * n rows at most
+    spectrum = model.sparkSession.sparkContext.broadcast(np.fft.rfft2(_raster(cells, n)))
+
+    circle = cut(yaw_scores(model, spectrum, centre, np.arange(0.0, 360.0, step), res, n))
+    top = top_angles(circle)[0].collect()
+    around = [top[0]["angle"] + k * fine for k in range(1 - round(step / fine), round(step / fine)) if k]
+    close = yaw_scores(model, spectrum, centre, around, res, n) if around else circle.limit(0)
+    won = circle.union(close).agg(F.max_by(F.struct("*"), F.struct("score", -F.abs(F.col("angle") - F.lit(top[0]["angle"])), -F.col("angle")))).first()[0]
+    second = top_angles(circle, winner=won["angle"])[1].first()["second"]
+    turn = rot_z(math.radians(won["angle"]))
+    moved = turn @ np.array([*centre, 0.0])
+    return {"yaw": math.radians(won["angle"]), "tx": float(middle[0] + res * won["px"] - moved[0]), "ty": float(middle[1] + res * won["py"] - moved[1]),
+            "score": won["score"], "second": second, "ratio": won["score"] / second if second > 0 else math.inf,
+            "top": [(r["angle"], r["score"]) for r in top]}
 
 
 # sigma of the kernel, first step in metres and last step of the search at each stage
@@ -160,12 +176,11 @@ def fit_to_dsm(model: DataFrame, target: DataFrame, yaw: float, tx: float, ty: f
     return {"yaw": pose[0], "t": list(pose[1:]), "inliers": value}
 
 
-def auto_align(model: DataFrame, target: DataFrame, limit: int = 400_000) -> dict:
-    """Coarse turn, fine fit and the quality report; a large target is strided first."""
-    thin = stride_sample(target, limit)
-    coarse = coarse_yaw(model, thin)
-    fine = fit_to_dsm(model, thin, coarse["yaw"], coarse["tx"], coarse["ty"])
-    q = dsm_quality(model, thin, fine["yaw"], fine["t"]).first()
+def auto_align(model: DataFrame, target: DataFrame) -> dict:
+    """Coarse turn, fine fit and the quality report, over all points of both clouds."""
+    coarse = coarse_yaw(model, target)
+    fine = fit_to_dsm(model, target, coarse["yaw"], coarse["tx"], coarse["ty"])
+    q = dsm_quality(model, target, fine["yaw"], fine["t"]).first()
     return {**coarse, **fine, "share": q["share"], "median": q["median"]}
 
 

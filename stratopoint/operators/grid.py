@@ -11,20 +11,33 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.linear import map_point, rot_z
 from .percentiles import quantiles
 
 
+_FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
+
+
 def voxel_key(size: float, origin: Sequence[float] = (0.0, 0.0, 0.0)) -> list[Column]:
     return [F.floor((F.col(c) - F.lit(float(o))) / F.lit(float(size))).alias("v" + c) for c, o in zip("xyz", origin)]
 
 
 def first_per(df: DataFrame, keys: Sequence[str | Column], order: str = "point_id") -> DataFrame:
-    """Row with the smallest ``order`` per key, as one aggregation."""
-    rest = [c for c in df.columns if c != order]
-    row = F.min_by(F.struct(*rest), F.col(order)).alias("row") if rest else F.min(order)
-    return df.groupBy(*keys).agg(F.min(order).alias(order), row).select("row.*", order).select(*df.columns)
+    """Row with the smallest ``order`` per key.
+
+    Every column is a ``min_by`` of its own: buffers of fixed width stay in the hash aggregate's map, where one of
+    the whole row would be sorted. ``order`` tells the rows of a key apart; columns of variable width are picked
+    by a second, semi-joined step.
+    """
+    wide = [f.name for f in df.schema if f.name != order and not isinstance(f.dataType, _FIXED)]
+    if wide:
+        low = df.groupBy(*keys).agg(F.min(order).alias(order)).select(order)
+        return df.join(low, order, "left_semi").select(*df.columns)
+    rest = [c for c in df.columns if c != order and c not in [k for k in keys if isinstance(k, str)]]
+    low = df.groupBy(*keys).agg(F.min(order).alias(order), *[F.min_by(c, order).alias(c) for c in rest])
+    return low.select(*df.columns)
 
 
 def voxel_first(df: DataFrame, voxel: float) -> DataFrame:
@@ -151,15 +164,9 @@ def cloud_profile(df: DataFrame) -> DataFrame:
     return out.withColumn("n_points", total.scalar()).withColumn("n_valid", checked)
 
 
-def viewer_sample(df: DataFrame, limit: int) -> DataFrame:
-    """Every max(1, n // limit)-th record."""
-    step = max(1, df.count() // limit)
-    return df if step == 1 else df.where(F.col("point_id") % step == 0)
-
-
-def floor_percentile(df: DataFrame, col: str, lo: float = 0.02, hi: float = 0.98, limit: int = 300_000) -> tuple[float, float]:
-    """Elements at floor((m - 1) q) of the strided finite sample; (0, 1) when empty."""
-    a, b = quantiles(viewer_sample(df, limit), {col: [lo, hi]}, "floor")[col]
+def floor_percentile(df: DataFrame, col: str, lo: float = 0.02, hi: float = 0.98) -> tuple[float, float]:
+    """Elements at floor((m - 1) q) of the finite values; (0, 1) when empty."""
+    a, b = quantiles(df, {col: [lo, hi]}, "floor")[col]
     if math.isnan(a):
         return 0.0, 1.0
     return a, (a + 1e-6 if a == b else b)
@@ -174,13 +181,13 @@ def distance_to(df: DataFrame, centre: Sequence[float], dims: str = "xyz") -> Co
     return F.sqrt(d2)
 
 
-def view_radius(df: DataFrame, p: float = 0.95, limit: int = 200_000) -> float:
+def view_radius(df: DataFrame, p: float = 0.95) -> float:
     """Element at floor((m - 1) p) of the distances to the centroid, else the bounding radius."""
     from .transform import centroid
     from .select import finite
 
     ok = finite(df)
-    d = viewer_sample(df, limit).select(distance_to(df, centroid(ok)).alias("d"))
+    d = df.select(distance_to(df, centroid(ok)).alias("d"))
     r = quantiles(d, {"d": [p]}, "floor")["d"][0]
     return r if r and not math.isnan(r) else 0.5 * math.sqrt(sum(v * v for v in extent(ok))) or 1.0
 
@@ -262,11 +269,12 @@ def arg_extreme(df: DataFrame, value: str, order: str, by: Sequence[str] = (), s
     return df.groupBy(*by).agg(best).select(*by, F.col("best._v").alias(value), pick.alias(order))
 
 
-def top_angles(scores: DataFrame, k: int = 5, gap: float = 10.0) -> tuple[DataFrame, DataFrame]:
-    """(top-k angles by score, best score farther than ``gap`` degrees from the winner)."""
+def top_angles(scores: DataFrame, k: int = 5, gap: float = 10.0, winner: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(top-k angles by score, best score farther than ``gap`` degrees from the winner, by default the best of all)."""
     top = scores.orderBy(F.desc("score"), "angle").limit(k)
     best = scores.agg(F.max(F.struct("score", (-F.col("angle")).alias("neg")))).first()[0]
-    apart = F.abs(F.pmod(F.col("angle") - F.lit(-best["neg"]) + 180.0, F.lit(360.0)) - 180.0)
+    centre = -best["neg"] if winner is None else winner
+    apart = F.abs(F.pmod(F.col("angle") - F.lit(centre) + 180.0, F.lit(360.0)) - 180.0)
     second = scores.where(apart > gap).agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("second"))
     return top, second.select(F.lit(best["score"]).alias("best"), "second")
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import glob
 import os
-import re
 import sqlite3
 import struct
 from collections.abc import Iterator
@@ -28,21 +26,19 @@ MESSAGES = T.StructType([
 TOPICS = T.StructType([T.StructField("topic", T.StringType()), T.StructField("type", T.StringType())])
 ROWS = 2_000   # messages per partition
 MSG_BATCH = 64
+POINT_BATCH = 200_000
+LOG_NUMBER = r"_(\d+)\.db3$"
 
 
 def log_files(path: str) -> list[str]:
-    """The files of one recording, in the order of their numeric suffix."""
+    """The file itself, or the files of a recording in the order of their number."""
     if not os.path.isdir(path):
         return [path]
-    found = glob.glob(os.path.join(path, "*.db3"))
-    if not found:
+    found = pd.DataFrame({"name": [f for f in os.listdir(path) if f.endswith(".db3")]})
+    if found.empty:
         raise ValueError(f"no .db3 file in {path}")
-
-    def place(f: str) -> tuple[int, str]:
-        m = re.search(r"_(\d+)\.db3$", f)
-        return (int(m.group(1)) if m else 0, f)
-
-    return sorted(found, key=place)
+    found["number"] = pd.to_numeric(found["name"].str.extract(LOG_NUMBER, expand=False)).fillna(0)
+    return [os.path.join(path, f) for f in found.sort_values(["number", "name"])["name"]]
 
 
 def _connect(path: str) -> sqlite3.Connection:
@@ -131,53 +127,56 @@ def bag_topics(topics: DataFrame, messages: DataFrame) -> DataFrame:
 FIELD_TYPES = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 8: "f8"}
 
 
-class _Message:
-    """Cursor over an aligned binary message (alignment counts from byte 4)."""
-
-    def __init__(self, buf: bytes):
-        self.buf, self.at = buf, 4
-        self.order = "<" if buf[1] in (1, 3) else ">"
-
-    def number(self, code: str, size: int = 4) -> int:
-        self.at += -(self.at - 4) % size
-        (v,) = struct.unpack_from(self.order + code, self.buf, self.at)
-        self.at += size
-        return v
-
-    def block(self) -> bytes:
-        n = self.number("I")
-        self.at += n
-        return self.buf[self.at - n:self.at]
-
-    def text(self) -> str:
-        return self.block()[:-1].decode("utf-8", "replace")
+# The parts of a point message in their order. A plain code is a number of that struct type, "text" and
+# "bytes" carry a length in front, a list stands for a counted sequence of such parts.
+POINT_MESSAGE = (
+    ("sec", "i"), ("nanosec", "I"), ("frame_id", "text"), ("height", "I"), ("width", "I"),
+    ("fields", [("name", "text"), ("offset", "I"), ("datatype", "B"), ("count", "I")]),
+    ("is_bigendian", "B"), ("point_step", "I"), ("row_step", "I"), ("data", "bytes"),
+)
+
+
+def unpack_message(buf: bytes, parts=POINT_MESSAGE) -> dict:
+    """Values of a binary message by part name; numbers are aligned to their size, counted from byte 4."""
+    order = "<" if buf[1] in (1, 3) else ">"
+
+    def one(kind, at: int):
+        if isinstance(kind, list):
+            n, at = one("I", at)
+            rows = []
+            for _ in range(n):
+                row, at = group(kind, at)
+                rows.append(row)
+            return rows, at
+        if kind in ("text", "bytes"):
+            n, at = one("I", at)
+            raw = buf[at:at + n]
+            return (raw[:-1].decode("utf-8", "replace") if kind == "text" else raw), at + n
+        size = struct.calcsize(kind)
+        at = 4 + -(-(at - 4) // size) * size
+        return struct.unpack_from(order + kind, buf, at)[0], at + size
+
+    def group(items, at: int):
+        row = {}
+        for name, kind in items:
+            row[name], at = one(kind, at)
+        return row, at
+
+    return group(parts, 4)[0]
 
 
 def decode_message(buf: bytes) -> dict[str, np.ndarray] | None:
     """Point message -> x, y, z (and intensity) arrays; None when it holds no points."""
-    m = _Message(buf)
-    m.number("i"), m.number("I"), m.text()
-    height, width = m.number("I"), m.number("I")
-    fields = {}
-    for _ in range(m.number("I")):
-        name, offset, code = m.text(), m.number("I"), m.number("B", 1)
-        fields[name] = (offset, FIELD_TYPES.get(code, "f4"))
-        m.number("I")
-    m.number("B", 1)
-    step = m.number("I")
-    m.number("I")
-    data = m.block()
-    n = min(height * width, len(data) // step) if step else 0
-    if n <= 0 or any(c not in fields for c in "xyz"):
+    m = unpack_message(buf)
+    stored = {f["name"]: f for f in m["fields"]}
+    wanted = [c for c in ("x", "y", "z", "intensity") if c in stored]
+    n = min(m["height"] * m["width"], len(m["data"]) // m["point_step"]) if m["point_step"] else 0
+    if n <= 0 or not {"x", "y", "z"} <= stored.keys():
         return None
-    raw = np.frombuffer(data, np.uint8, n * step).reshape(n, step)
-    out = {}
-    for name in ("x", "y", "z", "intensity"):
-        if name in fields:
-            offset, kind = fields[name]
-            dt = np.dtype("<" + kind)
-            out[name] = raw[:, offset:offset + dt.itemsize].copy().view(dt).ravel().astype(np.float64)
-    return out
+    record = np.dtype({"names": wanted, "formats": ["<" + FIELD_TYPES.get(stored[c]["datatype"], "f4") for c in wanted],
+                       "offsets": [stored[c]["offset"] for c in wanted], "itemsize": m["point_step"]})
+    points = np.frombuffer(m["data"], record, n)
+    return {c: points[c].astype(np.float64) for c in wanted}
 
 
 DECODED = ("topic string, ts long, msg_seq long, point_idx int, x double, y double, z double, intensity double")
@@ -189,21 +188,28 @@ def decode_clouds(messages: DataFrame, single: bool = True) -> DataFrame:
     Coordinates pass through single precision, as recorded maps keep them;
     ``intensity`` is null where the message has none.
     """
+    def decoded(data) -> dict[str, np.ndarray] | None:
+        try:
+            return decode_message(bytes(data))
+        except (struct.error, IndexError, ValueError):
+            return None
+
     def run(frames):
         for pdf in frames:
-            for topic, ts, seq, data in zip(pdf["topic"], pdf["ts"], pdf["msg_seq"], pdf["data"]):
-                try:
-                    cloud = decode_message(bytes(data))
-                except (struct.error, IndexError, ValueError):
-                    cloud = None
-                if cloud is None:
+            pdf["cloud"] = pdf["data"].map(decoded)
+            pdf = pdf[pdf["cloud"].notna()]
+            size = np.array([len(c["x"]) for c in pdf["cloud"]], np.int64)
+            for rows in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(np.cumsum(size) // POINT_BATCH)) + 1):
+                if not len(rows):
                     continue
-                keep = np.isfinite(np.column_stack([cloud[c] for c in "xyz"])).all(1)
-                cols = {c: (v[keep].astype(np.float32) if single else v[keep]).astype(np.float64) for c, v in cloud.items()}
-                n = int(keep.sum())
-                yield pd.DataFrame({"topic": topic, "ts": ts, "msg_seq": seq, "point_idx": np.arange(n, dtype=np.int32),
-                                    "x": cols["x"], "y": cols["y"], "z": cols["z"],
-                                    "intensity": cols.get("intensity", np.full(n, np.nan))})
+                part, n = pdf.iloc[rows], size[rows]
+                cols = {c: np.concatenate([p.get(c, np.full(k, np.nan)) for p, k in zip(part["cloud"], n)]) for c in ("x", "y", "z", "intensity")}
+                out = pd.DataFrame({k: np.repeat(part[k].to_numpy(), n) for k in ("topic", "ts", "msg_seq")} | cols)
+                out = out[np.isfinite(out[["x", "y", "z"]]).all(axis=1)]
+                out["point_idx"] = out.groupby("msg_seq", sort=False).cumcount().astype(np.int32)
+                if single:
+                    out[list(cols)] = out[list(cols)].astype(np.float32).astype(np.float64)
+                yield out[["topic", "ts", "msg_seq", "point_idx", "x", "y", "z", "intensity"]]
 
     out = messages.select("topic", "ts", "msg_seq", "data").mapInPandas(run, DECODED)
     return out.withColumn("intensity", F.nanvl("intensity", F.lit(None).cast("double")))
