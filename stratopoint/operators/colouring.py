@@ -20,11 +20,13 @@ from pyspark.sql import types as T
 
 from ..functions import camera as cam
 from ..functions.linear import invert, matmul_cols, matvec_cols
+from ..functions.literals import constant_rows
 from ..functions.names import sequence_token
 from ..session import cut
 
 FALLBACK = (107, 107, 107)
 BROADCAST_ROWS = 2_000_000  # (cell, camera) rows a broadcast may hold (12 bytes each); beyond it the join shuffles
+STRAY = -1                  # the cell of points far from all others; it lists every camera
 CELL_CAMERAS = 256          # cameras per cell evaluated in place; beyond it the cell gets more lists
 
 
@@ -51,10 +53,21 @@ def into_target_frame(cameras: DataFrame, transform=None) -> DataFrame:
 
 
 def ground_box(points: DataFrame) -> dict[str, float] | None:
-    """Extent of a cloud: one aggregate, seven numbers on the driver."""
+    """Extent of a cloud without far strays: one aggregate and one sketch, a few numbers on the driver.
+
+    An axis reaches twice the span of its middle 99.8 percent beyond it at most, so a stray point does not blow
+    up the cells of all others. ``strays``: points lie outside; they are tried with every camera."""
     aggs = [f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("min_", F.min), ("max_", F.max))]
     row = points.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
-    return None if row["min_x"] is None else row.asDict()
+    if row["min_x"] is None:
+        return None
+    box = row.asDict() | {"strays": False}
+    for c, (lo, hi) in zip("xyz", points.approxQuantile(["x", "y", "z"], [0.001, 0.999], 0.0005)):
+        room = 2.0 * max(hi - lo, 1e-6)
+        for name, bound in ((f"min_{c}", max(box[f"min_{c}"], lo - room)), (f"max_{c}", min(box[f"max_{c}"], hi + room))):
+            box["strays"] |= bound != box[name]
+            box[name] = bound
+    return box
 
 
 def _square(box: dict[str, float]) -> float:
@@ -82,9 +95,15 @@ class Grid:
         return (ix * F.lit(1 << self.depth).cast("long") + iy) * F.lit(self.slabs).cast("long") + iz
 
     def cell_of(self, x: Column, y: Column, z: Column) -> Column:
+        """The cell of a point; STRAY outside the box."""
         n = 1 << self.depth
-        return self.key(self._index(x, "x", self.size, n), self._index(y, "y", self.size, n),
-                        self._index(z, "z", self.slab, self.slabs))
+        key = self.key(self._index(x, "x", self.size, n), self._index(y, "y", self.size, n), self._index(z, "z", self.slab, self.slabs))
+        if not self.box["strays"]:
+            return key
+        inside = F.lit(True)
+        for c, name in ((x, "x"), (y, "y"), (z, "z")):
+            inside = inside & c.between(F.lit(self.box[f"min_{name}"]), F.lit(self.box[f"max_{name}"]))
+        return F.when(inside, key).otherwise(F.lit(STRAY).cast("long"))
 
 
 def _camera_cells(camera: dict, grid: Grid, max_radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,6 +173,8 @@ def footprint_cells(target_cams: DataFrame, grid: Grid, max_radius: float = 0.0)
         for pdf in batches:
             for camera in pdf["camera"]:
                 key, r_min, r_sure = _camera_cells(camera, grid, max_radius)
+                if grid.box["strays"]:
+                    key, r_min, r_sure = np.append(key, STRAY), np.append(r_min, 0.0), np.append(r_sure, np.nan)
                 yield pd.DataFrame({"cell": key, "cam_id": camera["cam_id"], "r_min": r_min, "r_sure": r_sure})
 
     cells = target_cams.mapInPandas(run, "cell long, cam_id int, r_min double, r_sure double")
@@ -335,26 +356,44 @@ def image_strips(images: DataFrame, lines: int = STRIP) -> DataFrame:
     df = images.withColumn("strip", strip)
     start = F.col("strip") * stride + 1
     part = F.substring("data", start, stride) if binary else F.slice("data", start, stride)
-    return df.select("cam_id", "strip", part.alias("part"))
+    return df.select("cam_id", "strip", "width", "height", part.alias("part"))
+
+
+HOT_STRIP = 50_000          # hits on one strip beyond which its rows are dealt to several keys
 
 
 def _gather(hits: DataFrame, images: DataFrame) -> tuple[DataFrame, Column]:
-    """Join hits with the strip they fall on; returns (joined, offset of the pixel in it)."""
-    dims = images.select("cam_id", F.col("width").alias("_w"), F.col("height").alias("_h"))
-    at = hits.join(dims, "cam_id", "left")
+    """Join hits with the strip they fall on; returns (joined, offset of the pixel in it).
+
+    The strip follows from v alone, and each strip carries its image's size, so hits are shuffled once. Rows
+    without a hit get spread keys; a strip with many hits, by count, is repeated under several keys.
+    """
+    line = F.greatest(F.col("v").cast("long"), F.lit(0))
+    last = images.agg(F.max("height")).first()[0] or 1
+    at = hits.withColumn("_strip", F.coalesce((F.least(line, F.lit(last - 1)) / STRIP).cast("int"), F.lit(0)))
+    key = F.coalesce(F.col("cam_id").cast("long"), -1 - F.pmod(F.xxhash64("point_id"), F.lit(1 << 20)))
+    at = at.withColumn("_key", key)
+    hot = at.where("cam_id IS NOT NULL").groupBy("_key", "_strip").agg(F.ceil(F.count(F.lit(1)) / HOT_STRIP).cast("int").alias("_salts")).where("_salts > 1").collect()
+    strips = image_strips(images).select(F.col("cam_id").cast("long").alias("_key"), F.col("strip").alias("_strip"), "part",
+                                         F.col("width").alias("_w"), F.col("height").alias("_h"))
+    # v below the last line belongs to the last strip of its own image: shorter images repeat it up to the tallest one's count
+    bottom = F.ceil(F.col("_h") / STRIP).cast("int") - 1
+    spread = F.when(F.col("_strip") == bottom, F.sequence("_strip", F.lit((last - 1) // STRIP))).otherwise(F.array("_strip"))
+    strips = strips.withColumn("_line", F.col("_strip") * STRIP).withColumn("_strip", F.explode(spread))
+    salts = F.lit(1)
+    if hot:
+        table = constant_rows([{"k": r["_key"], "s": r["_strip"], "n": r["_salts"]} for r in hot], "k: long, s: int, n: int")
+        found = F.map_from_entries(F.transform(table, lambda r: F.struct(F.struct(r["k"], r["s"]), r["n"])))
+        salts = F.coalesce(F.element_at(found, F.struct(F.col("_key"), F.col("_strip"))), F.lit(1))
+    at = at.withColumn("_salt", F.pmod(F.xxhash64("u", "v"), salts).cast("int"))
+    strips = strips.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    joined = at.join(strips, ["_key", "_strip", "_salt"], "left")
     px = F.least(F.greatest(F.col("u").cast("long"), F.lit(0)), F.col("_w") - 1)
     py = F.least(F.greatest(F.col("v").cast("long"), F.lit(0)), F.col("_h") - 1)
-    at = at.withColumns({"_px": px, "_py": py})
-    # rows without a hit get distinct keys, so they do not pile up on one task
-    key = F.coalesce(F.col("cam_id").cast("long"), -1 - F.pmod(F.xxhash64("point_id"), F.lit(1 << 20)))
-    at = at.withColumns({"_key": key, "_strip": F.coalesce((F.col("_py") / STRIP).cast("int"), F.lit(0))})
-    strips = image_strips(images).select(F.col("cam_id").cast("long").alias("_key"),
-                                         F.col("strip").alias("_strip"), "part")
-    joined = at.join(strips, ["_key", "_strip"], "left")
-    return joined, (F.col("_py") - F.col("_strip") * STRIP) * F.col("_w") + F.col("_px")
+    return joined, (py - F.col("_line")) * F.col("_w") + px
 
 
-_TEMP = ("_w", "_h", "_px", "_py", "_key", "_strip", "part")
+_TEMP = ("_w", "_h", "_line", "_key", "_strip", "_salt", "part")
 
 
 def sample_images(hits: DataFrame, images: DataFrame, fallback: Sequence[int] = FALLBACK) -> DataFrame:
@@ -454,9 +493,9 @@ def temperature_stats(df: DataFrame, col: str = "temp") -> DataFrame:
 def score_candidates(points: DataFrame, cameras: DataFrame, transforms: dict[str, tuple]) -> DataFrame:
     """Coverage of the cloud under each named transform (best first)."""
     parts = []
-    for name, transform in transforms.items():
+    for place, (name, transform) in enumerate(transforms.items()):
         c = coverage(best_camera(points, cameras, transform))
-        parts.append(c.select(F.lit(name).alias("candidate"), "n_points", "n_hit", "coverage"))
+        parts.append(c.select(F.lit(name).alias("candidate"), F.lit(place).alias("place"), "n_points", "n_hit", "coverage"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -464,6 +503,6 @@ def score_candidates(points: DataFrame, cameras: DataFrame, transforms: dict[str
 
 
 def best_by_coverage(scores: DataFrame) -> DataFrame:
-    """First candidate with the highest coverage."""
-    return scores.agg(F.max_by("candidate", F.struct("coverage", -F.xxhash64("candidate"))).alias("candidate"),
+    """First candidate (in the order they were given) with the highest coverage."""
+    return scores.agg(F.max_by("candidate", F.struct("coverage", -F.col("place"))).alias("candidate"),
                       F.max("coverage").alias("coverage"))

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut
 
@@ -35,27 +36,44 @@ XYZ = ("x", "y", "z")
 def entries(df: DataFrame, keep: int = 1) -> DataFrame:
     """Distinct coordinates with multiplicity n; with keep > 1 the ``keep`` lowest ids each."""
     clean = df.select(F.col("point_id").cast("long").alias("eid"), *[F.col(c).cast("double").alias(c) for c in XYZ])
+    for c in XYZ:                                      # a row without a place has no neighbours
+        clean = clean.where(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(math.inf)))
     if keep == 1:
         return clean.groupBy(*XYZ).agg(F.min("eid").alias("eid"), F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy(*XYZ).orderBy("eid"))
     return clean.withColumn("rn", rank).where(F.col("rn") <= keep).drop("rn").withColumn("n", F.lit(1).cast("long"))
 
 
+# Ranks between which an axis is divided evenly: sixty-fourths, and ever smaller shares towards both ends, so that
+# a few points far away, or a dense spot, take as many cells as they have points and not as they have room.
+RANKS = sorted({k / 64 for k in range(65)} | {2.0 ** -k for k in range(7, 15)} | {1 - 2.0 ** -k for k in range(7, 15)})
+
+
+def _placed(ent: DataFrame) -> DataFrame:
+    """Add the finest cell numbers ix, iy, iz. Cells are boxes between order statistics of each axis: the tree only
+    needs numbers that grow with the coordinate, its bounds are those of the points themselves."""
+    marks = {}
+    for c, q in zip(XYZ, ent.approxQuantile(list(XYZ), RANKS, 5e-5)):
+        values, last = np.unique(np.array(q), return_index=True)
+        marks[c] = (values, np.array(RANKS)[last] if len(values) > 1 else np.zeros(1))
+    fine = 4 ** MAX_LEVEL
+
+    def run(batches):
+        for batch in batches:
+            cells = [np.minimum(np.interp(batch.column(c).to_numpy(), *marks[c]) * fine, fine - 1).astype(np.int64) for c in XYZ]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, cells)], [*batch.schema.names, *("i" + c for c in XYZ)])
+
+    return ent.mapInArrow(run, T.StructType(ent.schema.fields + [T.StructField("i" + c, T.LongType()) for c in XYZ]))
+
+
 class CellTree:
     """``nodes`` (level, key, parent, n, leaf, box) and ``leaves`` (leaf key -> packed entries)."""
 
     def __init__(self, ent: DataFrame, leaf: int = LEAF):
-        row = ent.agg(F.count(F.lit(1)).alias("m"), *[f(c).alias(f"{n}{c}") for c in XYZ
-                                                     for n, f in (("lo", F.min), ("hi", F.max))]).first()
-        self.size = row["m"]
+        self.size = ent.count()
         if not self.size:
             return
-        self.low = [row["lo" + c] for c in XYZ]
-        side = max(max(row["hi" + c] - row["lo" + c] for c in XYZ), 1e-9) * (1 + 1e-9)
-        fine = 4 ** MAX_LEVEL
-        for c, lo in zip(XYZ, self.low):
-            step = F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit(side) * F.lit(float(fine))), F.lit(fine - 1).cast("long"))
-            ent = ent.withColumn("i" + c, step)
+        ent = _placed(ent)
         level = min(MAX_LEVEL, max(1, math.ceil(math.log(max(self.size, 1) / leaf, 16)) if self.size > leaf else 0))
         while True:
             base = cut(ent.groupBy(self._key(level).alias("key")).agg(
@@ -79,7 +97,7 @@ class CellTree:
         owner = (up.select("level", F.col("key").alias("base"), shrink.alias("leaf_key"))
                  .join(ends, ["level", "leaf_key"]).select("base", "level", "leaf_key"))
         packed = ent.withColumn("base", self._key(level)).join(owner, "base")
-        # only the deepest level may exceed the leaf size (coordinates closer than side / 4^10)
+        # only the deepest level may exceed the leaf size (coordinates in the same of 4^10 steps of every axis)
         part = F.pmod(F.xxhash64("eid"), F.greatest(F.lit(1), F.ceil(F.col("size") / F.lit(leaf))))
         over = F.count(F.lit(1)).over(Window.partitionBy("level", "leaf_key"))
         self.leaves = cut(packed.withColumn("size", over).withColumn("part", part)

@@ -28,7 +28,7 @@ UNSEEN = 0.12
 
 def load_cloud(spark: SparkSession, work: str, cloud: str, topic: str | None = None, voxel: float = 0.05) -> DataFrame:
     def build() -> DataFrame:
-        return finite(read_points(spark, cloud, topic, voxel)).select("point_id", "x", "y", "z")
+        return finite(read_points(spark, cloud, topic, voxel, ["point_id", "x", "y", "z"])).select("point_id", "x", "y", "z")
 
     return stage(spark, work, "cloud", build)
 

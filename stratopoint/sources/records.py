@@ -41,8 +41,8 @@ class Chunk(InputPartition):
     path: str
     start: int        # first record (binary) or first byte (ascii)
     end: int
-    first_id: int = 0
-    whole: bool = False
+    first_id: int = 0  # point_id of the first record
+    take: int = -1     # records to read at most, -1: all
 
 
 # What an integer of each stored type becomes (Spark has no unsigned types).
@@ -63,7 +63,7 @@ def kind(dtype: str) -> str:
 def chunks(path: str, n: int, stride: int, target_bytes: int) -> list[Chunk]:
     """Record ranges of about ``target_bytes``."""
     per = max(1, target_bytes // stride)
-    return [Chunk(path, a, min(n, a + per), a) for a in range(0, n, per)] or [Chunk(path, 0, 0)]
+    return [Chunk(path, a, min(n, a + per), a) for a in range(0, n, per)] or [Chunk(path, 0, 0, 0)]
 
 
 def to_arrow(values: np.ndarray, dtype: str) -> pa.Array:

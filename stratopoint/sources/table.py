@@ -5,11 +5,13 @@ from __future__ import annotations
 import io
 import posixpath
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, WriterCommitMessage
 
 from .files import list_files, open_fs, read_range, size_of
@@ -102,80 +104,116 @@ class PointFile:
     float_colour = False
 
 
+def merged_schema(schemas: list[T.StructType]) -> T.StructType:
+    """All columns of all files in the order they are met; numbers of different types become doubles."""
+    types: dict[str, T.DataType] = {}
+    for f in (f for s in schemas for f in s):
+        old = types.setdefault(f.name, f.dataType)
+        if old != f.dataType:
+            if isinstance(old, T.ArrayType) != isinstance(f.dataType, T.ArrayType):
+                raise ValueError(f"column {f.name} is a list in some files and a number in others")
+            types[f.name] = T.ArrayType(T.DoubleType()) if isinstance(old, T.ArrayType) else T.DoubleType()
+    return T.StructType([T.StructField(n, t) for n, t in types.items()])
+
+
+def fitted(batch: pa.RecordBatch, schema: T.StructType) -> pa.RecordBatch:
+    """A file's batch in the columns of the whole dataset; what the file does not have is null."""
+    target = to_arrow_schema(schema)
+    have = set(batch.schema.names)
+    return pa.RecordBatch.from_arrays([batch.column(f.name).cast(f.type) if f.name in have else pa.nulls(len(batch), f.type) for f in target], schema=target)
+
+
+def numbered(chunks_: list[Chunk], counts: list[int], limits: dict[str, int]) -> list[Chunk]:
+    """Chunks with the point_ids of one running count over all files; a file gives its declared number at most."""
+    out, total, inside = [], 0, dict.fromkeys(limits, 0)
+    for c, n in zip(chunks_, counts):
+        take = max(0, min(n, limits[c.path] - inside[c.path]))
+        out.append(Chunk(c.path, c.start, c.end, total, take))
+        total, inside[c.path] = total + take, inside[c.path] + n
+    return out
+
+
 class PointReader(DataSourceReader):
+    """Reads chunks. ``format(..)`` plans them from the headers alone: binary files in ranges of records, an ascii
+    file in one chunk. ``read_points`` counts the records of ascii ranges in tasks and so splits them as well."""
+
     def __init__(self, fmt: PointFile, options: dict[str, str], schema: T.StructType):
-        self.fmt, self.options, self.names = fmt, options, [f.name for f in schema.fields]
+        self.fmt, self.options, self.schema, self.names = fmt, options, schema, [f.name for f in schema.fields]
 
     def partitions(self):
         split = int(self.options.get("splitbytes", DEFAULT_SPLIT))
-        out: list[Chunk] = []
-        for path in list_files(self.options["path"], self.fmt.suffixes):
-            lay = self.fmt.layout(path)
-            if lay.mode == "binary":
-                stride = lay.dtype().itemsize
-                n = min(lay.points, (size_of(path) - lay.body) // stride)
-                out += chunks(path, n, stride, split)
-            elif lay.mode == "ascii":
-                size = size_of(path)
-                # one range: ids count records; several: ids are byte offsets (ascending, not dense)
-                out += [Chunk(path, a, min(size, a + split), a - lay.body, size - lay.body <= split)
-                        for a in range(lay.body, max(size, lay.body + 1), split)]
-            else:
-                out.append(Chunk(path, 0, lay.points, 0, True))
-        return out
+        paths = list_files(self.options["path"], self.fmt.suffixes)
+        with ThreadPoolExecutor(16) as pool:
+            planned = list(pool.map(lambda path: self.planned(path, split), paths))
+        found = [c for chunks_, _, _ in planned for c in chunks_]
+        return numbered(found, [n for _, counts, _ in planned for n in counts], {p: limit for p, (_, _, limit) in zip(paths, planned)})
+
+    def planned(self, path: str, split: int) -> tuple[list[Chunk], list[int], int]:
+        """Chunks of one file, their record counts as far as the header tells, and the declared number."""
+        lay = self.fmt.layout(path)
+        if lay.mode == "binary":
+            stride = lay.dtype().itemsize
+            n = min(lay.points, (size_of(path) - lay.body) // stride)
+            parts = chunks(path, n, stride, split)
+            return parts, [c.end - c.start for c in parts], lay.points
+        if lay.mode == "ascii":
+            return [Chunk(path, lay.body, size_of(path))], [lay.points], lay.points
+        return [Chunk(path, 0, lay.points)], [lay.points], lay.points
 
     def read(self, part: Chunk) -> Iterator[pa.RecordBatch]:
         lay = self.fmt.layout(part.path)
+        mine = set(self.fmt.roles(lay)) | {"file", "point_id"}
+        names = [n for n in self.names if n in mine]
+        for batch in self._batches(part, lay, names):
+            yield fitted(batch, self.schema)
+
+    def _batches(self, part: Chunk, lay: Layout, names: list[str]) -> Iterator[pa.RecordBatch]:
         if lay.mode == "binary":
-            yield from self._binary(part, lay)
+            dt = lay.dtype()
+            for a, b in batches(part.end - part.start):
+                raw = read_range(part.path, lay.body + (part.start + a) * dt.itemsize, (b - a) * dt.itemsize)
+                rec = np.frombuffer(raw, dt)
+                ids = np.arange(part.first_id + a, part.first_id + a + len(rec))
+                yield self.fmt.batch(names, part.path, ids, lay, lambda i: rec[f"f{i}"])
         elif lay.mode == "ascii":
-            yield from self._ascii(part, lay)
+            at = np.cumsum([0] + [c.count for c in lay.columns])
+            seen = 0
+            for rows in self.lines(part, lay):
+                rows = rows if part.take < 0 else rows[: part.take - seen]
+                if not rows:
+                    return
+                yield self._rows(rows, np.arange(part.first_id + seen, part.first_id + seen + len(rows)), lay, at, part.path, names)
+                seen += len(rows)
         else:
             roles = self.fmt.roles(lay)
-            cols = self.fmt.sequential(part.path, lay, {i for n, (_, i) in roles.items() if n in self.names} or {0})
-            n = len(next(iter(cols.values())))
-            for a, b in batches(n):
-                yield self.fmt.batch(self.names, part.path, np.arange(a, b), lay, lambda i: cols[i][a:b])
-
-    def _binary(self, part: Chunk, lay: Layout):
-        dt = lay.dtype()
-        for a, b in batches(part.end - part.start):
-            raw = read_range(part.path, lay.body + (part.start + a) * dt.itemsize, (b - a) * dt.itemsize)
-            rec = np.frombuffer(raw, dt)
-            yield self.fmt.batch(self.names, part.path, np.arange(part.start + a, part.start + a + len(rec)), lay,
-                                 lambda i: rec[f"f{i}"])
-
-    def _ascii(self, part: Chunk, lay: Layout):
+            cols = self.fmt.sequential(part.path, lay, {i for n, (_, i) in roles.items() if n in names} or {0})
+            for a, b in batches(len(next(iter(cols.values())))):
+                yield self.fmt.batch(names, part.path, np.arange(part.first_id + a, part.first_id + b), lay, lambda i: cols[i][a:b])
+
+    @staticmethod
+    def lines(part: Chunk, lay: Layout) -> Iterator[list[list[bytes]]]:
+        """Records of a byte range of an ascii file: the lines that begin in it and have enough values."""
         fs, p = open_fs(part.path)
         width = sum(c.count for c in lay.columns)
-        at = np.cumsum([0] + [c.count for c in lay.columns])
         with fs.open_input_file(p) as raw:
             raw.seek(part.start if part.start == lay.body else part.start - 1)
             stream = io.BufferedReader(_Readable(raw), 1 << 20)
             pos = raw.tell()
             if part.start != lay.body:
                 pos += len(stream.readline())   # the line crossing the border belongs to the range before
-            rows, ids, seen = [], [], 0
-            while pos < part.end:
-                line = stream.readline()
-                if not line:
-                    break
-                begin, pos = pos, pos + len(line)
+            rows = []
+            while pos < part.end and (line := stream.readline()):
+                pos += len(line)
                 tokens = line.split()
-                if len(tokens) < width:
-                    continue
-                if part.whole and seen >= lay.points:
-                    break
-                rows.append(tokens[:width])
-                ids.append(seen if part.whole else begin - lay.body)
-                seen += 1
+                if len(tokens) >= width:
+                    rows.append(tokens[:width])
                 if len(rows) == 20_000:
-                    yield self._rows(rows, ids, lay, at, part.path)
-                    rows, ids = [], []
+                    yield rows
+                    rows = []
             if rows:
-                yield self._rows(rows, ids, lay, at, part.path)
+                yield rows
 
-    def _rows(self, rows, ids, lay, at, path):
+    def _rows(self, rows, ids, lay, at, path, names):
         text = np.array(rows)
 
         def get(i: int) -> np.ndarray:
@@ -185,7 +223,7 @@ class PointReader(DataSourceReader):
                 return block.astype(np.float64).astype(c.dtype) if kind(c.dtype) == "f4" and self._is_packed(lay, i) else block.astype(np.float64)
             return np.array([[int(float(v)) if b"." in v or b"e" in v.lower() else int(v) for v in r] for r in block]).astype(c.dtype)
 
-        return self.fmt.batch(self.names, path, np.array(ids), lay, get)
+        return self.fmt.batch(names, path, ids, lay, get)
 
     def _is_packed(self, lay: Layout, i: int) -> bool:
         return any(how.startswith("packed") and k == i for how, k in self.fmt.roles(lay).values())
@@ -291,7 +329,8 @@ class PointSource(DataSource):
         files = list_files(self.options["path"], self.fmt.suffixes)
         if not files:
             raise ValueError(f"no {self.name()} files in {self.options['path']}")
-        return self.fmt.schema(self.fmt.layout(files[0]), self._only())
+        with ThreadPoolExecutor(16) as pool:
+            return merged_schema(list(pool.map(lambda f: self.fmt.schema(self.fmt.layout(f), self._only()), files)))
 
     def reader(self, schema: T.StructType) -> PointReader:
         return PointReader(self.fmt, dict(self.options), schema)

@@ -207,3 +207,56 @@ def test_yaw_multistart(spark):
     deg, fit = IC.yaw_multistart(src, tgt, 0.4, 180.0)
     assert deg == 180.0 and fit.fitness > 0.9
     assert abs(la.rotation_angle_deg(fit.matrix[:3, :3]) - 180.0) < 2.0
+
+
+def test_a_stray_point_leaves_the_cells_small(spark):
+    """One point at 1e9 m must neither change results nor put the cloud into one leaf."""
+    import pandas as pd
+    from stratopoint.operators import neighbours as NB
+
+    rng = np.random.default_rng(2)
+    xyz = np.vstack([rng.uniform(0, 100, (6000, 3)), [[1e9, 50.0, 5.0]], [[np.nan, 0.0, 0.0]]])
+    df = spark.createDataFrame(pd.DataFrame({"point_id": np.arange(len(xyz)), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]})).repartition(3)
+    tree = NB.CellTree(NB.entries(df))
+    assert tree.leaves.selectExpr("max(size(items))").first()[0] <= NB.LEAF
+    assert tree.nodes.where("leaf").count() > 20
+    near = {r["point_id"]: r["distance2"] for r in NB.knn_join(df, df, 2).where("rank = 2").collect()}
+    good = xyz[:6000]
+    for i in range(0, 6000, 500):
+        d = ((good - good[i]) ** 2).sum(1)
+        assert abs(near[i] - np.partition(d, 1)[1]) < 1e-9
+    assert len(near) == 6001
+
+
+def test_stray_points_and_the_camera_grid(spark, sf, monkeypatch):
+    from stratopoint.operators import colouring as C
+    from stratopoint.plans import inputs as I
+
+    cameras, p = I.cameras(spark, sf), I.points(spark, sf).select("point_id", "x", "y", "z")
+    far = spark.createDataFrame([(10**6, 1e9, 0.0, 0.0), (10**6 + 1, 0.0, -1e7, 3.0)], "point_id long, x double, y double, z double")
+    alone = {r["point_id"]: (r["cam_id"], r["u"]) for r in C.best_camera(p, cameras).collect()}
+    found = C.CellCameras(p.union(far), cameras, None, 0.0, True)
+    assert found.grid.box["strays"] and found.grid.side < 1e4
+    for rows in (2_000_000, 0):                    # broadcast and shuffle paths
+        monkeypatch.setattr(C, "BROADCAST_ROWS", rows)
+        both = {r["point_id"]: (r["cam_id"], r["u"]) for r in C.best_camera(p.union(far), cameras).collect()}
+        assert {i: both[i] for i in alone} == alone and both[10**6][0] is None
+
+
+def test_gather_splits_a_camera_that_sees_everything(spark, monkeypatch):
+    from stratopoint.operators import colouring as C
+
+    monkeypatch.setattr(C, "HOT_STRIP", 50)
+    rng = np.random.default_rng(0)
+    raster = {0: rng.integers(0, 255, (40, 30, 3)).astype(np.uint8), 1: rng.integers(0, 255, (20, 50, 3)).astype(np.uint8)}
+    images = spark.createDataFrame([(k, *v.shape, v.tobytes()) for k, v in raster.items()], "cam_id int, height int, width int, n_channels int, data binary")
+    rows = [(i, 0 if i % 10 else 1, float(rng.uniform(0, 29.9)), float(rng.uniform(0, 19.9))) for i in range(2000)]
+    rows += [(5000 + i, None, None, None) for i in range(50)] + [(6000, 1, 99.0, 38.0), (6001, 0, -3.0, 99.0)]
+    got = {r["point_id"]: (r["red"], r["green"], r["blue"]) for r in
+           C.sample_images(spark.createDataFrame(rows, "point_id long, cam_id int, u double, v double"), images).collect()}
+    for i, cam, u, v in rows:
+        want = C.FALLBACK
+        if cam is not None:
+            h, w, _ = raster[cam].shape
+            want = tuple(int(c) for c in raster[cam][min(max(int(v), 0), h - 1), min(max(int(u), 0), w - 1)])
+        assert got[i] == want, (i, cam, u, v)

@@ -349,3 +349,59 @@ def test_json_and_stage(spark, tmp_path):
     for _ in range(2):
         assert TX.stage(spark, str(tmp_path / "work"), "tags", build).count() == 2
     assert len(calls) == 1
+
+
+# ------------------------------------------------------- folders of many files
+
+def write_folder(folder, cloud):
+    """The cloud's points dealt to five files of both formats; ascii ones hold a short line and surplus records."""
+    folder.mkdir()
+    xyz = cloud[["x", "y", "z"]].to_numpy("<f4")
+    parts = np.array_split(xyz, 5)
+    text = [" ".join(repr(float(v)) for v in p) for p in parts[0]]
+    text.insert(3, "1.0 2.0")
+    (folder / "a.pcd").write_bytes(header(["x", "y", "z"], [4] * 3, ["F"] * 3, [1] * 3, len(parts[0]), "ascii") + ("\n".join(text + ["9 9 9"] * 4) + "\n").encode())
+    (folder / "b.ply").write_bytes(b"ply\nformat binary_little_endian 1.0\nelement vertex %d\nproperty float x\nproperty float y\nproperty float z\nend_header\n"
+                                   % len(parts[1]) + parts[1].tobytes())
+    rec = np.zeros(len(parts[2]), [("p", "<f4", 3), ("i", "<f4")])
+    rec["p"], rec["i"] = parts[2], np.arange(len(parts[2]))
+    (folder / "c.pcd").write_bytes(header(["x", "y", "z", "intensity"], [4] * 4, ["F"] * 4, [1] * 4, len(rec), "binary") + rec.tobytes())
+    raw = b"".join(parts[3][:, i].tobytes() for i in range(3))
+    packed = squeeze(raw)
+    (folder / "d.pcd").write_bytes(header(["x", "y", "z"], [4] * 3, ["F"] * 3, [1] * 3, len(parts[3]), "binary_compressed")
+                                   + struct.pack("<II", len(packed), len(raw)) + packed)
+    body = "\n".join(" ".join(repr(float(v)) for v in p) + " 1 2 3" for p in parts[4])
+    (folder / "e.ply").write_bytes(f"ply\nformat ascii 1.0\nelement vertex {len(parts[4])}\nproperty float x\nproperty float y\nproperty float z\nproperty uchar red\n"
+                                   f"property uchar green\nproperty uchar blue\nend_header\n{body}\n".encode())
+    return xyz, [len(p) for p in parts]
+
+
+@pytest.mark.parametrize("split", [64, 700, 128 << 20])
+def test_folder_of_mixed_files(spark, tmp_path, cloud, split):
+    xyz, sizes = write_folder(tmp_path / "clouds", cloud)
+    df = read_points(spark, str(tmp_path / "clouds"), split=split)
+    got = df.orderBy("point_id").toPandas()
+    assert got["point_id"].tolist() == list(range(N))
+    assert np.allclose(got[["x", "y", "z"]].to_numpy(), xyz, atol=1e-6)
+    ends = np.cumsum(sizes)
+    assert got["intensity"].notna().sum() == sizes[2] and got["intensity"][ends[1]:ends[2]].tolist() == list(range(sizes[2]))
+    assert (got["red"].dropna() == 1).all() and got["red"].notna().sum() == sizes[4]
+    assert got["file"].tolist() == [f for f, k in zip(("a.pcd", "b.ply", "c.pcd", "d.pcd", "e.ply"), sizes) for _ in range(k)]
+    few = read_points(spark, str(tmp_path / "clouds"), columns=["point_id", "z"], split=split)
+    assert few.columns == ["point_id", "z"] and few.count() == N
+
+
+def test_plain_format_numbers_all_files_and_merges_columns(spark, tmp_path, cloud):
+    _, sizes = write_folder(tmp_path / "clouds", cloud)
+    df = spark.read.format("pcd").option("splitBytes", "256").load(str(tmp_path / "clouds"))
+    assert "intensity" in df.columns
+    assert sorted(r[0] for r in df.select("point_id").collect()) == list(range(sizes[0] + sizes[2] + sizes[3]))
+
+
+def test_joins_on_a_folder_keep_one_row_per_point(spark, tmp_path, cloud):
+    from stratopoint.operators import neighbours
+
+    write_folder(tmp_path / "clouds", cloud)
+    p = read_points(spark, str(tmp_path / "clouds")).select("point_id", "x", "y", "z")
+    ref = p.withColumns({c: F.lit(7).cast("short") for c in ("red", "green", "blue")})
+    assert neighbours.nn_transfer(p, ref, 1.0, (0, 0, 0)).count() == N
