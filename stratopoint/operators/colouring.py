@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 
 from ..functions import camera as cam
 from ..functions.linear import invert, matmul_cols, matvec_cols
-from ..functions.literals import constant_rows
 from ..functions.names import sequence_token
 from ..session import cut
 
@@ -55,14 +54,14 @@ def into_target_frame(cameras: DataFrame, transform=None) -> DataFrame:
 def ground_box(points: DataFrame) -> dict[str, float] | None:
     """Extent of a cloud without far strays: one aggregate and one sketch, a few numbers on the driver.
 
-    An axis reaches twice the span of its middle 99.8 percent beyond it at most, so a stray point does not blow
+    An axis reaches twice the span of its middle 98 percent beyond it at most, so a stray point does not blow
     up the cells of all others. ``strays``: points lie outside; they are tried with every camera."""
     aggs = [f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("min_", F.min), ("max_", F.max))]
     row = points.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
     if row["min_x"] is None:
         return None
     box = row.asDict() | {"strays": False}
-    for c, (lo, hi) in zip("xyz", points.approxQuantile(["x", "y", "z"], [0.001, 0.999], 0.0005)):
+    for c, (lo, hi) in zip("xyz", points.approxQuantile(["x", "y", "z"], [0.01, 0.99], 0.002)):
         room = 2.0 * max(hi - lo, 1e-6)
         for name, bound in ((f"min_{c}", max(box[f"min_{c}"], lo - room)), (f"max_{c}", min(box[f"max_{c}"], hi + room))):
             box["strays"] |= bound != box[name]
@@ -359,41 +358,31 @@ def image_strips(images: DataFrame, lines: int = STRIP) -> DataFrame:
     return df.select("cam_id", "strip", "width", "height", part.alias("part"))
 
 
-HOT_STRIP = 50_000          # hits on one strip beyond which its rows are dealt to several keys
-
-
 def _gather(hits: DataFrame, images: DataFrame) -> tuple[DataFrame, Column]:
     """Join hits with the strip they fall on; returns (joined, offset of the pixel in it).
 
     The strip follows from v alone, and each strip carries its image's size, so hits are shuffled once. Rows
-    without a hit get spread keys; a strip with many hits, by count, is repeated under several keys.
+    without a hit get spread keys; the rows of a strip with very many hits are split by the adaptive skew join, which
+    only has to repeat that strip.
     """
     line = F.greatest(F.col("v").cast("long"), F.lit(0))
     last = images.agg(F.max("height")).first()[0] or 1
     at = hits.withColumn("_strip", F.coalesce((F.least(line, F.lit(last - 1)) / STRIP).cast("int"), F.lit(0)))
     key = F.coalesce(F.col("cam_id").cast("long"), -1 - F.pmod(F.xxhash64("point_id"), F.lit(1 << 20)))
     at = at.withColumn("_key", key)
-    hot = at.where("cam_id IS NOT NULL").groupBy("_key", "_strip").agg(F.ceil(F.count(F.lit(1)) / HOT_STRIP).cast("int").alias("_salts")).where("_salts > 1").collect()
     strips = image_strips(images).select(F.col("cam_id").cast("long").alias("_key"), F.col("strip").alias("_strip"), "part",
                                          F.col("width").alias("_w"), F.col("height").alias("_h"))
     # v below the last line belongs to the last strip of its own image: shorter images repeat it up to the tallest one's count
     bottom = F.ceil(F.col("_h") / STRIP).cast("int") - 1
     spread = F.when(F.col("_strip") == bottom, F.sequence("_strip", F.lit((last - 1) // STRIP))).otherwise(F.array("_strip"))
     strips = strips.withColumn("_line", F.col("_strip") * STRIP).withColumn("_strip", F.explode(spread))
-    salts = F.lit(1)
-    if hot:
-        table = constant_rows([{"k": r["_key"], "s": r["_strip"], "n": r["_salts"]} for r in hot], "k: long, s: int, n: int")
-        found = F.map_from_entries(F.transform(table, lambda r: F.struct(F.struct(r["k"], r["s"]), r["n"])))
-        salts = F.coalesce(F.element_at(found, F.struct(F.col("_key"), F.col("_strip"))), F.lit(1))
-    at = at.withColumn("_salt", F.pmod(F.xxhash64("u", "v"), salts).cast("int"))
-    strips = strips.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    joined = at.join(strips, ["_key", "_strip", "_salt"], "left")
+    joined = at.join(strips, ["_key", "_strip"], "left")
     px = F.least(F.greatest(F.col("u").cast("long"), F.lit(0)), F.col("_w") - 1)
     py = F.least(F.greatest(F.col("v").cast("long"), F.lit(0)), F.col("_h") - 1)
     return joined, (py - F.col("_line")) * F.col("_w") + px
 
 
-_TEMP = ("_w", "_h", "_line", "_key", "_strip", "_salt", "part")
+_TEMP = ("_w", "_h", "_line", "_key", "_strip", "part")
 
 
 def sample_images(hits: DataFrame, images: DataFrame, fallback: Sequence[int] = FALLBACK) -> DataFrame:

@@ -243,10 +243,9 @@ def test_stray_points_and_the_camera_grid(spark, sf, monkeypatch):
         assert {i: both[i] for i in alone} == alone and both[10**6][0] is None
 
 
-def test_gather_splits_a_camera_that_sees_everything(spark, monkeypatch):
+def test_gather_with_images_of_several_sizes(spark):
     from stratopoint.operators import colouring as C
 
-    monkeypatch.setattr(C, "HOT_STRIP", 50)
     rng = np.random.default_rng(0)
     raster = {0: rng.integers(0, 255, (40, 30, 3)).astype(np.uint8), 1: rng.integers(0, 255, (20, 50, 3)).astype(np.uint8)}
     images = spark.createDataFrame([(k, *v.shape, v.tobytes()) for k, v in raster.items()], "cam_id int, height int, width int, n_channels int, data binary")
