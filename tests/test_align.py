@@ -102,3 +102,31 @@ def test_align_from_pairs(spark):
     assert np.allclose(fit.matrix, motion, atol=0.05)
     with pytest.raises(ValueError, match="at least 3"):
         IC.align_from_pairs(src, tgt, pairs.limit(2))
+
+
+def test_global_registration_finds_a_quarter_turn(spark):
+    """Feature matching with no start at all: a motion of 90 degrees about a tilted axis."""
+    from stratopoint.operators import features as FT
+
+    tgt = blob(spark, 1500, 3)
+    motion = la.join4(la.euler_zyx(10.0, -8.0, 90.0), [4.0, -2.0, 1.0])
+    src = apply_matrix(tgt, np.linalg.inv(motion))
+    s, t = (IC.cut(IC.normals(df.select("point_id", "x", "y", "z"), 1.2)) for df in (src, tgt))
+    pairs = FT.feature_pairs(s, t, 0.4)
+    assert pairs.count() > 200
+    pose, share = FT.ransac_pose(pairs, 0.6, trials=4000)
+    assert share > 0.3 and np.abs(pose - motion).max() < 0.5
+    poses = FT.graduated_poses(pairs, 0.2, trials=3)
+    assert len(poses) == 3 and min(np.abs(m - motion).max() for m in poses) < 0.3
+
+
+def test_nearest_features_are_exact(spark, monkeypatch):
+    from stratopoint.operators import features as FT
+
+    monkeypatch.setattr(FT, "BLOCK", 7)
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 4, (40, 33)).astype(float), rng.integers(0, 4, (50, 33)).astype(float)
+    a, b = (spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "point_id long, f array<double>") for m in (x, y))
+    got = {r["point_id"]: (r["other"], r["d2"]) for r in FT.nearest_features(a, b).collect()}
+    d2 = ((x[:, None] - y[None]) ** 2).sum(2)
+    assert got == {i: (int(d2[i].argmin()), float(d2[i].min())) for i in range(40)}
