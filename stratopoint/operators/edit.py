@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .select import in_polygon, prism_mask, screen_columns, sphere_mask, visible
 from .transform import apply_affine
 
-HISTORY = 30
+HISTORY: int | None = None      # changes that can be undone; the editor's own depth of 30 is for callers who ask for it
 
 
 def merge_clouds(points: DataFrame, slots: DataFrame) -> DataFrame:
@@ -38,7 +38,9 @@ def append_points(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def union_models(a: DataFrame, b: DataFrame, offset: int = 1_000_000, key: str = "pid") -> DataFrame:
-    """Two models in one table, the second with its ids moved up."""
+    """Two models in one table, the second with its ids moved up: by ``offset``, or further where the first has higher ids."""
+    highest = a.agg(F.max(key)).first()[0]
+    offset = max(offset, 0 if highest is None else highest + 1)
     return a.unionByName(b.withColumn(key, F.col(key) + F.lit(offset)), allowMissingColumns=True)
 
 
@@ -93,10 +95,10 @@ def _apply(df: DataFrame, steps: tuple[Edit, ...]) -> DataFrame:
     return df
 
 
-def effective_steps(df: DataFrame, log: list[Edit], limit: int = HISTORY) -> tuple[Edit, ...]:
+def effective_steps(df: DataFrame, log: list[Edit], limit: int | None = HISTORY) -> tuple[Edit, ...]:
     """Steps left after undo and redo.
 
-    A new change clears what could be redone, at most ``limit`` changes can be
+    A new change clears what could be redone, all changes (or the last ``limit``) can be
     undone, and a delete that meets no point is no change (checked with a
     one-row look at the cloud).
     """
@@ -119,13 +121,13 @@ def effective_steps(df: DataFrame, log: list[Edit], limit: int = HISTORY) -> tup
             probe = (Edit("sphere", e.params),) if e.op == "brush" else pending
             if e.op in ("delete", "brush") and not _apply(df, (*done, *probe)).where("selected").head(1):
                 continue
-            undo = [*undo, done][-limit:]
+            undo = [*undo, done] if limit is None else [*undo, done][-limit:]
             redo.clear()
             done, pending = (*done, *(pending if e.op == "delete" else ()), e), ()
     return (*done, *pending)
 
 
-def replay(df: DataFrame, log: list[Edit], limit: int = HISTORY) -> DataFrame:
+def replay(df: DataFrame, log: list[Edit], limit: int | None = HISTORY) -> DataFrame:
     """The cloud after the whole log, with the selection that is left at its end."""
     return _apply(df, effective_steps(df, log, limit))
 

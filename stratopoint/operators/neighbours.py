@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.literals import constant_rows
 from ..session import cut
 
 LEAF = 512
@@ -380,3 +381,34 @@ def mean_nn_distance(df: DataFrame, k: int = 4, floor: float = 1e-4) -> DataFram
     """point_id, mean distance to the k - 1 nearest other points, at least ``floor``."""
     d = knn_join(df, df, k).where("rank > 1").groupBy("point_id").agg(F.avg(F.sqrt("distance2")).alias("mean_d"))
     return d.select("point_id", F.greatest(F.col("mean_d"), F.lit(floor)).alias("mean_d"))
+
+
+def coverage_by_neighbour(target: DataFrame, source: DataFrame, transforms: dict[str, tuple], radius: float) -> DataFrame:
+    """candidate, place, n_points, n_hit, coverage: share of target points with a moved source point within ``radius``.
+
+    All candidates are answered by one search: each has its own copy of both clouds, set so far apart along x that
+    no two of them can meet. Candidates are a short list given by the caller.
+    """
+    names = list(transforms)
+    box = {}
+    for name, df in (("s", source), ("t", target)):
+        box[name] = df.agg(*[f(F.abs(c)).alias(f"{n}{c}") for c in XYZ for n, f in (("hi", F.max),)]).first()
+    reach = max((box["t"][f"hi{c}"] or 0.0) for c in XYZ)
+    rows = []
+    for place, (name, (a, b)) in enumerate(transforms.items()):
+        a, b = np.asarray(a, float), np.asarray(b, float)
+        far = float(np.abs(a).sum(1).max() * max((box["s"][f"hi{c}"] or 0.0) for c in XYZ) + np.abs(b).max())
+        reach = max(reach, far)
+        rows.append({"place": place, **{f"a{i}": float(v) for i, v in enumerate(a.ravel())}, **{f"b{i}": float(v) for i, v in enumerate(b)}})
+    apart = 4.0 * reach + 4.0 * radius + 1.0
+    lanes = constant_rows(rows, "place: int, " + ", ".join([*(f"a{i}: double" for i in range(9)), *(f"b{i}: double" for i in range(3))]))
+    key = (F.col("point_id") * F.lit(len(names)) + F.col("c.place")).alias("point_id")
+    shift = F.col("c.place") * F.lit(apart)
+    moved = [sum((F.col(f"c.a{3 * i + j}") * F.col(x) for j, x in enumerate(XYZ)), F.col(f"c.b{i}")) for i in range(3)]
+    src = source.withColumn("c", F.explode(lanes)).select(key, (moved[0] + shift).alias("x"), moved[1].alias("y"), moved[2].alias("z"))
+    tgt = target.withColumn("c", F.explode(lanes)).select(key, (F.col("x") + shift).alias("x"), "y", "z")
+    near = knn_join(tgt, src, 1, radius, strict=False).groupBy((F.col("point_id") % len(names)).cast("int").alias("place")).agg(F.count(F.lit(1)).alias("n_hit"))
+    total = target.agg(F.count(F.lit(1)))
+    label = target.sparkSession.createDataFrame(list(enumerate(names)), "place int, candidate string")
+    found = label.join(near, "place", "left").select("candidate", "place", total.scalar().alias("n_points"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"))
+    return found.withColumn("coverage", F.col("n_hit") / F.col("n_points"))

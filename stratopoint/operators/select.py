@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .percentiles import finite as finite_value
@@ -226,3 +226,10 @@ def invert(df: DataFrame) -> DataFrame:
 def delete_selected(df: DataFrame) -> DataFrame:
     """Rows that are not selected, with the selection cleared."""
     return df.where(~selected(df)).withColumn("selected", F.lit(False))
+
+
+def delete_counted(df: DataFrame, name: str = "deleted") -> tuple[DataFrame, Observation]:
+    """``delete_selected`` and an observation whose ``n_deleted`` and ``n_kept`` hold once the result has been computed."""
+    seen = Observation(name)
+    counted = df.observe(seen, F.count_if(selected(df)).alias("n_deleted"), F.count_if(~selected(df)).alias("n_kept"))
+    return delete_selected(counted), seen

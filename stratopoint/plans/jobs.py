@@ -10,14 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.colour import palette, to_byte, white_hot
-from ..functions.linear import rot_z
+from ..functions.linear import join4, rot_z
 from ..operators import align as AL
 from ..operators import colouring as C
 from ..operators import edit as E
 from ..operators import estimate as T
 from ..operators import grid as G
+from ..operators import icp as IC
+from ..operators import neighbours as NB
 from ..operators import transform as X
-from ..operators.select import finite
+from ..operators.select import finite, visible
+from ..session import cut
 from ..sources import photos as PH
 from ..sources.points import read_points, write_cloud
 from ..sources.texts import read_model, stage
@@ -106,6 +109,7 @@ def thermal(points: DataFrame, cameras: DataFrame, thermal_photos: DataFrame, im
     """
     cams = C.with_optics(C.pair_by_sequence(cameras, thermal_photos), width, height, hfov)
     seen = C.sample_images(C.best_camera(points, cams, affine), images)
+    seen = seen if name is None else cut(seen)      # the percentile passes read it again
     grey = to_byte(F.lit(UNSEEN))
     hit = F.col("cam_id").isNotNull()
     if name is None:
@@ -124,7 +128,7 @@ def temperature(points: DataFrame, cameras: DataFrame, thermal_photos: DataFrame
     """(cloud with temp and iron colours, statistics). Temperatures are null where no camera sees a point."""
     cams = C.with_optics(C.pair_by_sequence(cameras, thermal_photos), width, height, hfov)
     cams = cams.join(rasters.select("cam_id"), "cam_id", "left_semi")
-    seen = C.sample_values(C.best_camera(points, cams, affine), rasters)
+    seen = cut(C.sample_values(C.best_camera(points, cams, affine), rasters))
     norm = G.robust_normalize(seen, "temp")
     return _through(norm, F.col("temp").isNotNull(), "iron").drop("norm"), C.temperature_stats(seen)
 
@@ -139,9 +143,53 @@ def merge(points: DataFrame, slots: DataFrame, log: DataFrame | None = None, tra
     return merged if log is None else E.replay(merged, E.read_log(log))
 
 
-def quality(points: DataFrame, cameras: DataFrame, images: DataFrame, affine=None, n: int = 50_000, seed: int = 0) -> DataFrame:
-    """Alignment report: colour consistency of a fixed sample over all cameras that see it."""
-    sample = X.fixed_sample(points, n, seed)
+def align_maps(points: DataFrame, slots: DataFrame, align=IC.align_icp) -> DataFrame:
+    """cloud_id and 4x4 matrix m of every visible cloud, placed on the one in the first slot.
+
+    ``align(source, target)`` is a registration that returns a fit; slots are the few rows of an editor."""
+    shown = [r["cloud_id"] for r in slots.where("visible").orderBy("slot").select("cloud_id").collect()]
+    if not shown:
+        raise ValueError("no visible slot")
+    first = points.where(F.col("cloud_id") == shown[0])
+    rows = [(shown[0], np.eye(4).ravel().tolist())]
+    for cloud in shown[1:]:
+        fit = align(points.where(F.col("cloud_id") == cloud), first)
+        rows.append((cloud, (fit[1] if isinstance(fit, tuple) else fit).matrix.ravel().tolist()))
+    return points.sparkSession.createDataFrame(rows, "cloud_id int, m array<double>")
+
+
+def merge_maps(points: DataFrame, slots: DataFrame, out: str, log: DataFrame | None = None, align=IC.align_icp, kind: str = "pcd",
+               single: bool = False) -> DataFrame:
+    """Align the visible maps on the first, merge them, replay the edit log and write the cloud; returns what was written."""
+    merged = merge(points, slots, log, align_maps(points, slots, align))
+    kept = merged.where(visible(merged)) if "visible" in merged.columns else merged
+    write_cloud(kept, out, kind, single)
+    return kept
+
+
+def manual_alignment(source: DataFrame, target: DataFrame, picks: DataFrame, radius: float = 1.0, refine: bool = True,
+                     crop: tuple[float, float] = (0.01, 0.99), default=C.FALLBACK) -> tuple[DataFrame, tuple[float, np.ndarray]]:
+    """Similarity from picked pairs, optionally refined, and the target in the source's colours.
+
+    ``source`` carries red, green, blue. The moved source is cropped to the bulk of its points before the refinement,
+    which runs on clouds thinned to a voxel of the target's size and changes the pose, not the scale. Returns
+    the coloured target, and scale and 4x4 pose: a source point p goes to pose @ (scale * p).
+    """
+    s, r, t = T.fit_similarity(picks)
+    pose = join4(r, t)
+    if refine:
+        scaled = source.select("point_id", *[(F.col(c) * F.lit(s)).alias(c) for c in "xyz"])
+        voxel = max(0.02, IC._diagonal(target) / 250.0)
+        bulk = IC.thinned(X.percentile_crop(scaled, *crop), voxel)
+        near = IC.normals(IC.cut(IC.thinned(target, voxel)), voxel * 2.0)
+        pose = IC.icp(bulk, near, [voxel * k for k in (6.0, 3.0, 1.5)], [pose], "plane", 80)[0].matrix
+    moved = X.apply_matrix(source.withColumns({c: F.col(c) * F.lit(s) for c in "xyz"}), pose)
+    return NB.nn_transfer(target, moved, ("red", "green", "blue"), default, radius), (s, pose)
+
+
+def quality(points: DataFrame, cameras: DataFrame, images: DataFrame, affine=None, n: int | None = None, seed: int = 0) -> DataFrame:
+    """Alignment report: colour consistency of all points, or of a fixed sample of ``n``, over all cameras that see them."""
+    sample = points if n is None else X.fixed_sample(points, n, seed)
     return C.consistency_summary(C.color_consistency(sample, cameras, images, affine), sample)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -15,7 +14,8 @@ from ..operators import icp as IC
 from ..operators import transform as X
 from ..sources import rosbag as RB
 from ..sources import texts as TX
-from ..session import cut
+from ..session import cut, shared_folder
+from ..sources.files import make_folder
 from ..sources.points import register
 from ..streaming import maps as ST
 from . import inputs as I
@@ -172,16 +172,9 @@ def map_from_messages(spark, sf):
 
 def _run_stream(spark, sf, build, mode: str, columns) -> DataFrame:
     """Write the recording down as files, stream it and return what the stream holds at the end."""
-    folder = tempfile.mkdtemp(prefix="stratopoint-stream-")
+    folder = shared_folder(spark, "stream")
     as_messages(spark, sf).repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{folder}/in")
-    name = "s" + folder.rsplit("-", 1)[-1].lower()
-    stream = build(ST.message_stream(spark, f"{folder}/in"))
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/state").start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    return spark.table(name).select(*columns)
+    return ST.run_to_table(build(ST.message_stream(spark, f"{folder}/in")), folder, mode).select(*columns)
 
 
 @query("streamed_map_cells", f"{THIN} SELECT topic, CAST(floor(x / 5e-1) AS BIGINT) AS vx, CAST(floor(y / 5e-1) AS BIGINT) AS vy, CAST(floor(z / 5e-1) AS BIGINT) AS vz FROM v")
@@ -189,9 +182,19 @@ def streamed_map_cells(spark, sf):
     return _run_stream(spark, sf, lambda m: ST.map_from_messages(m, 0.5), "append", ["topic", "vx", "vy", "vz"])
 
 
-@query("streamed_progress", f"{MSG} SELECT topic, count(*) AS n_points FROM fx_messages GROUP BY topic")
+@query("streamed_progress", f"{MSG} SELECT topic, count(*) AS n_points, count(DISTINCT floor(msg_seq / 500)) AS n_messages FROM fx_messages GROUP BY topic")
 def streamed_progress(spark, sf):
-    return _run_stream(spark, sf, lambda m: ST.progress_stream(RB.decode_clouds(m)), "complete", ["topic", "n_points"])
+    return _run_stream(spark, sf, ST.progress_stream, "complete", ["topic", "n_points", "n_messages"])
+
+
+@query("streamed_map_with_watermark", f"{THIN} SELECT topic, count(*) AS n FROM v GROUP BY topic")
+def streamed_map_with_watermark(spark, sf):
+    """With a watermark longer than the recording late messages change nothing."""
+    def build(m):
+        timed = RB.decode_clouds(m).withColumn("at", F.timestamp_micros("ts"))
+        return ST.map_stream(timed, 0.5, ("topic",), "at", "30 days")
+
+    return _run_stream(spark, sf, build, "append", ["topic"]).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("streamed_latest", f"{MSG}, f AS (SELECT topic, min(msg_seq) AS first FROM fx_messages GROUP BY topic, floor(msg_seq / 500)) "
@@ -217,7 +220,7 @@ def _written(spark, sf, kind: str) -> DataFrame:
     from ..sources.points import write_cloud
 
     register(spark)
-    path = tempfile.mkdtemp(prefix="stratopoint-out-") + "/cloud"
+    path = shared_folder(spark, "out") + "/cloud"
     p = I.points(spark, sf).withColumns({c: (F.col("point_id") * k % 256).cast("short") for c, k in (("red", 1), ("green", 3), ("blue", 7))})
     write_cloud(p.drop("intensity") if kind == "ply" else p.withColumn("intensity", F.coalesce("intensity", F.lit(-1.0))).drop("red", "green", "blue"), path, kind)
     return spark.read.format(kind).load(path)
@@ -235,9 +238,25 @@ def pcd_write_and_read(spark, sf):
     return _written(spark, sf, "pcd").select(r6("x"), r6("y"), r6("z"), r6(F.col("intensity").cast("double"), "intensity"))
 
 
+@query("clouds_in_many_files", f"{P} SELECT row_number() OVER (ORDER BY cloud_id, point_id) - 1 AS point_id, {s6(F32.format(c='x'), 'x')}, {s6(F32.format(c='y'), 'y')}, "
+       "CASE WHEN cloud_id = 1 THEN CAST(point_id % 256 AS SMALLINT) END AS red FROM fx_points")
+def clouds_in_many_files(spark, sf):
+    """A folder with a file per cloud, in both formats, read as one dataset with one running point_id."""
+    from ..sources.points import read_points, write_cloud
+
+    register(spark)
+    folder = shared_folder(spark, "clouds")
+    p = I.points(spark, sf).withColumns({c: (F.col("point_id") % 256).cast("short") for c in ("red", "green", "blue")})
+    make_folder(folder)
+    for cloud, kind in ((0, "pcd"), (1, "ply"), (2, "pcd")):
+        one = p.where(F.col("cloud_id") == cloud)
+        write_cloud(one if kind == "ply" else one.drop("red", "green", "blue", "intensity"), f"{folder}/{cloud}.{kind}", kind, single=True)
+    return read_points(spark, folder).select("point_id", r6("x"), r6("y"), F.col("red").cast("short").alias("red"))
+
+
 @query("model_text_round_trip", f"{I.with_sql('fx_cameras')} SELECT cam_id, name, {s6('c_x', 'cx')}, {s6('c_y', 'cy')}, {s6('c_z', 'cz')} FROM fx_cameras")
 def model_text_round_trip(spark, sf):
-    folder = tempfile.mkdtemp(prefix="stratopoint-model-")
+    folder = shared_folder(spark, "model")
     pts = I.points(spark, sf).select(F.col("point_id").alias("pid"), "x", "y", "z", *[F.lit(k).cast("short").alias(c) for c, k in
                                      (("red", 1), ("green", 2), ("blue", 3))], F.lit(0.5).alias("err"))
     TX.write_model(I.cameras(spark, sf).withColumn("camera_no", F.lit(1)), pts, folder)

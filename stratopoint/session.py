@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -32,9 +33,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is not None:
         return
     named = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY, None)
+    if not named and not sc.master.startswith("local["):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="stratopoint-ckpt-"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the checkpoint folder, for data that tasks on all machines read."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and continue from there.
 

@@ -9,6 +9,8 @@ import pyarrow.fs as pafs
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
@@ -37,3 +39,8 @@ def read_range(path: str, start: int, length: int | None = None) -> bytes:
     with fs.open_input_file(p) as f:
         f.seek(start)
         return f.read() if length is None else f.read(length)
+
+
+def make_folder(path: str) -> None:
+    fs, p = open_fs(path)
+    fs.create_dir(p, recursive=True)

@@ -179,6 +179,20 @@ def decode_message(buf: bytes) -> dict[str, np.ndarray] | None:
     return {c: points[c].astype(np.float64) for c in wanted}
 
 
+def decoded(data: bytes) -> dict[str, np.ndarray] | None:
+    """A message's arrays, None also for a broken message."""
+    try:
+        return decode_message(bytes(data))
+    except (struct.error, IndexError, ValueError):
+        return None
+
+
+def finite_points(data: bytes) -> int:
+    """Points of a message that a cloud would keep."""
+    cloud = decoded(data)
+    return 0 if cloud is None else int(np.isfinite(np.column_stack([cloud[c] for c in "xyz"])).all(1).sum())
+
+
 DECODED = ("topic string, ts long, msg_seq long, point_idx int, x double, y double, z double, intensity double")
 
 
@@ -188,12 +202,6 @@ def decode_clouds(messages: DataFrame, single: bool = True) -> DataFrame:
     Coordinates pass through single precision, as recorded maps keep them;
     ``intensity`` is null where the message has none.
     """
-    def decoded(data) -> dict[str, np.ndarray] | None:
-        try:
-            return decode_message(bytes(data))
-        except (struct.error, IndexError, ValueError):
-            return None
-
     def run(frames):
         for pdf in frames:
             pdf["cloud"] = pdf["data"].map(decoded)

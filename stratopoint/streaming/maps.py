@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.grid import voxel_key
 from ..operators.select import finite
-from ..sources.rosbag import MESSAGES, decode_clouds
+from ..sources.rosbag import MESSAGES, decode_clouds, finite_points
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -53,6 +53,29 @@ def latest_stream(messages: DataFrame) -> DataFrame:
     return messages.groupBy("topic").agg(F.max("ts").alias("ts"), F.max_by("msg_seq", F.struct("ts", "msg_seq")).alias("msg_seq"))
 
 
-def progress_stream(points: DataFrame) -> DataFrame:
-    """Points so far and the distinct messages they came from, per topic (complete mode)."""
-    return points.groupBy("topic").agg(F.count(F.lit(1)).alias("n_points"), F.approx_count_distinct("msg_seq").alias("n_messages"))
+def progress_stream(messages: DataFrame) -> DataFrame:
+    """Messages and finite points so far, per topic (complete mode). Messages are counted before they are decoded."""
+    def count(frames):
+        for pdf in frames:
+            pdf["n_points"] = [finite_points(bytes(d)) for d in pdf["data"]]
+            yield pdf[["topic", "n_points"]]
+
+    counted = messages.select("topic", "data").mapInPandas(count, "topic string, n_points long")
+    return counted.groupBy("topic").agg(F.sum("n_points").alias("n_points"), F.count(F.lit(1)).alias("n_messages"))
+
+
+def run_to_table(stream: DataFrame, path: str, mode: str) -> DataFrame:
+    """Run a stream over everything that has arrived and return what it holds, from a table of its batches.
+
+    Append mode keeps all batches; complete mode keeps the newest, which holds everything."""
+    spark = stream.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    held = spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out")
+    if mode == "complete":
+        held = held.where(F.col("batch") == held.agg(F.max("batch")).scalar())
+    return held.drop("batch")
