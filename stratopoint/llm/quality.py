@@ -1,7 +1,8 @@
 """Quality rules: line-first cleaning.
 
-Every line is judged by itself, and a line that breaks a rule is removed: punctuation (no closing
-punctuation, or too many symbols), navigation (menu separators) and boilerplate (stock phrases).
+Every line is judged by itself, and a line that breaks a rule is removed: punctuation (neither closed nor
+punctuated inside, or too many symbols), navigation (menu separators) and boilerplate (stock phrases, words
+said over and over).
 A document is then rejected when it is too short, repeats itself too much, or has lost too many of
 its words. Lines without words are layout and stay.
 
@@ -25,6 +26,7 @@ from . import common
 
 SYMBOLS = "#*$%&|<>"
 CLOSING = ".!?:;\"')]"
+INNER = ".!?:;,"
 CLOSING_WIDE = ("’", "”", "…", "。", "！", "？", "»", "›")
 PHRASES = (
     "lorem ipsum", "javascript", "cookie policy", "use of cookies", "uses cookies", "privacy policy", "terms of use",
@@ -43,6 +45,8 @@ class QualityRules:
     window: int = 8                     # words of a repeated window
     max_repeat_percent: int = 30
     symbol_percent: int = 10            # of a line's characters in words
+    inner_percent: int = 4              # of a line's words end in a mark: then it need not close with one
+    stutter_percent: int = 30           # of a line's words repeat the word before
     menu_separators: int = 3            # separators that make a line a menu ...
     menu_percent: int = 20              # ... when they are so many of its words
     phrase_words: int = 25              # a longer line is prose that mentions a phrase
@@ -75,7 +79,7 @@ def _repeated(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _bad_lines(data, starts, ends, line_words, words_of, pre_symbol, rules: QualityRules) -> np.ndarray:
-    word_start, word_end = words_of
+    word_start, word_end, word_hash = words_of
     has = line_words > 0
     last_word = np.cumsum(line_words) - 1
     end = np.where(has, word_end[np.maximum(last_word, 0)] if len(word_end) else 0, 1)
@@ -91,11 +95,21 @@ def _bad_lines(data, starts, ends, line_words, words_of, pre_symbol, rules: Qual
     symbols = pre_symbol[1][ends] - pre_symbol[1][starts]
     single = (word_end - word_start == 1) & np.isin(data[word_start], np.frombuffer(b"|>", np.uint8)) if len(word_start) else np.zeros(0, bool)
     first_word = last_word - line_words + 1
-    menus = np.concatenate([[0], np.cumsum(single)])
-    menu = menus[last_word + 1] - menus[first_word]
+
+    def per_line(flags: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(flags)])
+        return total[last_word + 1] - total[first_word]
+
+    menu = per_line(single)
+    inner = per_line(np.isin(data[word_end - 1], np.frombuffer(INNER.encode(), np.uint8)) if len(word_end) else single)
+    again = np.zeros(len(word_start), bool)
+    again[1:] = word_hash[1:] == word_hash[:-1]
+    again[first_word[has]] = False
+    stutter = per_line(again)
     lines = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data)])
     phrase = pc.match_substring_regex(lines, "|".join(PHRASES), ignore_case=True).to_numpy(zero_copy_only=False)
-    return has & (~closed | (100 * symbols > rules.symbol_percent * chars)
+    return has & ((~closed & (100 * inner < rules.inner_percent * line_words)) | (100 * symbols > rules.symbol_percent * chars)
+                  | (100 * stutter >= rules.stutter_percent * line_words)
                   | ((menu >= rules.menu_separators) & (100 * menu >= rules.menu_percent * line_words))
                   | (phrase & (line_words <= rules.phrase_words)))
 
@@ -117,13 +131,14 @@ def judge(column: pa.Array, rules: QualityRules, with_text: bool) -> list:
     full = np.flatnonzero(line_words)
     later = _repeated(common.span(pre, start[full], end[full]), doc[full])[1]
     dup_lines = np.bincount(doc[full][later], minlength=n_docs)
+    word_hash = common.span(pre, w_start, w_end)
     at, row = common.windows(n_words, rules.window)
     repeat = np.zeros(n_docs, np.int64)
     if len(at):
-        pre_word = common.prefix(common.span(pre, w_start, w_end), 1)
+        pre_word = common.prefix(word_hash, 1)
         twice = _repeated(common.span(pre_word, at, at + rules.window, 1), row)[0]
         repeat = common.per_row(common.covered(at[twice], rules.window, len(w_start)), w_off)
-    bad = _bad_lines(data, start, end, line_words, (w_start, w_end), (pre_letter, pre_sym), rules)
+    bad = _bad_lines(data, start, end, line_words, (w_start, w_end, word_hash), (pre_letter, pre_sym), rules)
     lost = np.bincount(doc, weights=line_words * bad, minlength=n_docs).astype(np.int64)
     failed = (n_words < rules.min_words) | (100 * repeat > rules.max_repeat_percent * n_words)
     kept = ~failed & (100 * lost <= rules.max_lost_percent * n_words)

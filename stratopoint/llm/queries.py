@@ -22,7 +22,9 @@ rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat FROM twice, range({_RUL
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS li FROM d),
 lw AS (SELECT *, regexp_extract_all(line, '{WORD}') AS ws, row_number() OVER (PARTITION BY doc_id, line ORDER BY li) AS nth FROM l),
 lf AS (SELECT doc_id, nth, len(ws) AS n,
-              NOT regexp_matches(ws[-1], '[.!?:;"'')\]’”…。！？»›]$')
+              (NOT regexp_matches(ws[-1], '[.!?:;"'')\]’”…。！？»›]$')
+               AND 100 * len(list_filter(ws, lambda x: regexp_matches(x, '[.!?:;,]$'))) < {_RULES.inner_percent} * len(ws))
+              OR 100 * len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) >= {_RULES.stutter_percent} * len(ws)
               OR 100 * len(regexp_extract_all(line, '[#*$%&|<>]')) > {_RULES.symbol_percent} * length(list_aggregate(ws, 'string_agg', ''))
               OR (len(list_filter(ws, lambda x: x IN ('|', '>'))) >= {_RULES.menu_separators}
                   AND 100 * len(list_filter(ws, lambda x: x IN ('|', '>'))) >= {_RULES.menu_percent} * len(ws))
