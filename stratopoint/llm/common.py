@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -36,16 +35,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@lru_cache(maxsize=4)
-def _powers(radix: int, size: int) -> np.ndarray:
-    out = np.full(size, radix, U64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_TABLES: dict[int, np.ndarray] = {}      # of a task: one table per radix, as long as the longest block has needed
 
 
 def powers(radix: int, n: int) -> np.ndarray:
     """radix ** 0 .. n - 1 modulo 2 ** 64, from a table that grows by doubling."""
-    return _powers(radix, 1 << max(16, (n - 1).bit_length()))[:n]
+    if radix not in _TABLES or len(_TABLES[radix]) < n:
+        table = np.full(1 << max(16, (n - 1).bit_length()), radix, U64)
+        table[0] = 1
+        _TABLES[radix] = np.multiply.accumulate(table)
+    return _TABLES[radix][:n]
 
 
 def prefix(values: np.ndarray, lane: int = 0) -> np.ndarray:

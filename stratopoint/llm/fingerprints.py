@@ -106,7 +106,8 @@ def fingerprints(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
         level += 1
     owner = np.concatenate(owners)
     value = (common.mix(np.concatenate(names) ^ U64(0x2545F4914F6CDD1D)) >> U64(32)).astype(np.int64) | owner << 32
-    value = np.unique(value)
+    value.sort()
+    value = value[np.append(True, value[1:] != value[:-1])] if len(value) else value
     owner = value >> 32
     edge = np.searchsorted(owner, np.arange(n + 1))
     value = (value & 0xFFFFFFFF).astype(np.uint32)
