@@ -277,8 +277,8 @@ def stride_sample(df: DataFrame, limit: int = 400_000, step: int | None = None)
 
 
 def fixed_sample(df: DataFrame, n: int = 50_000, seed: int = 0) -> DataFrame:
-    """Reproducible sample without replacement: the n smallest seeded hashes."""
-    return df.orderBy(F.xxhash64("point_id", F.lit(seed)), "point_id").limit(n)
+    """Reproducible sample without replacement: the n smallest seeded md5 digests of the ids."""
+    return df.orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), "point_id")), "point_id").limit(n)
 
 
 def rerank(df: DataFrame, order: Sequence[str], name: str = "point_id") -> DataFrame:

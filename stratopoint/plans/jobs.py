@@ -144,18 +144,19 @@ def merge(points: DataFrame, slots: DataFrame, log: DataFrame | None = None, tra
 
 
 def align_maps(points: DataFrame, slots: DataFrame, align=IC.align_icp) -> DataFrame:
-    """cloud_id and 4x4 matrix m of every visible cloud, placed on the one in the first slot.
+    """cloud_id and affine (a, b) of every visible cloud, placed on the one in the first slot.
 
     ``align(source, target)`` is a registration that returns a fit; slots are the few rows of an editor."""
     shown = [r["cloud_id"] for r in slots.where("visible").orderBy("slot").select("cloud_id").collect()]
     if not shown:
         raise ValueError("no visible slot")
     first = points.where(F.col("cloud_id") == shown[0])
-    rows = [(shown[0], np.eye(4).ravel().tolist())]
+    rows = [(shown[0], np.eye(3).ravel().tolist(), [0.0, 0.0, 0.0])]
     for cloud in shown[1:]:
         fit = align(points.where(F.col("cloud_id") == cloud), first)
-        rows.append((cloud, (fit[1] if isinstance(fit, tuple) else fit).matrix.ravel().tolist()))
-    return points.sparkSession.createDataFrame(rows, "cloud_id int, m array<double>")
+        m = (fit[1] if isinstance(fit, tuple) else fit).matrix
+        rows.append((cloud, m[:3, :3].ravel().tolist(), m[:3, 3].tolist()))
+    return points.sparkSession.createDataFrame(rows, "cloud_id int, a array<double>, b array<double>")
 
 
 def merge_maps(points: DataFrame, slots: DataFrame, out: str, log: DataFrame | None = None, align=IC.align_icp, kind: str = "pcd",

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.linear import join4, rot_z
 from ..operators import align as AL
 from ..operators import icp as IC
+from ..operators import neighbours as NB
+from ..operators import select as SE
 from ..operators import transform as X
 from ..sources import rosbag as RB
 from ..sources import texts as TX
@@ -19,7 +21,8 @@ from ..sources.files import make_folder
 from ..sources.points import register
 from ..streaming import maps as ST
 from . import inputs as I
-from .queries_grid import SHIFT, YAW, model
+from . import jobs
+from .queries_grid import DSM_SQL, MOVED_SQL, OFF, SHIFT, YAW, model, pose_sql
 from .registry import query, r6, s6
 
 P = I.with_sql("fx_points")
@@ -30,24 +33,46 @@ def surface(spark, sf):
     return I.spread(I.derived(spark, sf, "fx_surface"))
 
 
-@query("surface_score_of_poses")
+POSES = [(YAW, *OFF), (YAW, OFF[0] + 1.0, OFF[1], OFF[2]), (YAW + 0.1, *OFF)]
+
+
+@query("surface_score_of_poses",
+       f"{SURF}, {DSM_SQL.format(t='fx_surface')}, {pose_sql(POSES)}, {MOVED_SQL}, n AS (SELECT count(*) AS n FROM m), "
+       "k AS (SELECT pose, count(*) AS hits, sum(exp(-(r / 5e-1) * (r / 5e-1))) AS total FROM hit GROUP BY pose) "
+       f"SELECT CAST(pose.pose AS INT) AS pose, {s6('CASE WHEN coalesce(hits, 0) >= 500 THEN total / n ELSE 0e0 END', 'score')} FROM pose LEFT JOIN k ON k.pose = pose.pose, n")
 def surface_score_of_poses(spark, sf):
-    poses = [(YAW, *SHIFT), (YAW, SHIFT[0] + 1.0, SHIFT[1], SHIFT[2]), (YAW + 0.1, *SHIFT)]
-    return AL.dsm_score(model(spark, sf), surface(spark, sf), poses, 0.5).select("pose", r6("score"))
+    return AL.dsm_score(model(spark, sf), surface(spark, sf), POSES, 0.5).select("pose", r6("score"))
+
 
+def near(df, **found) -> DataFrame:
+    """One row: is each found value as near to the planted one as the third number says?"""
+    return df.agg(*[F.max(F.lit(bool(abs(v - want) <= tol))).alias(n) for n, (v, want, tol) in found.items()])
 
-@query("coarse_turn")
+
+@query("coarse_turn", "SELECT true AS yaw, true AS tx, true AS ty, true AS unambiguous")
 def coarse_turn(spark, sf):
+    """The planted turn within a step of the fine circle, the shift within two cells."""
     m = model(spark, sf)
-    c = AL.coarse_yaw(m, surface(spark, sf), step=6.0)
-    return m.agg(*[r6(F.max(F.lit(float(v))), n) for n, v in (("yaw_deg", math.degrees(c["yaw"])), ("tx", c["tx"]), ("ty", c["ty"]), ("ratio", c["ratio"]))])
+    c = AL.coarse_yaw(m, surface(spark, sf))
+    return near(m, yaw=(math.degrees(c["yaw"]), math.degrees(YAW), 0.5), tx=(c["tx"], SHIFT[0], 1.5), ty=(c["ty"], SHIFT[1], 1.5),
+                unambiguous=(float(c["ratio"] > 1.05), 1.0, 0.0))
 
 
-@query("fine_fit_to_surface")
+@query("fine_fit_to_surface", "SELECT true AS yaw, true AS tx, true AS ty, true AS tz")
 def fine_fit_to_surface(spark, sf):
+    """The planted pose from a start a degree and a foot away."""
     m = model(spark, sf)
     fit = AL.fit_to_dsm(m, surface(spark, sf), YAW + 0.01, SHIFT[0] + 0.3, SHIFT[1] - 0.2)
-    return m.agg(*[r6(F.max(F.lit(float(v))), n) for n, v in (("yaw_deg", math.degrees(fit["yaw"])), ("tx", fit["t"][0]), ("ty", fit["t"][1]), ("tz", fit["t"][2]))])
+    return near(m, yaw=(math.degrees(fit["yaw"]), math.degrees(YAW), 0.3), **{n: (fit["t"][i], SHIFT[i], 0.3) for i, n in enumerate(("tx", "ty", "tz"))})
+
+
+@query("automatic_alignment", "SELECT true AS yaw, true AS tx, true AS ty, true AS tz, true AS share")
+def automatic_alignment(spark, sf):
+    """Coarse turn and fine fit together, over all points of both clouds."""
+    m = model(spark, sf)
+    fit = AL.auto_align(m, surface(spark, sf))
+    return near(m, yaw=(math.degrees(fit["yaw"]), math.degrees(YAW), 0.3), share=(fit["share"], 0.98, 0.1),
+                **{n: (fit["t"][i], SHIFT[i], 0.3) for i, n in enumerate(("tx", "ty", "tz"))})
 
 
 MOTION = join4(rot_z(math.radians(1.0)), [0.3, -0.2, 0.1])
@@ -91,24 +116,83 @@ def registration_evaluation(spark, sf):
     return e.select("n", r6("fitness"), r6("rmse"))
 
 
-@query("icp_correspondences")
+@query("icp_correspondences",
+       f"{P}, k AS (SELECT *, CAST(floor(x / 3e0) AS BIGINT) gx, CAST(floor(y / 3e0) AS BIGINT) gy FROM fx_points), s AS (SELECT unnest([-1, 0, 1]) AS s), "
+       "w AS (SELECT point_id AS t_point_id, x, y, z, gx + a.s AS gx, gy + b.s AS gy FROM k, s a, s b WHERE cloud_id = 1), "
+       "pair AS (SELECT k.point_id, t_point_id, (k.x - w.x) * (k.x - w.x) + (k.y - w.y) * (k.y - w.y) + (k.z - w.z) * (k.z - w.z) AS d2 FROM k JOIN w USING (gx, gy) WHERE cloud_id = 0) "
+       f"SELECT point_id, t_point_id, {s6('d2', 'd2')} FROM pair WHERE d2 < 9 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY pair.d2, t_point_id) = 1")
 def icp_correspondences(spark, sf):
     p = I.points(spark, sf)
     return IC.correspondences(p.where("cloud_id = 0"), p.where("cloud_id = 1"), 3.0).select("point_id", "t_point_id", r6("d2"))
 
 
-@query("surface_normals")
+@query("surface_normals",
+       f"{P}, t AS (SELECT point_id, x, y, 3e-1 * x + 2e-1 * y AS z, CAST(floor(x / 8e0) AS BIGINT) gx, CAST(floor(y / 8e0) AS BIGINT) gy FROM fx_points), s AS (SELECT unnest([-1, 0, 1]) AS s), "
+       "w AS (SELECT x, y, z, gx + a.s AS gx, gy + b.s AS gy FROM t, s a, s b), "
+       "k AS (SELECT t.point_id, count(*) AS k FROM t JOIN w USING (gx, gy) WHERE (t.x - w.x) * (t.x - w.x) + (t.y - w.y) * (t.y - w.y) + (t.z - w.z) * (t.z - w.z) < 64 GROUP BY 1) "
+       "SELECT point_id, round(CASE WHEN k < 3 THEN 0e0 ELSE 3e-1 / sqrt(113e-2) END, 5) AS nx, round(CASE WHEN k < 3 THEN 0e0 ELSE 2e-1 / sqrt(113e-2) END, 5) AS ny, "
+       "round(CASE WHEN k < 3 THEN 1e0 ELSE 1e0 / sqrt(113e-2) END, 5) AS nz FROM k")
 def surface_normals(spark, sf):
-    n = IC.normals(I.points(spark, sf), 8.0)
-    return n.select("point_id", *[r6(F.abs(c), c) for c in ("nx", "ny", "nz")])
+    """Normals of all points laid on a sloping plane; the sign of a normal is free."""
+    plane = I.points(spark, sf).withColumn("z", 0.3 * F.col("x") + 0.2 * F.col("y"))
+    return IC.normals(plane, 8.0).select("point_id", *[F.round(F.abs(c), 5).alias(c) for c in ("nx", "ny", "nz")])
 
 
-@query("align_from_picked_pairs", PLACE)
+@query("align_from_picked_pairs", f"{P} SELECT point_id, true AS near FROM fx_points")
 def align_from_picked_pairs(spark, sf):
     src, tgt = displaced(spark, sf), I.points(spark, sf)
     picks = src.where("z > 6").select("point_id", *[F.col(c).alias("s" + c) for c in "xyz"]).join(
         tgt.select("point_id", *[F.col(c).alias("t" + c) for c in "xyz"]), "point_id")
-    return back_in_place(IC.align_from_pairs(src, tgt, picks, refine=False), spark, sf)
+    placed = X.apply_matrix(src, IC.align_from_pairs(src, tgt, picks).matrix).select("point_id", *[F.col(c).alias("m" + c) for c in "xyz"])
+    gap = sum((F.abs(F.col("m" + c) - F.col(c)) for c in "yz"), F.abs(F.col("mx") - F.col("x")))
+    return tgt.join(placed, "point_id").select("point_id", (gap < 0.05).alias("near"))
+
+
+@query("pick_similarity_and_recolour",
+       f"{P} SELECT point_id, CAST(point_id % 256 AS SMALLINT) AS red, CAST(point_id * 3 % 256 AS SMALLINT) AS green FROM fx_points")
+def pick_similarity_and_recolour(spark, sf):
+    """A coloured copy of the cloud at another scale, placed by picks and refined: every point gets its own colour back."""
+    tgt = I.points(spark, sf).select("point_id", "x", "y", "z")
+    small = X.apply_matrix(tgt, np.linalg.inv(MOTION)).withColumns({c: F.col(c) / 2.0 for c in "xyz"})
+    src = small.select("point_id", "x", "y", "z", *[(F.col("point_id") * k % 256).cast("short").alias(c) for c, k in (("red", 1), ("green", 3), ("blue", 7))])
+    picks = src.select("point_id", *[F.col(c).alias("s" + c) for c in "xyz"]).join(tgt.select("point_id", *[F.col(c).alias("t" + c) for c in "xyz"]), "point_id")
+    return jobs.manual_alignment(src, tgt, picks, 1.0)[0].select("point_id", "red", "green")
+
+
+@query("coverage_by_neighbours",
+       f"{P}, a AS (SELECT *, CAST(floor(x / 2e0) AS BIGINT) gx, CAST(floor(y / 2e0) AS BIGINT) gy FROM fx_points), o AS (SELECT unnest([-1, 0, 1]) AS o), "
+       "b AS (SELECT c.candidate, x + c.d AS x, y, z FROM fx_points, (VALUES ('as it is', 0e0), ('shifted', 15e-1)) c(candidate, d)), "
+       "w AS (SELECT candidate, x, y, z, CAST(floor(x / 2e0) AS BIGINT) + p.o AS gx, CAST(floor(y / 2e0) AS BIGINT) + q.o AS gy FROM b, o p, o q), "
+       "h AS (SELECT DISTINCT candidate, point_id FROM a JOIN w USING (gx, gy) WHERE (a.x - w.x) * (a.x - w.x) + (a.y - w.y) * (a.y - w.y) + (a.z - w.z) * (a.z - w.z) <= 1), "
+       "n AS (SELECT count(*) AS n_points FROM fx_points), c AS (SELECT DISTINCT candidate FROM b) "
+       f"SELECT candidate, n_points, count(point_id) AS n_hit, {s6('count(point_id) / CAST(n_points AS DOUBLE)', 'coverage')} FROM c LEFT JOIN h USING (candidate), n GROUP BY candidate, n_points")
+def coverage_by_neighbours(spark, sf):
+    p = I.points(spark, sf).select("point_id", "x", "y", "z")
+    got = NB.coverage_by_neighbour(p, p, {"as it is": (np.eye(3), np.zeros(3)), "shifted": (np.eye(3), np.array([1.5, 0.0, 0.0]))}, 1.0)
+    return got.select("candidate", "n_points", "n_hit", r6("coverage"))
+
+
+@query("deletion_with_count", f"{P} SELECT count(*) FILTER (WHERE z > 8) AS n_deleted, count(*) FILTER (WHERE z <= 8) AS n_kept FROM fx_points")
+def deletion_with_count(spark, sf):
+    p = I.points(spark, sf).withColumn("selected", F.col("z") > 8)
+    left, seen = SE.delete_counted(p)
+    n = left.count()
+    return left.agg(F.max(F.lit(seen.get["n_deleted"])).alias("n_deleted"), F.max(F.lit(n)).alias("n_kept"))
+
+
+@query("aligned_merge_written",
+       f"{P} SELECT row_number() OVER (ORDER BY cloud_id, point_id) - 1 AS point_id, round(x, 2) + 0e0 AS x, round(y, 2) + 0e0 AS y FROM fx_points")
+def aligned_merge_written(spark, sf):
+    """Three maps, each a displaced copy of its part, placed by the known motion, merged, written and read again."""
+    from ..sources.points import read_points
+
+    register(spark)
+    moved = X.apply_matrix(I.points(spark, sf), np.linalg.inv(MOTION))
+    first = I.points(spark, sf).where("cloud_id = 0").unionByName(moved.where("cloud_id <> 0"))
+    slots = spark.createDataFrame([(0, 0, True), (1, 1, True), (2, 2, True)], "cloud_id int, slot int, visible boolean")
+    out = shared_folder(spark, "merged")
+    jobs.merge_maps(first, slots, out, align=lambda s, t: IC.Fit(MOTION))
+    return read_points(spark, out).select("point_id", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
 
 
 # ------------------------------------------------------ messages and streams

@@ -230,9 +230,9 @@ def stride_sample(spark, sf):
     return X.stride_sample(I.points(spark, sf), 3000).select("point_id")
 
 
-@query("fixed_sample")
+@query("fixed_sample", f"{P} SELECT point_id, {s6('x', 'x')}, {s6('y', 'y')}, {s6('z', 'z')} FROM fx_points ORDER BY md5('7/' || point_id), point_id LIMIT 500")
 def fixed_sample(spark, sf):
-    return X.fixed_sample(I.points(spark, sf), 500, 7).select("point_id", "x", "y", "z")
+    return X.fixed_sample(I.points(spark, sf), 500, 7).select("point_id", r6("x"), r6("y"), r6("z"))
 
 
 @query("dense_ordinal", f"{P} SELECT point_id, row_number() OVER (ORDER BY z, point_id) - 1 AS ordinal FROM fx_points WHERE x > 0")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import camera as cam
-from ..functions.linear import rot_z
+from ..functions.linear import rot_x, rot_y, rot_z
 from ..operators import colouring as C
 from ..operators import edit as E
 from ..operators import estimate as T
@@ -151,7 +151,19 @@ def colour_consistency(spark, sf):
     return C.color_consistency(I.points(spark, sf), c, I.images(c)).select("point_id", "views", r6("sd"))
 
 
-@query("colour_consistency_on_edges")
+CONSISTENCY = (
+       f"{PROJ}, col AS (SELECT point_id, ((7 * CAST(floor(u) AS BIGINT) + 13 * CAST(floor(v) AS BIGINT) + 31 * cam_id) % 256) / 255e0 r, "
+       "((3 * CAST(floor(u) AS BIGINT) + 5 * CAST(floor(v) AS BIGINT) + 17 * cam_id) % 256) / 255e0 g, ((CAST(floor(u) AS BIGINT) + CAST(floor(v) AS BIGINT) + 101 * cam_id) % 256) / 255e0 b FROM seen), "
+       "per AS (SELECT point_id, (sqrt(var_pop(r)) + sqrt(var_pop(g)) + sqrt(var_pop(b))) / 3 AS sd FROM col GROUP BY point_id HAVING count(*) >= 2), "
+       "total AS (SELECT count(*) AS n_points FROM fx_points)")
+
+
+@query("colour_consistency_on_edges",
+       f"{CONSISTENCY}, o AS (SELECT min(x) - 4e0 x0, min(y) - 4e0 y0 FROM fx_points), "
+       "k AS (SELECT point_id, z, CAST(trunc((x - x0) / 2e0) AS BIGINT) ix, CAST(trunc((y - y0) / 2e0) AS BIGINT) iy FROM fx_points, o), "
+       "cells AS (SELECT ix, iy, CAST(CAST(max(z) AS FLOAT) AS DOUBLE) z FROM k GROUP BY 1, 2), "
+       "e AS (SELECT DISTINCT a.ix, a.iy FROM cells a, cells b WHERE ((b.ix = a.ix AND abs(b.iy - a.iy) = 1) OR (b.iy = a.iy AND abs(b.ix - a.ix) = 1)) AND abs(a.z - b.z) > 1) "
+       f"SELECT count(*) AS n_seen, max(n_points) AS n_points, {s6('avg(sd)', 'mean_sd')} FROM per JOIN k USING (point_id) JOIN e USING (ix, iy), total")
 def colour_consistency_on_edges(spark, sf):
     c, p = I.cameras(spark, sf), I.points(spark, sf)
     per = C.color_consistency(p, c, I.images(c))
@@ -396,11 +408,17 @@ def align_preview(spark, sf):
     return R.align_preview(I.derived(spark, sf, "fx_surface"), model(spark, sf), YAW, SHIFT).select("v", "u", "red", "green", "blue")
 
 
-@query("frame_strips")
+@query("frame_strips",
+       f"{RAST}, z AS (SELECT frame, v, u, point_id FROM pix WHERE u BETWEEN 0 AND {W_ - 1} AND v BETWEEN 0 AND {H_ - 1} "
+       "QUALIFY row_number() OVER (PARTITION BY frame, v, u ORDER BY pix.depth, point_id) = 1), "
+       f"b AS (SELECT frame, v // 64 AS strip, 3 * ((v % 64) * {W_} + u) AS pos, point_id FROM z) "
+       f"SELECT CAST(frame AS INT) AS frame, CAST(strip AS INT) AS strip, CAST(least(64, {H_} - 64 * strip) AS INT) AS height, {W_} AS width, "
+       "CAST(sum((pos + 1) * (point_id % 256) + (pos + 2) * (point_id * 3 % 256) + (pos + 3) * 7) AS BIGINT) AS checksum FROM b GROUP BY frame, strip")
 def frame_strips(spark, sf):
-    px = R.zbuffer(R.height_colours(I.points(spark, sf)), frames(spark), W_, H_, FOC)
-    strips = R.frames_to_rasters(px, W_, H_)
-    return strips.select("frame", "strip", "height", "width", F.md5("data").alias("digest"))
+    """Strips of the orbit frames; the checksum weighs every byte by its place in its strip."""
+    strips = R.frames_to_rasters(R.zbuffer(painted(spark, sf), frames(spark), W_, H_, FOC), W_, H_)
+    weighed = "aggregate(sequence(1, length(data)), 0L, (s, i) -> s + i * cast(conv(hex(substring(data, i, 1)), 16, 10) AS BIGINT))"
+    return strips.select("frame", "strip", "height", "width", F.expr(weighed).alias("checksum"))
 
 
 @query("clip_schedule", f"{P}, f AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS frame), c AS (SELECT frame, CASE WHEN frame < 2 THEN 20e0 WHEN frame < 6 THEN 20 - (frame - 2) / 4e0 * 157e-1 ELSE 43e-1 END AS clip_z FROM f) "
@@ -412,19 +430,53 @@ def clip_schedule(spark, sf):
             .groupBy(F.col("f.frame").alias("frame")).agg(F.count(F.lit(1)).alias("n")))
 
 
-def view_digest(v):
-    return v.select("cam_id", "view", "height", "width", F.md5("data").alias("digest"))
+VIEW = 64
+DOWN = [(float(y), -20.0) for y in range(0, 360, 60)]
+AROUND = [(float(y), 60.0) for y in range(0, 360, 45)]
+
+
+def view_sql(rotations, size: tuple[int, int], place: str, wrap: bool) -> str:
+    """Sums of the bilinear pixels of all views of all images, from the formula the images are painted with."""
+    w, h = size
+    turns = ", ".join(f"({i}, " + ", ".join(f"{float(x)!r}e0" if "e" not in repr(float(x)) else repr(float(x)) for x in r.ravel()) + ")" for i, r in enumerate(rotations))
+    pixel = {n: f"((({a} * X + {b} * Y + {c} * cam_id) % 256 + 0e0))" for n, (a, b, c) in {"red": (7, 13, 31), "green": (3, 5, 17), "blue": (1, 1, 101)}.items()}
+
+    def corner(name: str, dx: int, dy: int) -> str:
+        x, y = f"(x0 + {dx})", f"(y0 + {dy})"
+        wrapped = pixel[name].replace("X", f"((({x}) % {w} + {w}) % {w})").replace("Y", f"((({y}) % {h} + {h}) % {h})")
+        ok = "seen" if wrap else f"seen AND {x} BETWEEN 0 AND {w - 1} AND {y} BETWEEN 0 AND {h - 1}"
+        return f"CASE WHEN {ok} THEN {wrapped} ELSE 0e0 END"
 
+    tone = {n: f"round_even((({corner(n, 0, 0)}) * (1 - fx) + ({corner(n, 1, 0)}) * fx) * (1 - fy) + (({corner(n, 0, 1)}) * (1 - fx) + ({corner(n, 1, 1)}) * fx) * fy, 0)" for n in pixel}
+    return (f"{I.with_sql('fx_cameras')}, t(view, r0, r1, r2, r3, r4, r5, r6, r7, r8) AS (SELECT * FROM (VALUES {turns})), "
+            f"g AS (SELECT cam_id, t.*, u, v, (u - {VIEW / 2}e0) / {VIEW / 2}e0 AS a, (v - {VIEW / 2}e0) / {VIEW / 2}e0 AS b FROM fx_cameras, t, range({VIEW}) p(u), range({VIEW}) q(v)), "
+            "n AS (SELECT *, sqrt(a * a + b * b + 1) AS n FROM g), "
+            "d AS (SELECT cam_id, view, u, v, a / n * r0 + b / n * r1 + 1 / n * r2 AS dx, a / n * r3 + b / n * r4 + 1 / n * r5 AS dy, a / n * r6 + b / n * r7 + 1 / n * r8 AS dz FROM n), "
+            f"m AS (SELECT cam_id, view, u, v, {place} FROM d), "
+            "f AS (SELECT *, CAST(floor(mx) AS BIGINT) AS x0, CAST(floor(my) AS BIGINT) AS y0, mx - floor(mx) AS fx, my - floor(my) AS fy FROM m), "
+            f"c AS (SELECT cam_id, view, u, v, {', '.join(f'{e} AS {n}' for n, e in tone.items())} FROM f) "
+            "SELECT cam_id, CAST(view AS INT) AS view, " + ", ".join(f"CAST(sum({n} * (1 + (u + 3 * v) % 7)) AS BIGINT) AS {n}" for n in pixel) + " FROM c GROUP BY cam_id, view")
 
-@query("panorama_views")
+
+def view_sums(pixels):
+    """Sums per view and channel, pixels weighed by their place."""
+    weight = 1 + (F.col("u") + 3 * F.col("v")) % 7
+    return pixels.groupBy("cam_id", "view").agg(*[F.sum(F.col(c) * weight).cast("long").alias(c) for c in ("red", "green", "blue")])
+
+
+@query("panorama_views", view_sql([rot_y(math.radians(y)) @ rot_x(math.radians(p)) for y, p in DOWN], (160, 128),
+                                  "(atan2(dx, dz) / (2 * pi()) + 5e-1) * 160 AS mx, (5e-1 - asin(least(greatest(dy, -1e0), 1e0)) / pi()) * 128 AS my, true AS seen", True))
 def panorama_views(spark, sf):
-    return view_digest(R.panorama_views(I.images(I.cameras(spark, sf)), out=64))
+    return view_sums(R.panorama_pixels(I.images(I.cameras(spark, sf)), out=VIEW))
 
 
-@query("fisheye_views")
+@query("fisheye_views", view_sql([rot_z(math.radians(y)) @ rot_x(math.radians(p)) for y, p in AROUND], (128, 128),
+                                 "64e0 + 64e0 / radians(95e0) * acos(least(greatest(dz, -1e0), 1e0)) * cos(atan2(dy, dx)) AS mx, "
+                                 "64e0 + 64e0 / radians(95e0) * acos(least(greatest(dz, -1e0), 1e0)) * sin(atan2(dy, dx)) AS my, "
+                                 "acos(least(greatest(dz, -1e0), 1e0)) <= radians(95e0) AS seen", False))
 def fisheye_views(spark, sf):
     c = I.cameras(spark, sf).withColumns({"width": F.lit(128), "height": F.lit(128)})
-    return view_digest(R.fisheye_views(I.images(c), [(float(y), 60.0) for y in range(0, 360, 45)], out=64))
+    return view_sums(R.fisheye_pixels(I.images(c), AROUND, out=VIEW))
 
 
 # -------------------------------------------------------------------- fits
@@ -483,11 +535,16 @@ def georeference(spark, sf):
     return T.apply_geo(centres, geo).select("cam_id", *[F.round(a, 3).alias(b) for a, b in zip("xyz", ("east", "north", "up"))])
 
 
-@query("georeference_from_telemetry")
+@query("georeference_from_telemetry", f"{I.with_sql('fx_cameras')}, m AS (SELECT avg(c_x) mx, avg(c_y) my FROM fx_cameras) "
+       "SELECT cam_id, round(c_x - mx, 3) + 0e0 AS east, round(c_y - my, 3) + 0e0 AS north, round(c_z, 3) AS up FROM fx_cameras, m")
 def georeference_from_telemetry(spark, sf):
-    c, tel = I.cameras(spark, sf), I.derived(spark, sf, "fx_telemetry")
-    geo = T.georeference_telemetry(c, tel, F.col("cam_id"), 2.0)
-    return T.apply_geo(c.select("cam_id", "c.x", "c.y", "c.z"), geo).select("cam_id", r6("x"), r6("y"), r6("z"))
+    """Every camera's geotag logged a hundredth of a second after its frame, between samples from elsewhere."""
+    c = model_cameras(spark, sf)
+    tags = I.derived(spark, sf, "fx_geotags").join(c.select("name", "cam_id"), "name")
+    log = tags.select((F.col("cam_id") / 2.0 + 0.01).alias("t"), "lat", "lon", "rel_alt").unionByName(
+        tags.select((F.col("cam_id") / 2.0 + 0.2).alias("t"), (F.col("lat") + 0.1).alias("lat"), "lon", "rel_alt"))
+    geo = T.georeference_telemetry(c, log, F.col("cam_id"), 2.0)
+    return T.apply_geo(c.select("cam_id", "c.x", "c.y", "c.z"), geo).select("cam_id", *[F.round(a, 3).alias(b) for a, b in zip("xyz", ("east", "north", "up"))])
 
 
 @query("merge_models",
@@ -531,12 +588,16 @@ def merge_job(spark, sf):
     return jobs.merge(I.points(spark, sf), slots).select("point_id", r6("x"))
 
 
-@query("profile_job")
+@query("profile_job",
+       f"{P}, r AS (SELECT z, row_number() OVER (ORDER BY z) - 1 AS k, count(*) OVER () AS m FROM fx_points), c AS (SELECT avg(x) cx, avg(y) cy, avg(z) cz FROM fx_points), "
+       "d AS (SELECT sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)) d FROM fx_points, c), q AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS k, count(*) OVER () AS m FROM d) "
+       "SELECT max(m) AS n_points, max(m) AS n_valid, (SELECT round(max(CASE WHEN k = floor((m - 1) * 95e-2) THEN d END), 6) FROM q) AS view_radius, "
+       "round(max(CASE WHEN k = floor((m - 1) * 2e-2) THEN z END), 6) AS z_lo, round(max(CASE WHEN k = floor((m - 1) * 98e-2) THEN z END), 6) AS z_hi FROM r")
 def profile_job(spark, sf):
     return jobs.profile(I.points(spark, sf)).select("n_points", "n_valid", r6("view_radius"), r6("z_lo"), r6("z_hi"))
 
 
-@query("quality_job")
+@query("quality_job", f"{CONSISTENCY} SELECT count(*) AS n_seen, max(n_points) AS n_points, {s6('avg(sd)', 'mean_sd')} FROM per, total")
 def quality_job(spark, sf):
     c = I.cameras(spark, sf)
     return jobs.quality(I.points(spark, sf), c, I.images(c)).select("n_points", "n_seen", r6("mean_sd"))
