@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.linear import join4, rot_z
 from ..operators import align as AL
+from ..operators import features as FT
 from ..operators import icp as IC
 from ..operators import neighbours as NB
 from ..operators import select as SE
@@ -92,17 +93,49 @@ PLACE = f"{P} SELECT point_id, round(x, 2) + 0e0 AS x, round(y, 2) + 0e0 AS y, r
 
 @query("icp_point_to_point", PLACE)
 def icp_point_to_point(spark, sf):
-    fit = IC.icp(displaced(spark, sf), I.points(spark, sf), [6.0, 3.0], kind="point", max_iter=25)[0]
+    fit = IC.icp(displaced(spark, sf), I.points(spark, sf), [6.0, 3.0], kind="point", max_iter=80)[0]
     return back_in_place(fit, spark, sf)
 
 
 @query("icp_point_to_plane", PLACE)
 def icp_point_to_plane(spark, sf):
     target = IC.normals(I.points(spark, sf), 12.0)
-    fit = IC.icp(displaced(spark, sf), target, [6.0, 3.0], kind="plane", max_iter=12)[0]
+    fit = IC.icp(displaced(spark, sf), target, [6.0, 3.0], kind="plane", max_iter=80)[0]
     return back_in_place(fit, spark, sf)
 
 
+def turned(spark, sf):
+    """The surface and a copy of it as a model sees it, a big turn and shift away."""
+    cloud = surface(spark, sf).select("point_id", "x", "y", "z")
+    motion = join4(rot_z(YAW + math.pi / 2), SHIFT)
+    return X.apply_matrix(cloud, np.linalg.inv(motion)), cloud, motion
+
+
+def placed(df, matrix, motion, tol: float):
+    """One row: do the corners of a 100 m cube land where the planted motion puts them?"""
+    cube = np.array([[x, y, z, 1.0] for x in (0.0, 100.0) for y in (0.0, 100.0) for z in (0.0, 10.0)])
+    gap = float(np.abs((cube @ np.asarray(matrix).T - cube @ motion.T)[:, :3]).max())
+    return near(df, placed=(gap, 0.0, tol))
+
+
+@query("generalised_icp", "SELECT true AS placed")
+def generalised_icp(spark, sf):
+    src = displaced(spark, sf)
+    fit = IC.icp(IC.normals(src, 12.0), IC.normals(I.points(spark, sf), 12.0), [6.0, 3.0], kind="generalized")[0]
+    return placed(src, fit.matrix, MOTION, 0.05)
+
+
+@query("feature_registration", "SELECT true AS placed")
+def feature_registration(spark, sf):
+    """No start at all: features, mutual matches, sampled poses, then the graduated ones; the better one refined."""
+    src, tgt, motion = turned(spark, sf)
+    a, b = (cut(IC.normals(cut(IC.thinned(df, 2.0)), 4.0)) for df in (src, tgt))
+    pairs = FT.feature_pairs(a, b, 2.0)
+    starts = [FT.ransac_pose(pairs, 3.0, trials=100_000)[0], *FT.graduated_poses(pairs, 1.0, 3)]
+    fits = IC.icp(a, b, [8.0, 4.0, 2.0], starts, "plane", 80)
+    return placed(tgt, max(fits, key=lambda f: (f.fitness, -f.rmse)).matrix, motion, 1.0)
+
+
 @query("registration_evaluation",
        f"{P}, k AS (SELECT *, CAST(floor(x / 3e0) AS BIGINT) gx, CAST(floor(y / 3e0) AS BIGINT) gy FROM fx_points), s AS (SELECT unnest([-1, 0, 1]) AS s), "
        "w AS (SELECT x, y, z, gx + a.s AS gx, gy + b.s AS gy FROM k, s a, s b WHERE cloud_id = 1), "
