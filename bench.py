@@ -16,7 +16,7 @@ HEADLINE = [
     "cloud_profile", "select_lasso", "points_in_polygon", "affine_apply", "percentile_crop", "voxel_first", "voxel_mean",
     "surface_model", "surface_residual_on_lattice", "nearest_time", "colour_coverage", "sample_images", "thermal_cloud",
     "nearest_colour_transfer", "radius_count", "k_nearest", "orbit_raster", "similarity_per_cloud", "edit_log_replay",
-    "map_from_messages",
+    "map_from_messages", "clouds_in_many_files", "coarse_turn", "icp_point_to_plane",
 ]
 
 
