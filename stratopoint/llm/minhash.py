@@ -101,24 +101,8 @@ def sketch(docs: DataFrame, p: NearDup, text: str = "text") -> DataFrame:
     return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, p: NearDup, text: str) -> DataFrame:
-    """(node, items): the full sets of the wanted representatives as packed 64-bit hashes."""
-    schema = pa.schema([("node", pa.int64()), ("items", pa.binary())])
-
-    def run(batches):
-        for block in common.blocks(batches, text):
-            keys, counts = common.shingles(block.column(text), p.shingle_words)
-            off = np.concatenate([[0], np.cumsum(counts)]) * 8
-            yield common.arrays(schema, block.column("doc_id").cast(pa.int64()), pa.Array.from_buffers(
-                pa.binary(), len(counts), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(keys)]))
-
-    return docs.select("doc_id", text).join(wanted.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi") \
-        .dropDuplicates(["doc_id"]).mapInArrow(run, "node long, items binary")
-
-
-def _block_links(ids: np.ndarray, left: np.ndarray, labels: np.ndarray, items: list, percent: int) -> np.ndarray:
+def _block_links(ids: np.ndarray, left: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Confirmed links between the left and all members of a block, across labels."""
-    sets = [np.frombuffer(x, np.uint64) for x in items]
     sizes = np.array([len(s) for s in sets])
     at = np.flatnonzero(left)
     index = np.concatenate([sets[i] for i in at])
@@ -139,17 +123,22 @@ def _block_links(ids: np.ndarray, left: np.ndarray, labels: np.ndarray, items: l
 
 
 def links(blocks: DataFrame, docs: DataFrame, p: NearDup, text: str) -> DataFrame:
-    """(a, b) links confirmed inside blocks; ``blocks``: block, left (boolean), node, label."""
+    """(a, b) links confirmed inside blocks; ``blocks``: block, left (boolean), node, label.
+
+    Members travel as texts, which are smaller than their sets; the sets are made where they are compared."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def solve(rows: pa.Table):
         ids, left = rows.column("node").to_numpy(), rows.column("left").to_numpy(zero_copy_only=False)
         block, label = rows.column("block").to_numpy(), rows.column("label").to_numpy()
-        items = rows.column("items").to_pylist()
+        sets: list[np.ndarray] = []
+        for part in common.blocks(iter(rows.to_batches())):
+            keys, counts = common.shingles(part.column("text"), p.shingle_words)
+            sets += np.split(keys, np.cumsum(counts)[:-1])
         cut = np.flatnonzero(np.append(np.insert(block[1:] != block[:-1], 0, True), True))
         for s, e in zip(cut[:-1], cut[1:]):
             if left[s:e].any() and e - s > 1:
-                yield _block_links(ids[s:e], left[s:e], label[s:e], items[s:e], p.percent)
+                yield _block_links(ids[s:e], left[s:e], label[s:e], sets[s:e], p.percent)
 
     def run(batches):
         """Rows come sorted by block; a block is solved when the next one begins."""
@@ -169,8 +158,9 @@ def links(blocks: DataFrame, docs: DataFrame, p: NearDup, text: str) -> DataFram
             for found in solve(pa.Table.from_batches(held)):
                 yield common.arrays(schema, found[:, 0], found[:, 1])
 
-    return blocks.join(_sets(docs, blocks, p, text), "node").repartition("block").sortWithinPartitions("block", "left") \
-        .select("block", "left", "node", "label", "items").mapInArrow(run, "a long, b long")
+    texts = docs.select(F.col("doc_id").alias("node"), F.col(text).alias("text"))
+    return blocks.join(texts, "node").repartition("block").sortWithinPartitions("block", "left") \
+        .select("block", "left", "node", "label", "text").mapInArrow(run, "a long, b long")
 
 
 def components(docs: DataFrame, p: NearDup = NearDup(), text: str = "text") -> DataFrame:
