@@ -404,4 +404,4 @@ def test_joins_on_a_folder_keep_one_row_per_point(spark, tmp_path, cloud):
     write_folder(tmp_path / "clouds", cloud)
     p = read_points(spark, str(tmp_path / "clouds")).select("point_id", "x", "y", "z")
     ref = p.withColumns({c: F.lit(7).cast("short") for c in ("red", "green", "blue")})
-    assert neighbours.nn_transfer(p, ref, 1.0, (0, 0, 0)).count() == N
+    assert neighbours.nn_transfer(p, ref, ("red", "green", "blue"), (0, 0, 0), 1.0).count() == N
