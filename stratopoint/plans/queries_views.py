@@ -18,6 +18,7 @@ from ..operators import raster as R
 from ..operators import transform as X
 from . import inputs as I
 from . import jobs
+from .queries_grid import DSM_SQL, MOVED_SQL, SHIFT, SURF, YAW, model, pose_sql
 from .queries_select import HEX, edge_sql
 from .registry import query, r6, s6
 
@@ -401,10 +402,19 @@ def axis_raster(spark, sf):
     return R.axis_raster(I.points(spark, sf), "x", "z", "y").select("v", "u", "point_id")
 
 
-@query("align_preview")
+@query("align_preview",
+       f"{SURF}, {DSM_SQL.format(t='fx_surface')}, {pose_sql([(YAW, *SHIFT)])}, {MOVED_SQL}, "
+       "e AS (SELECT min(x) - 6e-2 * (max(x) - min(x)) AS a0, max(x) + 6e-2 * (max(x) - min(x)) AS a1, min(y) - 6e-2 * (max(y) - min(y)) AS b0, max(y) + 6e-2 * (max(y) - min(y)) AS b1 FROM fx_surface), "
+       "g AS (SELECT *, least(640 / (a1 - a0), 480 / (b1 - b0)) AS k FROM e), "
+       "p AS (SELECT x, y, z, false AS mark FROM fx_surface UNION ALL SELECT x, y, NULL, true FROM mv), "
+       "q AS (SELECT z, mark, CAST(trunc((x - a0) * k + (640 - (a1 - a0) * k) / 2) AS BIGINT) AS u, CAST(trunc(480 - ((y - b0) * k + (480 - (b1 - b0) * k) / 2)) AS BIGINT) AS v FROM p, g), "
+       "i AS (SELECT * FROM q WHERE u BETWEEN 0 AND 639 AND v BETWEEN 0 AND 479), "
+       "l AS (SELECT quantile_cont(z, 2e-2) AS lo, quantile_cont(z, 98e-2) AS hi FROM i WHERE NOT mark), "
+       "w AS (SELECT v, u, max(z) AS top, bool_or(mark) AS mark FROM i GROUP BY v, u), "
+       "c AS (SELECT v, u, mark, CAST(trunc(60 + least(greatest((top - lo) / greatest(hi - lo, 1e-6), 0), 1) * 170) AS INT) AS grey FROM w, l) "
+       "SELECT v, u, " + ", ".join(f"CAST(trunc(coalesce(grey, {ground}) * CASE WHEN mark THEN 45e-2 ELSE 1e0 END + CASE WHEN mark THEN {marker * 0.55!r}e0 ELSE 0e0 END) AS SMALLINT) AS {n}"
+                                   for n, ground, marker in (("red", 18, 255.0), ("green", 18, 150.0), ("blue", 22, 40.0))) + " FROM c")
 def align_preview(spark, sf):
-    from .queries_grid import SHIFT, YAW, model
-
     return R.align_preview(I.derived(spark, sf, "fx_surface"), model(spark, sf), YAW, SHIFT).select("v", "u", "red", "green", "blue")
 
 
