@@ -18,7 +18,7 @@ from ..operators import raster as R
 from ..operators import transform as X
 from . import inputs as I
 from . import jobs
-from .queries_grid import DSM_SQL, MOVED_SQL, SHIFT, SURF, YAW, model, pose_sql
+from .queries_grid import DSM_SQL, K, MOVED_SQL, SHIFT, SURF, YAW, interp_sql, model, pose_sql
 from .queries_select import HEX, edge_sql
 from .registry import query, r6, s6
 
@@ -262,7 +262,12 @@ def statistical_outlier_removal(spark, sf):
     return N.statistical_outlier(I.points(spark, sf)).select("point_id")
 
 
-@query("two_stage_clean")
+@query("two_stage_clean",
+       f"{P}, {KNN.format(k=24)}, m AS (SELECT q, list_avg(list_transform(near, lambda v: sqrt(v))) AS d FROM k), t AS (SELECT avg(d) + 2 * stddev_samp(d) AS lim FROM m WHERE d > 0), "
+       "f AS (SELECT fx_points.*, CAST(floor(x / 8e0) AS BIGINT) AS gx, CAST(floor(y / 8e0) AS BIGINT) AS gy FROM fx_points JOIN m ON q = point_id, t WHERE d > 0 AND d < lim), "
+       "o AS (SELECT unnest([-1, 0, 1]) AS o), w AS (SELECT x AS wx, y AS wy, z AS wz, gx + a.o AS gx, gy + b.o AS gy FROM f, o a, o b), "
+       "n AS (SELECT point_id FROM f JOIN w USING (gx, gy) WHERE (x - wx) * (x - wx) + (y - wy) * (y - wy) + (z - wz) * (z - wz) <= 64 GROUP BY point_id HAVING count(*) > 12) "
+       f"SELECT point_id, cloud_id, {s6('x', 'x')}, {s6('y', 'y')}, {s6('z', 'z')} FROM f JOIN n USING (point_id)")
 def two_stage_clean(spark, sf):
     return N.clean(I.points(spark, sf), 24, 2.0, 12, 8.0).select("point_id", "cloud_id", r6("x"), r6("y"), r6("z"))
 
@@ -583,7 +588,13 @@ def temperature_job(spark, sf):
     return jobs.temperature(I.points(spark, sf), c, photos, rasters, None, TW, TH, HFOV)[0].select("point_id", r6("temp"))
 
 
-@query("thermal_job")
+@query("thermal_job",
+       f"{THERMAL}, c AS (SELECT point_id, (((7 * CAST(floor(u) AS BIGINT) + 13 * CAST(floor(v) AS BIGINT) + 31 * cam_id) % 256) / 255e0 + ((3 * CAST(floor(u) AS BIGINT) + 5 * CAST(floor(v) AS BIGINT) + 17 * cam_id) % 256) / 255e0 "
+       "+ ((CAST(floor(u) AS BIGINT) + CAST(floor(v) AS BIGINT) + 101 * cam_id) % 256) / 255e0) / 3 AS lum FROM hit), "
+       "q AS (SELECT quantile_cont(lum, 2e-2) AS lo, quantile_cont(lum, 98e-2) AS hi FROM c), "
+       "w AS (SELECT point_id, least(greatest((lum - lo) / (hi - lo + 1e-9), 0), 1) AS t FROM c, q) "
+       "SELECT fx_points.point_id, " + ", ".join(f"CAST(CASE WHEN t IS NULL THEN 31 ELSE round_even(least(greatest({interp_sql(K.JET[0], f)}, 0), 1) * 255, 0) END AS SMALLINT) AS {n}"
+                                                 for f, n in zip(K.JET[1:], ("red", "green", "blue"))) + " FROM fx_points LEFT JOIN w ON w.point_id = fx_points.point_id")
 def thermal_job(spark, sf):
     c = I.cameras(spark, sf)
     photos = c.where("cam_id % 5 <> 4").select(F.regexp_replace("name", "_V", "_T").alias("name"), F.lit(0).alias("ord"))
