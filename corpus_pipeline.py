@@ -10,24 +10,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from stratopoint.llm import common, minhash, mixing, quality, sentencepiece_codec, substring
-from stratopoint.session import ship_package
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the line rules, without the lines that fail."""
-    ship_package(spark)
+    common.prepare(spark)
     return quality.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    ship_package(spark)
+    common.prepare(spark)
     return minhash.survivors(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that an earlier document holds too are cut out."""
-    ship_package(spark)
+    common.prepare(spark)
     return substring.without_repeats(docs, substring.Repeats(window=50, with_text=True))
 
 
@@ -38,7 +37,7 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as SentencePiece ids."""
-    ship_package(spark)
+    common.prepare(spark)
     return sentencepiece_codec.encode(docs)
 
 

@@ -18,7 +18,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 
 U64 = np.uint64
 BLOCK_BYTES = (1 << 20) - 1    # text handled at once; one longer document is its own block
@@ -155,6 +155,13 @@ def non_null_id(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.filter(F.col(key).isNotNull())
 
 
+def prepare(spark: SparkSession) -> None:
+    """Make the package importable in the executors and keep the batches that tasks exchange with Python small:
+    two of them, on both sides, are held for every core."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the files.
 
@@ -281,4 +288,6 @@ def put_file(path: str, data: bytes) -> None:
     attempt = f"{folder}/_{uuid.uuid4().hex}-{name}"
     with fs.open_output_stream(attempt, compression=None) as out:
         out.write(data)
+    if fs.get_file_info(p).type != pafs.FileType.NotFound:     # of an earlier attempt; some stores do not replace
+        fs.delete_file(p)
     fs.move(attempt, p)
