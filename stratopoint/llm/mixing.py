@@ -19,6 +19,7 @@ Empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -76,13 +77,19 @@ def exponent(sources: DataFrame, p: MixTarget) -> float:
 
 
 def weights(sources: DataFrame, p: MixTarget) -> DataFrame:
-    """source, total, millionths (its weight), quota (its tokens in the budget) and all (the budget)."""
+    """source, total, parts (its weight, in whole parts) and quota (its tokens in the budget).
+
+    The parts are millionths, or smaller ones where the least weight would else be under 10,000 parts."""
     power = F.exp(F.log("total") * F.lit(exponent(sources, p)))
-    norm = sources.agg(F.sum(power).alias("s")).first()["s"] or 1.0
-    out = sources.select("source", "total", F.greatest(F.round(power / norm * 1_000_000), F.lit(1.0)).cast("decimal(20,0)").alias("millionths"))
-    budget = p.budget if p.budget is not None else \
-        out.agg(F.max(F.ceil(F.col("total").cast("decimal(20,0)") * 1_000_000 / F.col("millionths")))).first()[0] or 0
-    return out.withColumn("quota", F.floor(F.lit(int(budget)).cast("decimal(20,0)") * F.col("millionths") / 1_000_000).cast("long"))
+    norm, least = sources.agg(F.sum(power), F.min(power)).first()
+    norm, least = norm or 1.0, least or 1.0
+    fine = 10 ** max(6, math.ceil(4 - math.log10(least / norm)))
+    out = sources.select("source", "total", F.round(power / norm * float(fine)).cast("decimal(20,0)").alias("parts"))
+    whole = lambda number: F.lit(number).cast("decimal(20,0)")
+    wanted = out.select((F.col("total").cast("decimal(20,0)") * whole(str(fine)) + F.col("parts") - 1).alias("t"), "parts")
+    budget = p.budget if p.budget is not None else wanted.agg(F.max(F.expr("t div parts"))).first()[0] or 0
+    return out.withColumn("all", whole(str(int(budget))) * F.col("parts")).withColumn("fine", whole(str(fine))) \
+        .withColumn("quota", F.expr("`all` div fine")).drop("all", "fine")
 
 
 def _draw(p: MixTarget, what: str) -> Column:

@@ -68,6 +68,21 @@ def test_mixing_edges(spark):
     assert sorted(r.first_token for r in mixing.mix(twice).collect()) == [0, 2]
 
 
+def test_tiny_sources_stay_within_the_limit(spark):
+    sources = spark.createDataFrame([*((f"s{i}", 200_000_000) for i in range(20)), ("small", 400), ("tiny", 100)], "source string, total long")
+    shown = {r.source: r.quota / r.total for r in mixing.weights(sources, mixing.MixTarget(max_repeats=2.0)).collect()}
+    assert min(shown.values()) >= 1 and max(shown.values()) < 2.01 and shown["tiny"] > 1.9
+
+
+def test_repeated_rows_are_mixed_as_rows(spark):
+    rows = [(1, "a", "x y"), (1, "a", "x y"), (1, "a", "z w"), (1, "b", "q"), (2, "a", "u v"), (3, "b", None), (3, "b", None), (None, "a", "gone")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    p = mixing.MixTarget(entropy=None, max_repeats=None)
+    assert mixing.mix(docs, p).count() == 7
+    key = lambda r: tuple(map(str, r))
+    assert sorted(mixing.mixed(docs, p).collect(), key=key) == sorted(rows[:-1], key=key)
+
+
 def test_minimal_perfect_hash():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 1000, 20_000):
