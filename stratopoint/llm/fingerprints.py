@@ -152,11 +152,13 @@ def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
     columns doc_id, text, range and ahead (true for the row that only serves the one before it)."""
     docs = common.non_null_id(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     width = common.shuffle_width(docs)
-    low = docs.agg(F.min("doc_id")).first()[0]
-    if low is None:
+    near = docs.approxQuantile("doc_id", [i / width for i in range(1, width)], 1 / (4 * width)) if width > 1 else []
+    near = sorted({min(int(e), (1 << 63) - 1) for e in near})       # doubles: beyond 2 ** 53 often no id at all
+    part = F.size(F.filter(F.array(*map(F.lit, near)), lambda e: e <= F.col("doc_id"))) if near else F.lit(0)
+    firsts = sorted(r.first for r in docs.groupBy(part.alias("part")).agg(F.min("doc_id").alias("first")).collect())
+    if not firsts:
         return docs.withColumns({"range": F.lit(0), "ahead": F.lit(False)})
-    edges = sorted(set(docs.approxQuantile("doc_id", [i / width for i in range(1, width)], 1 / (4 * width))) - {low}) if width > 1 else []
-    edges = [int(e) for e in edges]
+    low, edges = firsts[0], firsts[1:]
     last = len(edges)
     lead = F.when(F.col("doc_id") == low, F.lit(last)).when(F.col("doc_id").isin(edges), F.col("range") - 1) if edges else F.when(F.col("doc_id") == low, F.lit(0))
     number = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("doc_id"))) if edges else F.lit(0)
@@ -195,5 +197,7 @@ def edited_halves(docs: DataFrame, text: str = "text") -> DataFrame:
                     yield solve(waiting)
                     waiting = [] if ahead else waiting[-1:]
                     size = sum(len(t) for _, t in waiting)
+        if waiting:
+            raise RuntimeError(f"document {waiting[-1][0]} has no next one in its range")
 
     return with_next(docs, text).select("doc_id", "text", "ahead").mapInArrow(run, RESULT)

@@ -91,6 +91,16 @@ def test_fingerprint_edge_tables(spark):
     assert {r.fingerprint for r in fingerprints.fingerprint(extra).collect()} == {"0" * 16}
 
 
+def test_no_document_of_large_ids_is_lost(spark):
+    ids = [(1 << 62) + 3 * i + 1 for i in range(200)] + [-(1 << 62) - 3 * i for i in range(200)]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string").repartition(4)
+    rows = {r.doc_id: r for r in fingerprints.edited_halves(docs).collect()}
+    assert sorted(rows) == sorted(ids)
+    for a, b in zip(sorted(ids), sorted(ids)[1:] + [min(ids)]):
+        x, y = f"text {a}", f"text {b}"
+        assert rows[a].edited_sha256 == hashlib.sha256((x[: len(x) - len(x) // 2] + y[: len(x) // 2]).encode()).hexdigest()
+
+
 def test_equal_substrings_share_inner_phrases():
     rng = random.Random(1)
     inner = brute.prose(rng, 400)
