@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
 from . import common
 
 U32 = np.uint32
@@ -86,6 +87,17 @@ def sketch(docs: DataFrame, p: NearDup, text: str = "text") -> DataFrame:
                         ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
+def _set_sums(keys: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Two checksums for every set in a flat list, the same wherever the set stands in it."""
+    off = np.concatenate([[0], np.cumsum(counts)])
+    sums = []
+    for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+        total = np.zeros(len(keys) + 1, np.uint64)
+        np.cumsum(common.mix(keys ^ np.uint64(salt)), out=total[1:])
+        sums.append((total[off[1:]] - total[off[:-1]]).view(np.int64))
+    return sums
+
+
         for block in common.blocks(batches, text):
             keys, counts = common.shingles(block.column(text), p.shingle_words)
             off = np.concatenate([[0], np.cumsum(counts)])
@@ -202,6 +214,20 @@ def components(docs: DataFrame, p: NearDup = NearDup(), text: str = "text") -> D
 
 
 def survivors(docs: DataFrame, p: NearDup = NearDup(), text: str = "text") -> DataFrame:
-    """One document of every component, the one with the smallest id, in the columns of the input."""
-    kept = components(docs, p, text).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of every component, the one with the smallest id, in the columns of the input.
+
+    Rows that repeat its id are one row for each set of shingles, the one with the smallest text."""
+    kept = common.stage(components(docs, p, text).filter("kept").groupBy("doc_id").count(), "kept")
+    again = common.stage(kept.filter("count > 1").select("doc_id"), "repeated")
+    once = docs.join(again, "doc_id", "left_anti").join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    many = docs.join(again, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+    def run(batches):
+        for block in common.blocks(batches):
+            keys, counts = common.shingles(block.column("text"), p.shingle_words)
+            yield pa.RecordBatch.from_arrays([*block.columns, *map(pa.array, [counts.astype(np.int64), *_set_sums(keys, counts)])],
+                                             names=["row", "text", "n", "set_a", "set_b"])
+
+    sets = many.mapInArrow(run, T.StructType([*many.schema.fields, *(T.StructField(c, T.LongType()) for c in ("n", "set_a", "set_b"))]))
+    first = sets.groupBy("row.doc_id", "n", "set_a", "set_b").agg(F.min_by("row", "text").alias("row"))
+    return once.union(first.select("row.*"))

@@ -122,10 +122,15 @@ def mix(docs: DataFrame, p: MixTarget = MixTarget(), text: str = "text") -> Data
 
 
 def mixed(docs: DataFrame, p: MixTarget = MixTarget(), text: str = "text") -> DataFrame:
-    """The documents as the mixture shows them, in the columns of the input: files hold whole blocks in order."""
-    shown = mix(docs, p, text).select("doc_id", "block", "place")
-    names = ["block", "place"]
-    inner = {n: f"mix_{n}" for n in names} if set(names) & set(docs.columns) else {n: n for n in names}
-    shown = shown.withColumnsRenamed(inner)
-    order = list(inner.values())
-    return docs.join(shown, "doc_id").repartition(order[0]).sortWithinPartitions(*order).select(*docs.columns)
+    """The documents as the mixture shows them, in the columns of the input: files hold whole blocks in order.
+
+    Rows that repeat an id, a source and a length are interchangeable in the mixture and take its rows by number."""
+    shown = common.stage(mix(docs, p, text), "shown")
+    again = common.stage(common.non_null_id(docs).groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.coalesce("source", F.lit("")).alias("source"), tokens(text).alias("n_tokens"))
+    once = rows.join(again, "doc_id", "left_anti").select("row", "doc_id").join(shown.select("doc_id", "block", "place"), "doc_id")
+    alike = ["doc_id", "source", "n_tokens"]
+    many = rows.join(again, "doc_id", "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy(*alike).orderBy(F.col(f"row.`{text}`"))))
+    places = shown.join(again, "doc_id", "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy(*alike, "epoch").orderBy("first_token")))
+    both = once.select("row", "block", "place").union(many.join(places, [*alike, "nth"]).select("row", "block", "place"))
+    return both.repartition("block").sortWithinPartitions("block", "place").select("row.*")

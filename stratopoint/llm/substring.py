@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from . import common, exchange
 
 MADE = ["n_words", "n_removed", "kept_sha256", "kept_text"]
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, text_md5 string"
 RESULT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()),
-                           ("kept_text", pa.string())])
+                           ("kept_text", pa.string()), ("text_md5", pa.string())])
 
 
 @dataclass(frozen=True)
@@ -148,7 +148,7 @@ def _finished(ids, data, off, start, end, w_off, gone: np.ndarray, with_text: bo
     removed = common.per_row(gone, w_off)
     tight = np.diff(off) == common.per_row(end - start, w_off) + np.diff(w_off) - 1     # one white-space byte between words, none around
     raw = data.tobytes()
-    sums, texts = [], []
+    sums, texts, marks = [], [], []
     for d in range(len(ids)):
         if not removed[d] and tight[d]:
             kept = raw[off[d]: off[d + 1]].translate(_ONE_SPACE)
@@ -158,7 +158,8 @@ def _finished(ids, data, off, start, end, w_off, gone: np.ndarray, with_text: bo
             kept = b" ".join([raw[s:e] for s, e in zip(start[here][stay].tolist(), end[here][stay].tolist())])
         sums.append(hashlib.sha256(kept).hexdigest())
         texts.append(kept.decode("utf-8", "replace") if with_text and removed[d] else None)
-    return [ids, np.diff(w_off), removed, sums, texts]
+        marks.append(hashlib.md5(raw[off[d]: off[d + 1]]).hexdigest() if with_text and removed[d] else None)
+    return [ids, np.diff(w_off), removed, sums, texts, marks]
 
 
 class _Chunk:
@@ -181,6 +182,11 @@ class _Chunk:
 
 def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text (if asked for, of documents that lose words)."""
+    return _removed(docs, p, text).drop("text_md5")
+
+
+def _removed(docs: DataFrame, p: Repeats, text: str) -> DataFrame:
+    """The result of ``remove_repeats`` with the digest of the text before, beside every kept_text."""
     chunks = exchange.pack(docs, text)
     total = chunks.agg(F.sum("size")).first()[0] or 0
     bits, bits2 = exchange.bucket_bits(total / 6), exchange.bucket_bits(total / 12)
@@ -218,6 +224,11 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), text: str = "text")
 
 
 def without_repeats(docs: DataFrame, p: Repeats = Repeats(with_text=True), text: str = "text") -> DataFrame:
-    """The documents with their repeated passages cut out; a text that loses nothing stays as it is."""
-    cut = remove_repeats(docs, p, text).filter("n_removed > 0").select("doc_id", "kept_text")
-    return docs.join(cut, "doc_id", "left").withColumn(text, F.coalesce("kept_text", text)).select(*docs.columns)
+    """The documents with their repeated passages cut out; a text that loses nothing stays as it is.
+
+    What a row loses depends on its id and text only, so rows that repeat an id find their result by both."""
+    cut = _removed(docs, p, text).filter("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "text_md5", F.col("kept_text").alias("cut_text")) \
+        .dropDuplicates(["cut_id", "text_md5"])
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.md5(F.col(text).cast("binary")).alias("own_md5"))
+    found = own.join(cut, (F.col("row.doc_id") == F.col("cut_id")) & (F.col("own_md5") == F.col("text_md5")), "left")
+    return found.select(*(F.coalesce("cut_text", f"row.{c}").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

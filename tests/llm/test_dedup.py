@@ -47,6 +47,20 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert sorted(r.n_removed for r in substring.remove_repeats(rows, substring.Repeats(window=4)).collect()) == [0, 0, 6]
 
 
+def test_survivors_hold_repeated_rows_once(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "p"), (1, text, "p"), (1, text + " ", "p"), (2, text, "q"), (3, "other", "r"), (3, "other", "r"), (3, "other", "r"), (4, "alone", "s"), (5, None, "t"), (5, None, "t")]
+    out = minhash.survivors(spark.createDataFrame(rows, "doc_id long, text string, n string").repartition(3)).collect()
+    assert sorted(map(tuple, out), key=lambda r: r[0]) == [(1, text, "p"), (3, "other", "r"), (4, "alone", "s"), (5, None, "t")]
+
+
+def test_repeated_rows_lose_passages_one_by_one(spark):
+    passage = "a b c d e f g h"
+    rows = [(1, passage, "p"), (2, "x " + passage, "q"), (2, "x " + passage, "q"), (2, passage + " y z", "r"), (2, "whole", "s"), (2, None, "t")]
+    out = substring.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, text_md5 string").repartition(3), substring.Repeats(8, with_text=True)).collect()
+    assert sorted(map(tuple, out), key=lambda r: r[2]) == [(1, passage, "p"), (2, "x", "q"), (2, "x", "q"), (2, "y z", "r"), (2, "whole", "s"), (2, None, "t")]
+
+
 def test_connected_follows_long_chains(spark):
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(n) if i % 100 != 99] + [(5, 5)], "a long, b long")
