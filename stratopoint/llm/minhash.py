@@ -12,8 +12,8 @@ How it stays linear where groups are large:
   component meets all members of the bucket, in blocks of bounded size inside a task; only confirmed
   links leave a block. A link is needed only between different components, so none is lost.
 
-A pair at the threshold escapes all bands with probability (1 - t ** rows) ** bands: below 1e-7 at the
-defaults, less for closer pairs.
+A pair at the threshold escapes all bands with probability (1 - t ** rows) ** bands; the number of bands
+follows from the threshold so that this is below 1e-7 (28 bands at 0.85, 41 at 0.8), less for closer pairs.
 
 Defined results: null and blank texts have an empty set, component = own id, kept. Rows with a null id are
 left out, repeated rows get one result row each. Empty tables give empty results.
@@ -21,14 +21,15 @@ left out, repeated rows get one result row each. Empty tables give empty results
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
 from pyspark.sql import types as T
+
 from . import common
 
 U32 = np.uint32
@@ -39,11 +40,16 @@ MADE = ["n_shingles", "component_id", "kept"]
 class NearDup:
     shingle_words: int = 5
     percent: int = 80                # link where 100 * intersection >= percent * union
-    bands: int = 28
+    bands: int = 0                   # 0: the fewest that miss a pair at the threshold with a probability below 1e-7
     rows: int = 5
     left_block: int = 500            # members outside the main component met at once
     right_block: int = 2000
 
+    def __post_init__(self):
+        if not self.bands:
+            escapes = 1 - (self.percent / 100) ** self.rows
+            object.__setattr__(self, "bands", math.ceil(math.log(1e-7) / math.log(escapes)) if escapes else 1)
+
 
 def permute(y: np.ndarray) -> np.ndarray:
     """The second permutation: a bijection on 32-bit numbers (multiply and xor-shift rounds), in place."""
@@ -81,12 +87,6 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def sketch(docs: DataFrame, p: NearDup, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, two checksums of the set, and its band keys."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()),
-                        ("bands", pa.list_(pa.int64()))])
-
-    def run(batches):
 def _set_sums(keys: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     """Two checksums for every set in a flat list, the same wherever the set stands in it."""
     off = np.concatenate([[0], np.cumsum(counts)])
@@ -98,6 +98,12 @@ def _set_sums(keys: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     return sums
 
 
+def sketch(docs: DataFrame, p: NearDup, text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, two checksums of the set, and its band keys."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()),
+                        ("bands", pa.list_(pa.int64()))])
+
+    def run(batches):
         for block in common.blocks(batches, text):
             keys, counts = common.shingles(block.column(text), p.shingle_words)
             off = np.concatenate([[0], np.cumsum(counts)])

@@ -68,6 +68,13 @@ def test_connected_follows_long_chains(spark):
     assert all(got[i] == i // 100 * 100 for i in range(n))
 
 
+def test_bands_follow_the_threshold():
+    assert minhash.NearDup(percent=85).bands == 28 and minhash.NearDup().bands == 41 and minhash.NearDup(percent=100).bands == 1
+    for percent in (50, 70, 80, 85, 95):
+        p = minhash.NearDup(percent=percent)
+        assert (1 - (percent / 100) ** p.rows) ** p.bands < 1e-7
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(0)
     both, a, b = (rng.integers(1, 1 << 62, k).astype(np.uint64) for k in (800, 100, 100))
