@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import common, fingerprints, language_id, minhash, mixing, quality, sentencepiece_codec, substring, suffix_dedup, token_store, warc
+from . import bitmap_join, centroids, common, fingerprints, language_id, minhash, mixing, quality, sentencepiece_codec, substring, suffix_dedup, token_align, token_store, warc
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -174,3 +174,46 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_fingerprints")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_halves(common.documents(spark, sf_dir, "doc_id", "text"))
+
+
+_CLUSTERS = centroids.Clustering()
+
+
+def _centroid_sql(p: centroids.Clustering) -> str:
+    """The rounds written out; a distance and its cluster are ordered as one number, so ties go to the smaller cluster."""
+    k = p.clusters
+    assign = lambda c: f"""SELECT vec_id, any_value(v.x) AS x, min(list_sum(list_transform(list_zip(v.x, m), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::HUGEINT * {k} + c) AS dc
+        FROM v, c{c} GROUP BY vec_id"""
+    parts = [f"""v AS (SELECT vec_id, list_transform(embedding, lambda e: floor({p.scale} * e::DOUBLE)::BIGINT) AS x FROM embeddings
+        WHERE vec_id IS NOT NULL AND len(embedding) = {p.dimensions} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {p.dimensions})""",
+             f"""c0 AS (SELECT row_number() OVER (ORDER BY sha256('{p.seed}:' || vec_id)) - 1 AS c, x AS m FROM v ORDER BY sha256('{p.seed}:' || vec_id) LIMIT {k})"""]
+    for r in range(p.rounds):
+        parts += [f"a{r} AS ({assign(r)})",
+                  f"""s{r} AS (SELECT c, i, sum(e)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT dc % {k} AS c, unnest(x) AS e, unnest(range({p.dimensions})) AS i FROM a{r}) GROUP BY 1, 2)""",
+                  f"m{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS m FROM s{r} GROUP BY 1)",
+                  f"c{r + 1} AS (SELECT c, coalesce(m{r}.m, c{r}.m) AS m FROM c{r} LEFT JOIN m{r} USING (c))"]
+    return f"""WITH {', '.join(parts)}, f AS ({assign(p.rounds)}), o AS (SELECT vec_id, (dc % {k})::INTEGER AS cluster, (dc // {k})::BIGINT AS distance FROM f)
+        SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+               sha256(array_to_string(m, ',')) AS centroid_sha256 FROM o JOIN c{p.rounds} ON c = cluster"""
+
+
+@query("op11_centroid_clusters", _centroid_sql(_CLUSTERS))
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), _CLUSTERS)
+
+
+JACCARD_SQL = MINHASH_SQL.replace("85 * (p.n + q.n - i)", "90 * (p.n + q.n - i)").replace(", doc_id = component_id AS kept", "")
+
+
+@query("op13_jaccard_join", JACCARD_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir, "doc_id", "text")
+    return bitmap_join.components(docs, bitmap_join.JaccardJoin(shingle_words=3, percent=90))
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pair = token_align.Tokenizers(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_align.alignment(common.documents(spark, sf_dir, "doc_id", "text"), pair)

@@ -1,8 +1,11 @@
 """Plain versions of the operators, for small inputs."""
 
+import collections
 import hashlib
-import re
+import itertools
+import math
 import random
+import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -110,3 +113,49 @@ def awkward(seed=3):
         texts[i] = " ".join(ws)
     texts |= {110: "x y z " * 400, 111: "日本語 テキスト です " * 30, 112: "tail\x00zero \x1c odd", 113: passage}
     return texts
+
+
+def clusters(vectors, k, rounds, scale, seed):
+    """{id: (cluster, squared distance)}, sums per cluster and final centroids, by plain integer loops."""
+    ints = {i: [math.floor(scale * float(x)) for x in v] for i, v in vectors.items()}
+    first = sorted(ints, key=lambda i: (hashlib.sha256(f"{seed}:{i}".encode()).hexdigest()))[:k]
+    centroids = [list(ints[i]) for i in first]
+    far = lambda v, c: sum((a - b) ** 2 for a, b in zip(v, c))
+    nearest = lambda v: min((far(v, c), n) for n, c in enumerate(centroids))
+    for _ in range(rounds):
+        groups = {}
+        for v in ints.values():
+            groups.setdefault(nearest(v)[1], []).append(v)
+        for n, group in groups.items():
+            centroids[n] = [sum(x) // len(group) for x in zip(*group)]
+    out = {i: nearest(v)[::-1] for i, v in ints.items()}
+    inertia = {}
+    for n, d in out.values():
+        inertia[n] = inertia.get(n, 0) + d
+    return out, inertia, centroids
+
+
+def alignment(texts, tokens_a, tokens_b):
+    """{key: (n_a, n_b, n_groups, n_links, n_best, count_sum, digest)} for [(key, text)]; ``tokens``: text -> [(id, bytes)]."""
+    links, shown = {}, {}
+    for key, text in texts:
+        links[key], shown[key] = [], (0, 0, "")
+        if not text:
+            continue
+        a, b = tokens_a(text), tokens_b(text)
+        whole = (" " + text).encode()
+        if b"".join(t for _, t in a) != whole or b"".join(t for _, t in b) != whole:
+            continue
+        ends_a, ends_b = (dict(zip(itertools.accumulate(len(t) for _, t in x), range(1, len(x) + 1))) for x in (a, b))
+        groups, i, j = [], 0, 0
+        for end in sorted(ends_a.keys() & ends_b.keys()):
+            groups.append(",".join(str(t) for t, _ in a[i:ends_a[end]]) + "|" + ",".join(str(t) for t, _ in b[j:ends_b[end]]))
+            i, j = ends_a[end], ends_b[end]
+            links[key].append((a[i - 1][0], b[j - 1][0]))
+        shown[key] = (len(a), len(b), hashlib.sha256(";".join(groups).encode()).hexdigest())
+    count = collections.Counter(x for found in links.values() for x in found)
+    best = {}
+    for (_, b), n in count.items():
+        best[b] = max(best.get(b, 0), n)
+    return {key: (*shown[key][:2], len(found), len(found), sum(count[x] == best[x[1]] for x in found), sum(count[x] for x in found), shown[key][2])
+            for key, found in links.items()}
