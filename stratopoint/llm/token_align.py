@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from . import common
 from .token_store import Encoder
 
+ALIGNED_BYTES = 1 << 17              # text aligned at once; a chunk puts several of these together
 HOT_SHARE = 256                      # a text that more than 1 / 256 of the documents hold is joined by broadcast
 MEASURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 CHUNK = ("part int, text_keys array<binary>, copies array<long>, sizes array<struct<n_a: long, n_b: long, n_groups: long>>, digests array<string>, links binary, "
@@ -71,14 +72,25 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class PlainEncoder(Encoder):
+    """The encoder of A: special tokens in a text are plain text, and few units are held or solved at once."""
+
+    def __init__(self, spec: str):
+        super().__init__(spec)
+        self.library.encode_special_tokens = True
+        self.units = common.UnitCache(500_000)
+
+    def _solve(self, units: list[str]) -> list[list[int]]:
+        return [ids for at in range(0, len(units), 2000) for ids in super()._solve(units[at: at + 2000])]
+
+
 class Aligner:
     """Both tokenizers of a task, the bytes of their tokens, and the alignment of whole blocks of texts."""
 
     def __init__(self, spec_a: str, model_b: bytes):
         from sentencepiece import SentencePieceProcessor
 
-        self.a = Encoder(spec_a)
-        self.a.library.encode_special_tokens = True              # their strings in a text are plain text
+        self.a = PlainEncoder(spec_a)
         self.b = SentencePieceProcessor(model_proto=model_b)
         vocabulary, alphabet = self.a.library.get_vocab(with_added_tokens=True), byte_alphabet()
         names = [""] * (max(vocabulary.values()) + 1)
@@ -157,16 +169,20 @@ def chunks(texts: DataFrame, t: Tokenizers) -> DataFrame:
     def run(batches):
         aligner, part = _aligner(spec, model), TaskContext.get().partitionId()
         for block in common.blocks(batches):
-            data, off = common.flat(block.column("text"))
-            whole = data.tobytes()
-            got = aligner.align([b" " + whole[s:e] for s, e in zip(off[:-1].tolist(), off[1:].tolist())])
-            pairs, which = np.unique(got.links, return_inverse=True)
+            links, sizes, digests = [], [], []
+            for few in common.blocks(iter([block]), limit=ALIGNED_BYTES):
+                data, off = common.flat(few.column("text"))
+                whole = data.tobytes()
+                got = aligner.align([b" " + whole[s:e] for s, e in zip(off[:-1].tolist(), off[1:].tolist())])
+                links.append(got.links)
+                digests += got.digests()
+                sizes += [{"n_a": a, "n_b": b, "n_groups": g} for a, b, g in zip(got.n_a.tolist(), got.n_b.tolist(), got.n_groups.tolist())]
+            all_links, copies = np.concatenate(links), block.column("copies").to_numpy()
+            pairs, which = np.unique(all_links, return_inverse=True)
             weights = np.zeros(len(pairs), np.int64)
-            copies = block.column("copies").to_numpy()
-            np.add.at(weights, which, np.repeat(copies, got.n_groups))
-            sizes = [{"n_a": a, "n_b": b, "n_groups": g} for a, b, g in zip(got.n_a.tolist(), got.n_b.tolist(), got.n_groups.tolist())]
+            np.add.at(weights, which, np.repeat(copies, [s["n_groups"] for s in sizes]))
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(
-                (part, block.column("text_key").to_pylist(), copies, sizes, got.digests(), got.links.tobytes(), pairs, weights), CHUNK_SCHEMA, strict=True)], schema=CHUNK_SCHEMA)
+                (part, block.column("text_key").to_pylist(), copies, sizes, digests, all_links.tobytes(), pairs, weights), CHUNK_SCHEMA, strict=True)], schema=CHUNK_SCHEMA)
 
     return texts.select("text", "text_key", "copies").mapInArrow(run, CHUNK)
 
