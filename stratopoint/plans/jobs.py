@@ -97,7 +97,7 @@ def colorize(spark: SparkSession, cloud: str, flight: str, out: str, work: str,
         "overwrite").text(f"{work}/affine")
     hits = C.best_camera(points, cams, affine)
     coloured = stage(spark, work, "coloured", lambda: C.sample_images(hits, by_camera(images, cams)))
-    write_cloud(coloured, out, "ply", single)
+    write_cloud(coloured, out, "ply", single, mode="overwrite")
     return C.coverage(coloured)
 
 
@@ -164,7 +164,7 @@ def merge_maps(points: DataFrame, slots: DataFrame, out: str, log: DataFrame | N
     """Align the visible maps on the first, merge them, replay the edit log and write the cloud; returns what was written."""
     merged = merge(points, slots, log, align_maps(points, slots, align))
     kept = merged.where(visible(merged)) if "visible" in merged.columns else merged
-    write_cloud(kept, out, kind, single)
+    write_cloud(kept, out, kind, single, mode="overwrite")
     return kept
 
 

@@ -127,8 +127,17 @@ def read_points(spark: SparkSession, path: str, topic: str | None = None, voxel:
     return chunks_.repartition(max(1, n), "path", "start").mapInArrow(read_arrow, schema)
 
 
-def write_cloud(df: DataFrame, path: str, kind: str = "ply", single: bool = False) -> None:
-    """Write in point_id order: a folder of files, or one file when ``single``."""
+def write_cloud(df: DataFrame, path: str, kind: str = "ply", single: bool = False, mode: str = "error") -> None:
+    """Write in point_id order: a folder of files, or one file when ``single``.
+
+    An existing target raises, is replaced with ``mode="overwrite"``, or (folders only) grows with ``mode="append"``."""
+    if mode not in ("error", "overwrite", "append"):
+        raise ValueError(f"unknown mode {mode}")
+    fs, p = open_fs(path)
+    kind_there = fs.get_file_info(p).type
+    if mode == "error" and (kind_there == FileType.File or kind_there == FileType.Directory and list_files(path, FORMATS_BY_SUFFIX)):
+        raise FileExistsError(path)
     ordered = df.repartitionByRange("point_id").sortWithinPartitions("point_id")
     names = ["x", "y", "z", *[c for c in ("red", "green", "blue", "intensity") if c in df.columns]]
-    ordered.select("point_id", *names).write.format(kind).option("single", str(single).lower()).mode("append").save(path)
+    ordered.select("point_id", *names).write.format(kind).option("single", str(single).lower()) \
+        .mode("overwrite" if mode == "overwrite" else "append").save(path)

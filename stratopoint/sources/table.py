@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import posixpath
+import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, WriterCommitMessage
 
-from .files import list_files, open_fs, read_range, size_of
+from .files import list_files, open_fs, publish, published, read_range, replace_file, size_of
 from .records import SPARK_TYPES, Chunk, Layout, batches, chunks, kind, to_arrow, unpack_colour
 
 DEFAULT_SPLIT = 128 << 20
@@ -250,15 +251,24 @@ class Written(WriterCommitMessage):
 
 
 class PointWriter(DataSourceArrowWriter):
-    """Every task writes a body; ``single`` joins them into one file, else each becomes a file.
+    """Every task writes a body; ``single`` joins them into one file, else each becomes a file of a folder.
+
+    Two phases. A task attempt writes below a hidden folder of its job, under a name of its own. The commit knows from the
+    messages which attempt of every part counts: only those files are moved into the target, then the list of the
+    target's files is replaced as a whole, and only then files that are no longer named go. Attempts that were lost,
+    repeated or late stay in the hidden folder, and a commit that is cut off leaves the old list in place, so a
+    reader sees all of a write or nothing of it. Commits into one folder must not run at the same time.
 
     The folder form is the one to use on a cluster. The joined form copies bytes
     part by part in the commit, in order of the lowest point_id of each part.
     """
 
+    overwrite = False
+
     def __init__(self, options: dict[str, str], names: list[str], suffix: str):
-        self.path, self.names, self.suffix = options["path"], names, suffix
+        self.path, self.names, self.suffix = options["path"].rstrip("/"), names, suffix
         self.single = options.get("single", "false").lower() == "true"
+        self.job = uuid.uuid4().hex[:12]
 
     def header(self, n: int) -> bytes:
         raise NotImplementedError
@@ -266,16 +276,18 @@ class PointWriter(DataSourceArrowWriter):
     def encode(self, batch: pa.RecordBatch) -> bytes:
         raise NotImplementedError
 
-    def _stage(self) -> str:
-        return self.path.rstrip("/") + "._parts"
+    def attempts(self) -> str:
+        """The hidden folder of this job."""
+        return f"{self.path}._parts-{self.job}" if self.single else f"{self.path}/_attempts-{self.job}"
 
     def write(self, iterator) -> Written:
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
-        fs, folder = open_fs(self._stage() if self.single else self.path)
+        fs, folder = open_fs(self.attempts())
         fs.create_dir(folder, recursive=True)
-        target = posixpath.join(folder, f"part-{ctx.partitionId():05d}-{ctx.taskAttemptId()}")
+        name = f"part-{ctx.partitionId():05d}-{ctx.taskAttemptId()}"
+        target = posixpath.join(folder, name)
         rows, start = 0, None
         with fs.open_output_stream(target + ".body") as out:
             for batch in iterator:
@@ -286,33 +298,53 @@ class PointWriter(DataSourceArrowWriter):
                         low = int(np.min(batch.column("point_id").to_numpy(zero_copy_only=False)))
                         start = low if start is None else min(start, low)
         if self.single:
-            return Written(target + ".body", rows, start)
+            return Written(name + ".body", rows, start)
         if rows:
             with fs.open_output_stream(target + self.suffix) as out, fs.open_input_file(target + ".body") as body:
                 out.write(self.header(rows))
                 while block := body.read(8 << 20):
                     out.write(block)
         fs.delete_file(target + ".body")
-        return Written(target + self.suffix, rows, start)
+        return Written(name + self.suffix, rows, start)
 
     def commit(self, messages) -> None:
-        if not self.single:
-            return
-        fs, target = open_fs(self.path)
-        parts = sorted((m for m in messages if m is not None), key=lambda m: (m.start is None, m.start, m.path))
-        with fs.open_output_stream(target) as out:
+        parts = [m for m in messages if m is not None]
+        fs, folder = open_fs(self.attempts())
+        fs.create_dir(folder, recursive=True)              # a write without tasks has none
+        if self.single:
+            self._join(sorted(parts, key=lambda m: (m.start is None, m.start, m.path)))
+        else:
+            self._publish([m.path for m in parts if m.rows])
+        fs.delete_dir(folder)
+
+    def _join(self, parts: list[Written]) -> None:
+        fs, folder = open_fs(self.attempts())
+        with fs.open_output_stream(posixpath.join(folder, "joined")) as out:
             out.write(self.header(sum(m.rows for m in parts)))
             for m in parts:
-                with fs.open_input_file(m.path) as body:
+                with fs.open_input_file(posixpath.join(folder, m.path)) as body:
                     while block := body.read(8 << 20):
                         out.write(block)
-        fs.delete_dir(open_fs(self._stage())[1])
+        replace_file(posixpath.join(self.attempts(), "joined"), self.path)
+
+    def _publish(self, attempts: list[str]) -> None:
+        root = open_fs(self.path)[1]
+        before = [posixpath.relpath(open_fs(f)[1], root) for f in list_files(self.path, (self.suffix,))]
+        if published(self.path) is None:
+            publish(self.path, before, self.attempts())    # from here on files count only when they are named
+        fresh = {a: f"{a[:10]}-{self.job}{self.suffix}" for a in attempts}
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(lambda a: replace_file(posixpath.join(self.attempts(), a), posixpath.join(self.path, fresh[a])), attempts))
+        publish(self.path, [*([] if self.overwrite else before), *fresh.values()], self.attempts())
+        if self.overwrite:
+            fs = open_fs(self.path)[0]
+            for old in before:
+                fs.delete_file(posixpath.join(root, old))
 
     def abort(self, messages) -> None:
-        fs, _ = open_fs(self.path)
-        for m in messages:
-            if m is not None and fs.get_file_info(m.path).type.name == "File":
-                fs.delete_file(m.path)
+        fs, folder = open_fs(self.attempts())
+        if fs.get_file_info(folder).type.name == "Directory":
+            fs.delete_dir(folder)
 
 
 class PointSource(DataSource):
@@ -336,7 +368,12 @@ class PointSource(DataSource):
         return PointReader(self.fmt, dict(self.options), schema)
 
     def writer(self, schema: T.StructType, overwrite: bool):
-        return self.writer_class(dict(self.options), [f.name for f in schema.fields])
+        out = self.writer_class(dict(self.options), [f.name for f in schema.fields])
+        out.overwrite = overwrite
+        fs, target = open_fs(out.path)
+        if out.single and not overwrite and fs.get_file_info(target).type.name != "NotFound":
+            raise FileExistsError(f"{out.path} exists, and one file cannot be appended to")
+        return out
 
 
 def numeric(batch: pa.RecordBatch, name: str, dtype: str) -> np.ndarray:

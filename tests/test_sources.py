@@ -405,3 +405,96 @@ def test_joins_on_a_folder_keep_one_row_per_point(spark, tmp_path, cloud):
     p = read_points(spark, str(tmp_path / "clouds")).select("point_id", "x", "y", "z")
     ref = p.withColumns({c: F.lit(7).cast("short") for c in ("red", "green", "blue")})
     assert neighbours.nn_transfer(p, ref, ("red", "green", "blue"), (0, 0, 0), 1.0).count() == N
+
+
+# ---- writing in two phases ------------------------------------------------------------------------------------
+
+def little_cloud(spark, n=1000, shift=0.0):
+    return spark.range(n).selectExpr("id as point_id", f"id + {shift}D as x", "id * 2D as y", "1D as z")
+
+
+@pytest.mark.parametrize("kind", ["ply", "pcd"])
+def test_a_second_write_leaves_one_copy_or_raises(spark, tmp_path, kind):
+    target = str(tmp_path / "cloud")
+    write_cloud(little_cloud(spark), target, kind)
+    with pytest.raises(FileExistsError):
+        write_cloud(little_cloud(spark), target, kind)
+    assert read_points(spark, target).count() == 1000
+    write_cloud(little_cloud(spark, 700, 5.0), target, kind, mode="overwrite")
+    got = read_points(spark, target)
+    assert got.count() == 700 and got.agg({"x": "min"}).first()[0] == 5.0
+    assert spark.read.format(kind).load(target).count() == 700
+    write_cloud(little_cloud(spark, 300), target, kind, mode="append")
+    assert read_points(spark, target).count() == 1000
+    left = {p.name for p in (tmp_path / "cloud").iterdir()}
+    assert not any(n.startswith("_attempts") for n in left) and left - {"_published"} == set((tmp_path / "cloud" / "_published").read_text().split())
+
+
+def test_one_joined_file_is_replaced_or_raises(spark, tmp_path):
+    target = str(tmp_path / "cloud.ply")
+    write_cloud(little_cloud(spark), target, single=True)
+    with pytest.raises(FileExistsError):
+        write_cloud(little_cloud(spark), target, single=True)
+    with pytest.raises(Exception, match="cannot be appended"):
+        write_cloud(little_cloud(spark), target, single=True, mode="append")
+    write_cloud(little_cloud(spark, 40), target, single=True, mode="overwrite")
+    assert read_points(spark, target).count() == 40 and [p.name for p in tmp_path.iterdir()] == ["cloud.ply"]
+
+
+@pytest.mark.parametrize("single", [False, True])
+def test_lost_repeated_and_late_attempts_leave_no_rows(spark, tmp_path, monkeypatch, single):
+    """Every part is written by three attempts, of which the messages name the second; the third ends after the commit."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    from stratopoint.sources.ply import PlyWriter
+
+    class Attempt:
+        def __init__(self, part, number):
+            self.partitionId, self.taskAttemptId = lambda: part, lambda: number
+
+    rows = lambda part: iter([pa.table({"point_id": list(range(part * 10, part * 10 + 10)), "x": [1.0] * 10, "y": [0.0] * 10, "z": [0.0] * 10}).to_batches()[0]])
+    target = str(tmp_path / ("cloud.ply" if single else "cloud"))
+    writer = PlyWriter({"path": target, "single": str(single)}, ["point_id", "x", "y", "z"])
+
+    def attempt(part, number):
+        monkeypatch.setattr(TaskContext, "get", staticmethod(lambda: Attempt(part, number)))
+        return writer.write(rows(part))
+
+    messages = []
+    for part in range(3):
+        attempt(part, 100 + part)                        # finished its file, then its executor was lost
+        messages.append(attempt(part, 200 + part))
+    monkeypatch.undo()
+    writer.commit([*messages, None])
+    assert read_points(spark, target).count() == 30
+    attempt(1, 301)
+    monkeypatch.undo()
+    assert read_points(spark, target).count() == 30
+    again = PlyWriter({"path": target, "single": str(single)}, ["point_id", "x", "y", "z"])
+    writer = again
+    attempt(0, 400)
+    monkeypatch.undo()
+    again.abort([])
+    assert read_points(spark, target).count() == 30
+
+
+def test_a_commit_that_is_cut_off_leaves_the_old_rows(spark, tmp_path, monkeypatch):
+    from stratopoint.sources import table
+    from stratopoint.sources.ply import PlyWriter
+    from stratopoint.sources.table import Written
+
+    target = str(tmp_path / "cloud")
+    write_cloud(little_cloud(spark, 50), target)
+    writer = PlyWriter({"path": target}, ["point_id", "x", "y", "z"])
+    writer.overwrite = True
+    (tmp_path / "cloud" / f"_attempts-{writer.job}").mkdir()
+    (tmp_path / "cloud" / f"_attempts-{writer.job}" / "part-00000-7.ply").write_bytes(writer.header(0))
+
+    def stop(*_):
+        raise OSError("driver lost")
+
+    monkeypatch.setattr(table, "publish", stop)
+    with pytest.raises(OSError):
+        writer.commit([Written("part-00000-7.ply", 1, 0)])
+    assert read_points(spark, target).count() == 50
