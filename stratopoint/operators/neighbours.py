@@ -1,334 +1,424 @@
-"""Exact neighbour search as joins on an adaptive cell tree.
-
-Points are grouped into leaves of at most LEAF entries: a cell that holds more
-is split into 64 (4 per axis) until it does not, so a dense spot becomes many
-small leaves and never one big group. Queries are grouped the same way. A
-breadth-first descent pairs query leaves with tree nodes; after every level a
-window over each query leaf bounds the distance still possible and drops the
-nodes beyond it. Only leaf pairs that can matter reach the distance
-computation, which runs on bounded numpy blocks and emits the k best per query
-(or a count), never all pairs.
-
-Rows with equal coordinates are one entry with a multiplicity, so copies of a
-point cannot blow up a leaf.
+"""Exact neighbour search on parts of a space-filling curve.
+
+Queries and points together are range-partitioned along a Z-order curve, so a part holds both in about the same
+place. One shuffle; then
+
+* **at home** every query looks for its neighbours among the points of its own part. A part is sorted along the curve and
+  cut into small leaves with bounding boxes; units of queries go through leaves in order of their least possible
+  distance until no leaf can matter.
+* **abroad** only queries whose ball (the k-th distance found at home, or the radius) reaches the box of another part go
+  there, packed by unit. Everything else is final.
+* **without a home** (a part with fewer than k points) a unit first asks the nearest part that has k, which gives its ball.
+
+Parts that very many units ask are repeated for as many tasks as the units need; a radius count adds a part or leaf
+that lies wholly inside the ball without opening it. The curve runs over order statistics of each axis, so stray points and
+dense spots do not coarsen it, and ties of the curve are divided by coordinate. Only one box per part reaches the
+driver; parts grow with the input beyond ``MAX_PARTS``, which bounds that. Nothing emits all pairs.
+
+Rows with equal coordinates are one entry with a multiplicity, so copies of a point cannot blow up a part.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.literals import constant_rows
-from ..session import cut
-
-LEAF = 512
-MAX_LEVEL = 10          # 4^10 cells per axis
-FRONTIER = 512          # nodes a query leaf may keep before it is split into its points
-BLOCK = 8               # leaf pairs per distance block: at most 512 x 4096 distances at a time
+from ..session import cut, ship_package
+
+PART = 1 << 14          # entries of a part
+MAX_PARTS = 1 << 18     # parts at most; their boxes are held by the driver and by every task
+LEAF = 64               # points of a leaf
+UNIT = 128              # queries that go through the leaves together
+ASKED = 256             # units that ask one copy of a part
+STEP = 32               # leaves opened at once
+FINE = 1 << 20          # steps of an axis along the curve
+SLACK = 1 + 1e-12
 XYZ = ("x", "y", "z")
+OFFSET = ("dx", "dy", "dz")
+
+FINAL, PARTIAL, PROBE, HOMELESS = range(4)
+PARTS = "part int, n_q long, n_p long, total long, queries binary, points binary, " + ", ".join(f"{n}{c} double" for n in ("lo", "hi") for c in XYZ)
+PARTS_SCHEMA = pa.schema([("part", pa.int32()), ("n_q", pa.int64()), ("n_p", pa.int64()), ("total", pa.int64()), ("queries", pa.binary()), ("points", pa.binary()),
+                          *((f"{n}{c}", pa.float64()) for n in ("lo", "hi") for c in XYZ)])
+MESSAGE = "kind int, target int, home int, n long, payload binary"
+MESSAGE_SCHEMA = pa.schema([("kind", pa.int32()), ("target", pa.int32()), ("home", pa.int32()), ("n", pa.int64()), ("payload", pa.binary())])
+QUERY = (("eid", "<i8"), ("copies", "<i8"), ("x", "<f8"), ("y", "<f8"), ("z", "<f8"), ("bound", "<f8"))
+POINT = (("eid", "<i8"), ("n", "<i8"), ("x", "<f8"), ("y", "<f8"), ("z", "<f8"))
+FOUND = (("eid", "<i8"), ("copies", "<i8"), ("rank", "<i8"), ("neighbour", "<i8"), ("d2", "<f8"), ("dx", "<f8"), ("dy", "<f8"), ("dz", "<f8"))
+COUNTED = (("eid", "<i8"), ("copies", "<i8"), ("c", "<i8"))
+Columns = dict[str, np.ndarray]
+
+
+def packed(kinds, columns: Columns) -> bytes:
+    return b"".join(np.ascontiguousarray(columns[c], t).tobytes() for c, t in kinds)
+
+
+def unpacked(kinds, raw: bytes, n: int) -> Columns:
+    return {c: np.frombuffer(raw, t, n, 8 * n * i) for i, (c, t) in enumerate(kinds)}
+
+
+def taken(columns: Columns, at) -> Columns:
+    return {c: v[at] for c, v in columns.items()}
+
+
+def usable() -> Column:
+    """Rows with a place; the others have no neighbours."""
+    ok = F.lit(True)
+    for c in XYZ:
+        v = F.col(c).cast("double")
+        ok = ok & v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(math.inf))
+    return ok
 
 
 def entries(df: DataFrame, keep: int = 1) -> DataFrame:
-    """Distinct coordinates with multiplicity n; with keep > 1 the ``keep`` lowest ids each."""
-    clean = df.select(F.col("point_id").cast("long").alias("eid"), *[F.col(c).cast("double").alias(c) for c in XYZ])
-    for c in XYZ:                                      # a row without a place has no neighbours
-        clean = clean.where(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(math.inf)))
+    """Distinct coordinates with multiplicity n; with keep > 1 the ``keep`` lowest ids each, the first as the query of all."""
+    clean = df.where(usable()).select(F.col("point_id").cast("long").alias("eid"), *[F.col(c).cast("double").alias(c) for c in XYZ])
+    whole = clean.groupBy(*XYZ).agg(F.min("eid").alias("eid"), F.count(F.lit(1)).alias("n"))
     if keep == 1:
-        return clean.groupBy(*XYZ).agg(F.min("eid").alias("eid"), F.count(F.lit(1)).alias("n"))
+        return whole.select("eid", *XYZ, "n", F.col("n").alias("copies"))
     rank = F.row_number().over(Window.partitionBy(*XYZ).orderBy("eid"))
-    return clean.withColumn("rn", rank).where(F.col("rn") <= keep).drop("rn").withColumn("n", F.lit(1).cast("long"))
+    lowest = clean.withColumn("rn", rank).where(F.col("rn") <= keep)
+    first = whole.select(*XYZ, F.col("n").alias("copies"))
+    return lowest.join(first, list(XYZ)).select("eid", *XYZ, F.lit(1).cast("long").alias("n"), F.when(F.col("rn") == 1, F.col("copies")).alias("copies"))
 
 
 # Ranks between which an axis is divided evenly: sixty-fourths, and ever smaller shares towards both ends, so that
-# a few points far away, or a dense spot, take as many cells as they have points and not as they have room.
+# a few points far away, or a dense spot, take as much of the curve as they have points and not as they have room.
 RANKS = sorted({k / 64 for k in range(65)} | {2.0 ** -k for k in range(7, 15)} | {1 - 2.0 ** -k for k in range(7, 15)})
 
 
-def _placed(ent: DataFrame) -> DataFrame:
-    """Add the finest cell numbers ix, iy, iz. Cells are boxes between order statistics of each axis: the tree only
-    needs numbers that grow with the coordinate, its bounds are those of the points themselves."""
+def along_curve(ent: DataFrame) -> DataFrame:
+    """Add ``curve``, the place on a Z-order curve over order statistics of each axis."""
     marks = {}
-    for c, q in zip(XYZ, ent.approxQuantile(list(XYZ), RANKS, 5e-5)):
+    for c, q in zip(XYZ, ent.approxQuantile(list(XYZ), RANKS, 1e-4)):
         values, last = np.unique(np.array(q), return_index=True)
         marks[c] = (values, np.array(RANKS)[last] if len(values) > 1 else np.zeros(1))
-    fine = 4 ** MAX_LEVEL
 
     def run(batches):
         for batch in batches:
-            cells = [np.minimum(np.interp(batch.column(c).to_numpy(), *marks[c]) * fine, fine - 1).astype(np.int64) for c in XYZ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, cells)], [*batch.schema.names, *("i" + c for c in XYZ)])
+            key = np.zeros(len(batch), np.int64)
+            for i, c in enumerate(XYZ):
+                step = np.minimum(np.interp(batch.column(c).to_numpy(), *marks[c]) * FINE, FINE - 1).astype(np.int64)
+                for bit in range(20):
+                    key |= (step >> bit & 1) << (3 * bit + i)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], [*batch.schema.names, "curve"])
+
+    return ent.mapInArrow(run, T.StructType([*ent.schema.fields, T.StructField("curve", T.LongType())]))
+
+
+@dataclass
+class Boxes:
+    """Of the points of every part that has any."""
+
+    part: np.ndarray
+    points: np.ndarray
+    total: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+
+
+def squared_gap(lo: np.ndarray, hi: np.ndarray, other_lo: np.ndarray, other_hi: np.ndarray) -> np.ndarray:
+    """Squared least distance between boxes, the last axis being x, y, z."""
+    gap = np.maximum(np.maximum(lo - other_hi, other_lo - hi), 0.0)
+    return (gap * gap).sum(-1)
+
+
+def squared_span(lo: np.ndarray, hi: np.ndarray, other_lo: np.ndarray, other_hi: np.ndarray) -> np.ndarray:
+    """Squared greatest distance between boxes."""
+    far = np.maximum(hi - other_lo, other_hi - lo)
+    return (far * far).sum(-1)
+
+
+class Leaves:
+    """The points of a part in curve order, cut into leaves."""
+
+    def __init__(self, points: Columns, leaf: int):
+        self.points, self.leaf, n = points, leaf, len(points["eid"])
+        self.n, starts = n, np.arange(0, n, leaf)
+        corner = lambda f: np.stack([f.reduceat(points[c], starts) for c in XYZ], 1) if n else np.zeros((0, 3))
+        self.lo, self.hi = corner(np.minimum), corner(np.maximum)
+        self.total = np.add.reduceat(points["n"], starts) if n else np.zeros(0, np.int64)
+
+    def members(self, leaves: np.ndarray) -> np.ndarray:
+        at = (leaves[:, None] * self.leaf + np.arange(self.leaf)).ravel()
+        return at[at < self.n]
+
+    def distances2(self, q: Columns, at: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(q["x"]), len(at)))
+        for c in XYZ:
+            d = q[c][:, None] - self.points[c][at][None, :]
+            total += d * d
+        return total
+
+    def nearest(self, q: Columns, k: int, limit: float | None, strict: bool) -> tuple[Columns, np.ndarray]:
+        """The k nearest of a unit of queries within their bounds, and the bounds that follow."""
+        lo, hi = corners(q)
+        least = squared_gap(lo, hi, self.lo, self.hi)
+        order = np.argsort(least, kind="stable")
+        bound, found = q["bound"].copy(), []
+        at, step = 0, 1 + -(-2 * k // self.leaf)
+        while at < len(order):
+            top = bound.max() * SLACK
+            some = order[at: at + step]
+            some = some[least[some] <= top]
+            if not len(some):
+                break
+            ids = self.members(some)
+            d2 = self.distances2(q, ids)
+            if len(ids) >= k:
+                bound = np.minimum(bound, np.partition(d2, k - 1, axis=1)[:, k - 1])
+            row, col = np.nonzero(d2 <= bound[:, None])
+            found.append((row, ids[col], d2[row, col]))
+            at, step = at + step, STEP
+        row, col, d2 = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        good = d2 <= bound[row]
+        if limit is not None:
+            good &= d2 < limit if strict else d2 <= limit
+        row, col, d2 = row[good], col[good], d2[good]
+        order = np.lexsort((self.points["eid"][col], d2, row))
+        row, col, d2 = row[order], col[order], d2[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+        row, col, d2, rank = (v[rank <= k] for v in (row, col, d2, rank))
+        last = rank == k
+        bound[row[last]] = np.minimum(bound[row[last]], d2[last])
+        offset = {o: self.points[c][col] - q[c][row] for o, c in zip(OFFSET, XYZ)}
+        return {"eid": q["eid"][row], "copies": q["copies"][row], "rank": rank, "neighbour": self.points["eid"][col], "d2": d2, "row": row, **offset}, bound
+
+    def within(self, q: Columns, limit: float) -> np.ndarray:
+        """Points in the closed ball of every query of a unit; leaves wholly inside all balls are not opened."""
+        lo, hi = corners(q)
+        inside = squared_span(lo, hi, self.lo, self.hi) * SLACK <= limit
+        count = np.full(len(q["x"]), self.total[inside].sum())
+        some = np.flatnonzero(~inside & (squared_gap(lo, hi, self.lo, self.hi) <= limit * SLACK))
+        for at in range(0, len(some), STEP):
+            ids = self.members(some[at: at + STEP])
+            count += (self.distances2(q, ids) <= limit) @ self.points["n"][ids]
+        return count
+
+
+def corners(q: Columns) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([q[c].min() for c in XYZ]), np.array([q[c].max() for c in XYZ])
+
+
+class Parts:
+    """The common parts of queries and points as a written table, and the boxes of their points."""
+
+    def __init__(self, both: DataFrame):
+        """``both``: eid, x, y, z, n (null: no point), copies (null: no query)."""
+        both = cut(both)
+        size = both.count()
+        self.count = max(1, min(MAX_PARTS, -(-size // PART)))
+        dealt = along_curve(both).repartitionByRange(self.count, "curve", *XYZ) if size else both.withColumn("curve", F.lit(0))
+
+        def run(batches):
+            held = [b for b in batches if len(b)]
+            if not held:
+                return
+            rows = pa.Table.from_batches(held).combine_chunks()
+            value = {c: rows.column(c).fill_null(0).to_numpy() for c in ("eid", "n", "copies", *XYZ, "curve")}
+            value["bound"] = np.full(len(rows), np.inf)
+            order = np.lexsort((value["x"], value["curve"]))
+            q = taken(value, order[rows.column("copies").is_valid().to_numpy(zero_copy_only=False)[order]])
+            p = taken(value, order[rows.column("n").is_valid().to_numpy(zero_copy_only=False)[order]])
+            box = [*corners(p)[0], *corners(p)[1]] if len(p["eid"]) else [None] * 6
+            row = (TaskContext.get().partitionId(), len(q["eid"]), len(p["eid"]), int(p["n"].sum()), packed(QUERY, q), packed(POINT, p), *box)
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, PARTS_SCHEMA, strict=True)], schema=PARTS_SCHEMA)
+
+        self.table = cut(dealt.mapInArrow(run, PARTS))
+        boxes = self.table.where("n_p > 0").select("part", "n_p", "total", *(f"{n}{c}" for n in ("lo", "hi") for c in XYZ)).toPandas()
+        self.boxes = Boxes(boxes["part"].to_numpy(), boxes["n_p"].to_numpy(), boxes["total"].to_numpy(),
+                           boxes[["lo" + c for c in XYZ]].to_numpy(float).reshape(-1, 3), boxes[["hi" + c for c in XYZ]].to_numpy(float).reshape(-1, 3))
+
+
+def rows_of(batches) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(len(batch)):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def message(kind: int, kinds, columns: Columns, target: int = -1, home: int = -1) -> pa.RecordBatch:
+    row = (kind, target, home, len(columns["eid"]), packed(kinds, columns))
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, MESSAGE_SCHEMA, strict=True)], schema=MESSAGE_SCHEMA)
+
+
+def abroad(q: Columns, boxes: Boxes, skip: Sequence[int]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    """For every other part that the balls of a unit reach: which queries go there, and the message that takes them."""
+    lo, hi = corners(q)
+    for i in np.flatnonzero((squared_gap(lo, hi, boxes.lo, boxes.hi) <= q["bound"].max() * SLACK) & ~np.isin(boxes.part, skip)).tolist():
+        place = np.stack([q[c] for c in XYZ], 1)
+        some = squared_gap(place, place, boxes.lo[i], boxes.hi[i]) <= q["bound"] * SLACK
+        if some.any():
+            yield some, message(PROBE, QUERY, taken(q, some), int(boxes.part[i]))
+
+
+def at_parts(asked: DataFrame, parts: Parts, answer) -> DataFrame:
+    """``answer(queries of a unit, home, leaves, part)`` for every message at the part it names; a part that more than
+    ``ASKED`` units ask is repeated, so no task holds all who ask one place."""
+    leaf = LEAF
+    copies = asked.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / ASKED).alias("copies"))
+    held = parts.table.select(F.col("part").alias("target"), "n_p", "points").join(copies, "target") \
+        .select("target", "n_p", "points", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    sent = asked.join(copies, "target").withColumn("copy", F.pmod(F.xxhash64("payload"), "copies"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return MESSAGE_SCHEMA.empty_table()
+        here = right.slice(0, 1).to_pylist()[0]
+        leaves = Leaves(unpacked(POINT, here["points"], here["n_p"]), leaf)
+        out = [m for row in rows_of(left.to_batches()) for m in answer(unpacked(QUERY, row["payload"], row["n"]), row["home"], leaves, here["target"])]
+        return pa.Table.from_batches(out, MESSAGE_SCHEMA)
+
+    return sent.groupBy("target", "copy").cogroup(held.groupBy("target", "copy")).applyInArrow(run, MESSAGE)
+
+
+def opened(messages: DataFrame, kinds) -> DataFrame:
+    """The rows inside result messages."""
+    fields = ", ".join(f"{c} {'long' if t == '<i8' else 'double'}" for c, t in kinds)
 
-    return ent.mapInArrow(run, T.StructType(ent.schema.fields + [T.StructField("i" + c, T.LongType()) for c in XYZ]))
+    def run(batches):
+        for row in rows_of(batches):
+            got = unpacked(kinds, row["payload"], row["n"])
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in got.values()], list(got))
 
+    return messages.select("payload", "n").mapInArrow(run, fields)
 
-class CellTree:
-    """``nodes`` (level, key, parent, n, leaf, box) and ``leaves`` (leaf key -> packed entries)."""
 
-    def __init__(self, ent: DataFrame, leaf: int = LEAF):
-        self.size = ent.count()
-        if not self.size:
-            return
-        ent = _placed(ent)
-        level = min(MAX_LEVEL, max(1, math.ceil(math.log(max(self.size, 1) / leaf, 16)) if self.size > leaf else 0))
-        while True:
-            base = cut(ent.groupBy(self._key(level).alias("key")).agg(
-                F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"), *self._box_aggs(XYZ)))
-            if level >= MAX_LEVEL or base.agg(F.max("m")).first()[0] <= leaf:
-                break
-            level = min(MAX_LEVEL, level + 2)
-        self.depth = level
-        up = base.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(level))))
-        shrink = self._coarsen(F.col("key"), level, F.col("level"))
-        sums = up.groupBy("level", shrink.alias("key")).agg(
-            F.sum("m").alias("m"), F.sum("n").alias("n"),
-            *[f(n + c).alias(n + c) for c in XYZ for n, f in (("lo", F.min), ("hi", F.max))])
-        small = (F.col("m") <= leaf) | (F.col("level") == level)
-        sums = sums.withColumn("leaf", small).withColumn(
-            "parent", self._coarsen(F.col("key"), F.col("level"), F.greatest(F.col("level") - 1, F.lit(0))))
-        heavy = sums.where(~F.col("leaf")).select((F.col("level") + 1).alias("level"), F.col("key").alias("parent"))
-        self.nodes = cut(sums.where("level = 0").unionByName(sums.where("level > 0").join(heavy, ["level", "parent"], "left_semi")))
-        # every base cell knows its leaf: the ancestor that was not split further
-        ends = self.nodes.where("leaf").select("level", F.col("key").alias("leaf_key"))
-        owner = (up.select("level", F.col("key").alias("base"), shrink.alias("leaf_key"))
-                 .join(ends, ["level", "leaf_key"]).select("base", "level", "leaf_key"))
-        packed = ent.withColumn("base", self._key(level)).join(owner, "base")
-        # only the deepest level may exceed the leaf size (coordinates in the same of 4^10 steps of every axis)
-        part = F.pmod(F.xxhash64("eid"), F.greatest(F.lit(1), F.ceil(F.col("size") / F.lit(leaf))))
-        over = F.count(F.lit(1)).over(Window.partitionBy("level", "leaf_key"))
-        self.leaves = cut(packed.withColumn("size", over).withColumn("part", part)
-                          .groupBy("level", "leaf_key", "part")
-                          .agg(F.collect_list(F.struct("eid", *XYZ, "n")).alias("items"), *self._box_aggs(XYZ)))
-
-    @staticmethod
-    def _box_aggs(cols: Sequence[str]) -> list[Column]:
-        return [f(c).alias(n + c) for c in cols for n, f in (("lo", F.min), ("hi", F.max))]
-
-    @staticmethod
-    def _key(level: int) -> Column:
-        shift = 2 * (MAX_LEVEL - level)
-        ix, iy, iz = (F.shiftright("i" + c, shift) for c in XYZ)
-        return F.shiftleft(ix, 40).bitwiseOR(F.shiftleft(iy, 20)).bitwiseOR(iz)
-
-    @staticmethod
-    def _coarsen(key: Column, level, to: Column) -> Column:
-        """Key of the ancestor at level ``to`` of a key at ``level``."""
-        level = F.lit(level) if isinstance(level, int) else level
-        mask = F.lit((1 << 20) - 1).cast("long")
-        parts = [F.shiftright(key, s).bitwiseAND(mask) for s in (40, 20, 0)]
-        # division instead of a variable shift: shiftright wants a literal distance
-        step = F.pow(F.lit(4.0), level - to).cast("long")
-        a, b, c = (F.floor(p / step) for p in parts)
-        return F.shiftleft(a, 40).bitwiseOR(F.shiftleft(b, 20)).bitwiseOR(c)
-
-
-def _gap2(near: bool) -> Column:
-    """Squared least (near) or greatest distance between boxes q* and lo*/hi*."""
-    total = None
-    for c in XYZ:
-        if near:
-            d = F.greatest(F.col("lo" + c) - F.col("qhi" + c), F.col("qlo" + c) - F.col("hi" + c), F.lit(0.0))
-        else:
-            d = F.greatest(F.col("hi" + c) - F.col("qlo" + c), F.col("qhi" + c) - F.col("lo" + c))
-        total = d * d if total is None else total + d * d
-    return total
-
-
-UNIT = ("level_q", "leaf_q", "part_q", "sub")
-QBOX = tuple(f"q{n}{c}" for c in XYZ for n in ("lo", "hi"))
-
-
-class _Descent:
-    """Pairs (query unit, tree leaf) that survive the bound."""
-
-    def __init__(self, queries: CellTree, tree: CellTree):
-        self.tree = tree
-        self.units = queries.leaves.select(
-            F.col("level").alias("level_q"), F.col("leaf_key").alias("leaf_q"), F.col("part").alias("part_q"),
-            F.lit(-1).cast("long").alias("sub"), F.col("items").alias("q_items"),
-            *[F.col(n[1:]).alias(n) for n in QBOX])
-
-    def _split_crowded(self, pairs: DataFrame) -> tuple[DataFrame, bool]:
-        """Replace query leaves with too many nodes by their single points."""
-        n = F.count(F.lit(1)).over(Window.partitionBy(*UNIT))
-        crowded = (F.col("sub") < 0) & (F.col("_n") > FRONTIER)
-        pairs = cut(pairs.withColumn("_n", n))
-        if not pairs.where(crowded).head(1):
-            return pairs.drop("_n"), False
-        big = pairs.where(crowded).drop("_n", "sub", *QBOX)
-        pts = self.units.select(*UNIT[:3], F.explode("q_items").alias("q"))
-        boxes = [F.col(f"q.{n[-1]}").alias(n) for n in QBOX]
-        single = big.join(pts, list(UNIT[:3])).withColumn("sub", F.col("q.eid")).select("*", *boxes).drop("q")
-        return pairs.where(~crowded).drop("_n").unionByName(single), True
-
-    def run(self, bound) -> DataFrame:
-        """Descend level by level; ``bound(pairs)`` drops the pairs that cannot matter."""
-        cols = ("level", "key", "n", "leaf", *[f"{n}{c}" for c in XYZ for n in ("lo", "hi")])
-        nodes = self.tree.nodes.select("parent", *cols)
-        root = self.tree.nodes.where("level = 0").select(*cols).first()
-        pairs = self.units.select(*UNIT, *QBOX, *[F.lit(root[c]).alias(c) for c in cols])
-        for level in range(1, self.tree.depth + 1):
-            done = pairs.where("leaf")
-            kids = (pairs.where(~F.col("leaf")).select(*UNIT, *QBOX, F.col("key").alias("parent"))
-                    .join(nodes.where(F.col("level") == level), "parent").drop("parent"))
-            pairs = bound(done.unionByName(kids))
-            pairs, split = self._split_crowded(pairs)
-            if split:
-                pairs = cut(bound(pairs))
-        return pairs
-
-    def blocks(self, pairs: DataFrame) -> DataFrame:
-        """Leaf pairs with the packed entries of both sides, BLOCK pairs per group."""
-        order = Window.partitionBy(*UNIT).orderBy("level", "key")
-        chunk = F.floor((F.row_number().over(order) - 1) / BLOCK)
-        numbered = pairs.withColumn("chunk", chunk).select(*UNIT, "level", F.col("key").alias("leaf_key"), "chunk")
-        right = self.tree.leaves.select("level", "leaf_key", "items")
-        return numbered.join(right, ["level", "leaf_key"])
-
-
-def _query_items(units: DataFrame, blocks: DataFrame) -> DataFrame:
-    """One row per block with its queries, to be grouped together with the leaf rows."""
-    heads = blocks.select(*UNIT, "chunk").distinct()
-    q = heads.join(units.select(*UNIT[:3], "q_items"), list(UNIT[:3]))
-    mine = F.when(F.col("sub") < 0, F.col("q_items")).otherwise(F.filter("q_items", lambda e: e["eid"] == F.col("sub")))
-    return q.select(*[F.col(c).alias(c) for c in (*UNIT, "chunk")], mine.alias("items"))
-
-
-def _flatten(table: pa.Table) -> dict[str, np.ndarray]:
-    items = pa.concat_arrays([c for c in table.column("items").chunks]).flatten() if table.num_rows else None
-    return {f.name: items.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(items.type)}
-
-
-def _distances2(q: dict[str, np.ndarray], p: dict[str, np.ndarray]) -> np.ndarray:
-    total = np.zeros((len(q["x"]), len(p["x"])))
-    for c in XYZ:
-        d = q[c][:, None] - p[c][None, :]
-        total += d * d
-    return total
+def _both(queries: DataFrame, points: DataFrame, keep: int) -> DataFrame:
+    """Queries and points in one table; a cloud asked about itself is there once."""
+    p = entries(points, keep)
+    if queries is points:
+        return p
+    none = F.lit(None).cast("long")
+    return entries(queries).select("eid", *XYZ, none.alias("n"), "copies").unionByName(p.withColumn("copies", none))
+
+
+def _by_unit(row: dict, bound: float) -> Iterator[Columns]:
+    q = unpacked(QUERY, row["queries"], row["n_q"])
+    for at in range(0, row["n_q"], UNIT):
+        yield taken(q, slice(at, at + UNIT)) | {"bound": np.full(min(UNIT, row["n_q"] - at), bound)}
 
 
-def _reduce_blocks(descent: _Descent, pairs: DataFrame, fn, schema: str) -> DataFrame:
-    blocks = cut(descent.blocks(pairs))
-    queries = _query_items(descent.units, blocks)
-    key = [*UNIT, "chunk"]
-    return blocks.select(*key, "items").groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(
-        lambda left, right: fn(_flatten(right), _flatten(left)), schema)
+def _to_rows(queries: DataFrame, found: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """From one answer per distinct coordinate to one per query row; only coordinates that repeat are joined."""
+    rows = queries.where(usable()).select("point_id", *[F.col(c).cast("double").alias(c) for c in XYZ])
+    same = rows.groupBy(*XYZ).agg(F.min(F.col("point_id").cast("long")).alias("eid"), F.count(F.lit(1)).alias("n")).where("n > 1").select("eid", *XYZ)
+    named = rows.join(same, list(XYZ)).select("point_id", "eid")
+    alone = found.where("copies = 1").select(F.col("eid").cast(queries.schema["point_id"].dataType).alias("point_id"), *columns)
+    return alone.unionByName(found.where("copies > 1").join(named, "eid").select("point_id", *columns))
 
 
 def knn_join(queries: DataFrame, points: DataFrame, k: int = 1, max_radius: float | None = None,
-             strict: bool = True) -> DataFrame:
-    """The k nearest points of every query: point_id, rank (1..), neighbour, distance2.
+             strict: bool = True, offsets: bool = False) -> DataFrame:
+    """The k nearest points of every query: point_id, rank (1..), neighbour, distance2; with ``offsets`` also
+    dx, dy, dz from the query to the neighbour.
 
     Exact; ties go to the lower neighbour id. A query that is itself a point
     finds itself. ``max_radius`` limits the search (strictly below it when
     ``strict``). Queries without any neighbour give no row.
     """
-    same = queries is points
-    q_ent = cut(entries(queries))
-    p_ent = q_ent if same and k == 1 else cut(entries(points, k))
-    q_tree = CellTree(q_ent)
-    tree = q_tree if same and k == 1 else CellTree(p_ent)
-    schema = "eid long, neighbour long, d2 double"
-    if not q_tree.size or not tree.size:
-        return queries.sparkSession.createDataFrame([], "point_id long, rank int, neighbour long, distance2 double")
+    ship_package(queries.sparkSession)
+    parts = Parts(_both(queries, points, k))
+    boxes, leaf = parts.boxes, LEAF
     limit = None if max_radius is None else float(max_radius) ** 2
-
-    def bound(pairs: DataFrame) -> DataFrame:
-        df = pairs.withColumns({"near": _gap2(True), "far": _gap2(False)})
-        if limit is not None:
-            df = df.where(F.col("near") <= limit * (1 + 1e-12))
-        unit = Window.partitionBy(*UNIT)
-        if k == 1:
-            reach = F.min("far").over(unit)
-        else:
-            cum = F.sum("n").over(unit.orderBy("far").rowsBetween(Window.unboundedPreceding, 0))
-            df = df.withColumn("cum", cum)
-            reach = F.min(F.when(F.col("cum") >= k, F.col("far"))).over(unit)
-        df = df.withColumn("reach", reach)
-        keep = F.col("reach").isNull() | (F.col("near") <= F.col("reach") * (1 + 1e-12))
-        return df.where(keep).drop("near", "far", "cum", "reach")
-
-    def nearest(q: dict, p: dict) -> pa.Table:
-        d2 = _distances2(q, p)
-        take = min(k, d2.shape[1])
-        if d2.shape[1] > take:
-            # everything up to the k-th distance, so that ties stay decidable by id
-            kth = np.partition(d2, take - 1, axis=1)[:, take - 1]
-            row, col = np.nonzero(d2 <= kth[:, None])
-        else:
-            row, col = np.nonzero(np.ones_like(d2, bool))
-        dist = d2[row, col]
-        if limit is not None:
-            ok = dist < limit if strict else dist <= limit
-            row, col, dist = row[ok], col[ok], dist[ok]
-        order = np.lexsort((p["eid"][col], dist, row))
-        row, col, dist = row[order], col[order], dist[order]
-        start = np.searchsorted(row, row, side="left")
-        top = np.arange(len(row)) - start < k
-        return pa.table({"eid": q["eid"][row[top]], "neighbour": p["eid"][col[top]], "d2": dist[top]})
-
-    descent = _Descent(q_tree, tree)
-    cand = _reduce_blocks(descent, descent.run(bound), nearest, schema)
+    start = math.inf if limit is None else limit
+
+    def home(batches):
+        for row in rows_of(batches):
+            leaves = Leaves(unpacked(POINT, row["points"], row["n_p"]), leaf)
+            part = row["part"]
+            for q in _by_unit(row, start):
+                got, q["bound"] = leaves.nearest(q, k, limit, strict)
+                lost = np.isinf(q["bound"])
+                full = np.flatnonzero(boxes.points >= k)
+                out = np.zeros(len(lost), bool)
+                if lost.any() and len(full):                          # the ball comes from the nearest part that has k points
+                    lo, hi = corners(q)
+                    near = full[np.argmin(squared_gap(lo, hi, boxes.lo[full], boxes.hi[full]))]
+                    out |= lost
+                    yield message(HOMELESS, QUERY, taken(q, lost), int(boxes.part[near]), part)
+                here = np.flatnonzero(~out)
+                if len(here):
+                    for some, sent in abroad(taken(q, here), boxes, [part]):
+                        out[here[some]] = True
+                        yield sent
+                left = out[got["row"]]
+                if left.any():
+                    yield message(PARTIAL, FOUND, taken(got, left))
+                if not left.all():
+                    yield message(FINAL, FOUND, taken(got, ~left))
+
+    def refound(q, home_part, leaves, part):
+        got, q["bound"] = leaves.nearest(q, k, limit, strict)
+        yield message(PARTIAL, FOUND, got)
+        for _, sent in abroad(q, boxes, [home_part, part]):
+            yield sent
+
+    def found_there(q, home_part, leaves, part):
+        yield message(PARTIAL, FOUND, leaves.nearest(q, k, limit, strict)[0])
+
+    at_home = cut(parts.table.where("n_q > 0").mapInArrow(home, MESSAGE))
+    everything = [at_home]
+    if at_home.where(F.col("kind") == HOMELESS).head(1):
+        everything.append(cut(at_parts(at_home.where(F.col("kind") == HOMELESS), parts, refound)))
+    asked = _union([m.where(F.col("kind") == PROBE) for m in everything])
+    partial = opened(_union([m.where(F.col("kind") == PARTIAL) for m in everything] + [at_parts(asked, parts, found_there)]), FOUND)
     rank = F.row_number().over(Window.partitionBy("eid").orderBy("d2", "neighbour"))
-    if k == 1:
-        best = cand.groupBy("eid").agg(F.min(F.struct("d2", "neighbour")).alias("m")).select(
-            "eid", F.lit(1).alias("rank"), "m.neighbour", F.col("m.d2").alias("distance2"))
-    else:
-        best = cand.withColumn("rank", rank).where(F.col("rank") <= k).select(
-            "eid", "rank", "neighbour", F.col("d2").alias("distance2"))
-    return _back_to_rows(queries, q_ent, best)
+    merged = partial.withColumn("rank", rank).where(F.col("rank") <= k)
+    best = opened(at_home.where(F.col("kind") == FINAL), FOUND).unionByName(merged.select(*(F.col(c).cast("long") if c == "rank" else c for c, _ in FOUND)))
+    best = best.withColumnRenamed("d2", "distance2").withColumn("rank", F.col("rank").cast("int"))
+    return _to_rows(queries, best, ["rank", "neighbour", "distance2", *(OFFSET if offsets else ())])
 
 
-def _back_to_rows(queries: DataFrame, q_ent: DataFrame, per_entry: DataFrame) -> DataFrame:
-    """From one answer per distinct coordinate to one per query row."""
-    rows = queries.select("point_id", *[F.col(c).cast("double").alias(c) for c in XYZ])
-    named = rows.join(q_ent.select("eid", *XYZ), list(XYZ)).select("point_id", "eid")
-    return named.join(per_entry, "eid").drop("eid")
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def radius_count(queries: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     """point_id, n: points within ``radius`` (closed), copies and the point itself included.
 
-    Tree nodes wholly inside the sphere add their size without being opened.
+    Leaves and parts wholly inside the sphere add their size without being opened.
     """
-    same = queries is points
-    q_ent = cut(entries(queries))
-    q_tree = CellTree(q_ent)
-    tree = q_tree if same else CellTree(cut(entries(points)))
-    if not q_tree.size or not tree.size:
-        return queries.select("point_id", F.lit(0).cast("long").alias("n"))
-    limit = float(radius) ** 2
-    inside: list[DataFrame] = []
-
-    def bound(pairs: DataFrame) -> DataFrame:
-        df = pairs.withColumns({"near": _gap2(True), "far": _gap2(False)})
-        df = df.where(F.col("near") <= limit * (1 + 1e-12))
-        df = cut(df)
-        whole = F.col("far") <= limit * (1 - 1e-12)
-        inside.append(df.where(whole).select(*UNIT, F.col("n").alias("c")))
-        return df.where(~whole).drop("near", "far")
-
-    def count(q: dict, p: dict) -> pa.Table:
-        return pa.table({"eid": q["eid"], "c": ((_distances2(q, p) <= limit) * p["n"][None, :]).sum(1).astype(np.int64)})
-
-    descent = _Descent(q_tree, tree)
-    partial = _reduce_blocks(descent, descent.run(bound), count, "eid long, c long")
-    whole = inside[0]
-    for part in inside[1:]:
-        whole = whole.unionByName(part)
-    whole = whole.groupBy(*UNIT).agg(F.sum("c").alias("c"))
-    members = descent.units.select(*UNIT[:3], F.explode("q_items.eid").alias("eid"))
-    hit = (F.col("sub") < 0) | (F.col("sub") == F.col("eid"))
-    whole = whole.join(members, list(UNIT[:3])).where(hit).select("eid", "c")
-    per_entry = partial.unionByName(whole).groupBy("eid").agg(F.sum("c").alias("n"))
-    out = _back_to_rows(queries, q_ent, per_entry)
-    return queries.select("point_id").join(out, "point_id", "left").select(
-        "point_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    ship_package(queries.sparkSession)
+    parts = Parts(_both(queries, points, 1))
+    boxes, leaf, limit = parts.boxes, LEAF, float(radius) ** 2
+
+    def home(batches):
+        for row in rows_of(batches):
+            leaves, part = Leaves(unpacked(POINT, row["points"], row["n_p"]), leaf), row["part"]
+            for q in _by_unit(row, limit):
+                lo, hi = corners(q)
+                whole = (squared_span(lo, hi, boxes.lo, boxes.hi) * SLACK <= limit) & (boxes.part != part)
+                count = leaves.within(q, limit) + boxes.total[whole].sum()
+                out = np.zeros(len(count), bool)
+                for some, sent in abroad(q, boxes, [part, *boxes.part[whole].tolist()]):
+                    out |= some
+                    yield sent
+                got = {"eid": q["eid"], "copies": q["copies"], "c": count}
+                for kind, rows in ((FINAL, ~out), (PARTIAL, out)):
+                    if rows.any():
+                        yield message(kind, COUNTED, taken(got, rows))
+
+    def counted(q, home_part, leaves, part):
+        yield message(PARTIAL, COUNTED, {"eid": q["eid"], "copies": q["copies"], "c": leaves.within(q, limit)})
+
+    at_home = cut(parts.table.where("n_q > 0").mapInArrow(home, MESSAGE))
+    partial = opened(at_home.where(F.col("kind") == PARTIAL).unionByName(at_parts(at_home.where(F.col("kind") == PROBE), parts, counted)), COUNTED)
+    summed = partial.groupBy("eid").agg(F.max("copies").alias("copies"), F.sum("c").alias("c"))
+    found = opened(at_home.where(F.col("kind") == FINAL), COUNTED).unionByName(summed).withColumnRenamed("c", "n")
+    nowhere = queries.where(~usable()).select("point_id", F.lit(0).cast("long").alias("n"))
+    return _to_rows(queries, found, ["n"]).unionByName(nowhere)
 
 
 def nn_transfer(target: DataFrame, source: DataFrame, cols: Sequence[str], default: Sequence[float],

@@ -38,11 +38,16 @@ def brute(q, p):
     return ((q[:, None] - p[None]) ** 2).sum(-1)
 
 
-@pytest.mark.parametrize("leaf", [16])
-def test_knn_equals_brute_force_under_skew(spark, skewed, monkeypatch, leaf):
+def small_parts(monkeypatch):
+    for name, value in (("PART", 60), ("LEAF", 8), ("UNIT", 16), ("ASKED", 2)):
+        monkeypatch.setattr(N, name, value)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_knn_equals_brute_force_under_skew(spark, skewed, monkeypatch, small):
     xyz, df = skewed
-    monkeypatch.setattr(N.CellTree.__init__, "__defaults__", (leaf,))
-    monkeypatch.setattr(N, "FRONTIER", 20)
+    if small:
+        small_parts(monkeypatch)
     got = N.knn_join(df, df, 6).toPandas().sort_values(["point_id", "rank"])
     assert len(got) == 6 * len(xyz)
     d2 = brute(xyz, xyz)
@@ -51,8 +56,11 @@ def test_knn_equals_brute_force_under_skew(spark, skewed, monkeypatch, leaf):
     assert np.allclose(got["distance2"].to_numpy().reshape(-1, 6), np.take_along_axis(d2, order, 1))
 
 
-def test_nearest_between_sets_and_radius_rule(spark, skewed):
+@pytest.mark.parametrize("small", [False, True])
+def test_nearest_between_sets_and_radius_rule(spark, skewed, monkeypatch, small):
     xyz, df = skewed
+    if small:
+        small_parts(monkeypatch)
     q = np.random.default_rng(4).uniform(-120, 120, (100, 3)) * [1, 1, 0.2]
     q[0] = [5.0, 5.0, 3.0]          # exactly 2 away from the crowded spot
     qdf = make(spark, q)
@@ -65,6 +73,28 @@ def test_nearest_between_sets_and_radius_rule(spark, skewed):
     assert (n.loc[range(100)].to_numpy() == (d <= 625.0).sum(1)).all()
 
 
+def test_queries_far_from_all_points(spark, monkeypatch):
+    """Parts with queries and no points ask the nearest part first; all of them ask the same one, which is repeated."""
+    small_parts(monkeypatch)
+    rng = np.random.default_rng(8)
+    p, q = rng.uniform(0, 10, (300, 3)), rng.uniform(0, 10, (400, 3)) + [500.0, 0, 0]
+    got = N.knn_join(make(spark, q), make(spark, p), 3, offsets=True).toPandas().sort_values(["point_id", "rank"])
+    d2 = brute(q, p)
+    assert (got["neighbour"].to_numpy().reshape(-1, 3) == np.argsort(d2, 1)[:, :3]).all()
+    assert np.allclose(got[["dx", "dy", "dz"]].to_numpy(), p[got["neighbour"]] - q[got["point_id"]])
+    count = N.radius_count(make(spark, q), make(spark, p), 505.0).toPandas().set_index("point_id")["n"]
+    assert (count.loc[range(400)].to_numpy() == (d2 <= 505.0 ** 2).sum(1)).all()
+
+
+def test_fewer_points_than_neighbours_and_empty_sides(spark, monkeypatch):
+    small_parts(monkeypatch)
+    q, p = make(spark, np.random.default_rng(1).uniform(0, 1, (200, 3))), make(spark, np.array([[0.0, 0, 0], [1, 1, 1], [1, 1, 1]]))
+    assert N.knn_join(q, p, 5).groupBy("point_id").count().where("count = 3").count() == 200
+    none = p.where("false")
+    assert N.knn_join(q, none, 2).count() == 0 and N.knn_join(none, q, 2).count() == 0
+    assert {r["n"] for r in N.radius_count(q, none, 1.0).collect()} == {0} and N.radius_count(none, q, 1.0).count() == 0
+
+
 def test_outlier_rules(spark, skewed):
     xyz, df = skewed
     d = np.sqrt(np.sort(brute(xyz, xyz), 1)[:, :20]).mean(1)
@@ -209,17 +239,18 @@ def test_yaw_multistart(spark):
     assert abs(la.rotation_angle_deg(fit.matrix[:3, :3]) - 180.0) < 2.0
 
 
-def test_a_stray_point_leaves_the_cells_small(spark):
-    """One point at 1e9 m must neither change results nor put the cloud into one leaf."""
+def test_a_stray_point_leaves_the_parts_small(spark, monkeypatch):
+    """One point at 1e9 m must neither change results nor put the cloud into one part."""
     import pandas as pd
     from stratopoint.operators import neighbours as NB
 
     rng = np.random.default_rng(2)
     xyz = np.vstack([rng.uniform(0, 100, (6000, 3)), [[1e9, 50.0, 5.0]], [[np.nan, 0.0, 0.0]]])
     df = spark.createDataFrame(pd.DataFrame({"point_id": np.arange(len(xyz)), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]})).repartition(3)
-    tree = NB.CellTree(NB.entries(df))
-    assert tree.leaves.selectExpr("max(size(items))").first()[0] <= NB.LEAF
-    assert tree.nodes.where("leaf").count() > 20
+    monkeypatch.setattr(NB, "PART", 500)
+    parts = NB.Parts(NB.entries(df))
+    assert parts.table.agg({"n_p": "max"}).first()[0] < 1200 and (parts.boxes.hi - parts.boxes.lo).max(1).tolist().count(0) < 3
+    assert sorted((parts.boxes.hi - parts.boxes.lo).max(1))[-2] < 101
     near = {r["point_id"]: r["distance2"] for r in NB.knn_join(df, df, 2).where("rank = 2").collect()}
     good = xyz[:6000]
     for i in range(0, 6000, 500):
