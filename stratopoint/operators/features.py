@@ -55,11 +55,12 @@ def fpfh(cloud: DataFrame, radius: float, max_nn: int = 100) -> DataFrame:
     A point's simple histogram counts the pair angles to its neighbours, in percent; its feature adds the neighbours'
     histograms weighted by one over the squared distance and brings each angle's part to 100.
     """
-    near = knn_join(cloud, cloud, max_nn, radius).where("distance2 > 0").select("point_id", "neighbour", F.col("distance2").alias("d2"))
-    mine = cloud.select("point_id", *[F.col(c).alias("m" + c) for c in XYZ], *[F.col(c).alias("p" + c) for c in NORMAL])
-    theirs = cloud.select(F.col("point_id").alias("neighbour"), *[F.col(c).alias("n" + c) for c in XYZ], *[F.col(c).alias("o" + c) for c in NORMAL])
+    near = knn_join(cloud, cloud, max_nn, radius, offsets=True).where("distance2 > 0") \
+        .select("point_id", "neighbour", F.col("distance2").alias("d2"), *["d" + c for c in XYZ])
+    mine = cloud.select("point_id", *[F.col(c).alias("p" + c) for c in NORMAL])
+    theirs = cloud.select(F.col("point_id").alias("neighbour"), *[F.col(c).alias("o" + c) for c in NORMAL])
     near = cut(near)
-    pairs = near.join(mine, "point_id").join(theirs, "neighbour").withColumns({"d" + c: F.col("n" + c) - F.col("m" + c) for c in XYZ})
+    pairs = near.join(mine, "point_id").join(theirs, "neighbour")
     bins = dict(zip(("b0", "b1", "b2"), _pair_bins()))
     share = [(F.count_if(F.col(b) == i) * 100.0 / F.count(F.lit(1))).alias(f"{b}_{i}") for b in bins for i in range(BINS)]
     names = [f"b{k}_{i}" for k in range(3) for i in range(BINS)]

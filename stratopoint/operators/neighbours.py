@@ -13,7 +13,8 @@ place. One shuffle; then
 Parts that very many units ask are repeated for as many tasks as the units need; a radius count adds a part or leaf
 that lies wholly inside the ball without opening it. The curve runs over order statistics of each axis, so stray points and
 dense spots do not coarsen it, and ties of the curve are divided by coordinate. Only one box per part reaches the
-driver; parts grow with the input beyond ``MAX_PARTS``, which bounds that. Nothing emits all pairs.
+driver (a few while there are few parts); parts grow with the input beyond ``MAX_PARTS``, which bounds that. Nothing emits
+all pairs.
 
 Rows with equal coordinates are one entry with a multiplicity, so copies of a point cannot blow up a part.
 """
@@ -35,9 +36,11 @@ from ..functions.literals import constant_rows
 from ..session import cut, ship_package
 
 PART = 1 << 14          # entries of a part
-MAX_PARTS = 1 << 18     # parts at most; their boxes are held by the driver and by every task
-LEAF = 64               # points of a leaf
-UNIT = 128              # queries that go through the leaves together
+MAX_PARTS = 1 << 18     # parts at most
+MAX_BOXES = 1 << 18     # boxes of all parts; the driver and every task hold them
+PART_BOXES = 64         # boxes of a part, as far as that allows
+LEAF = 16               # points of a leaf
+UNIT = 64               # queries that go through the leaves together
 ASKED = 256             # units that ask one copy of a part
 STEP = 32               # leaves opened at once
 FINE = 1 << 20          # steps of an axis along the curve
@@ -46,9 +49,9 @@ XYZ = ("x", "y", "z")
 OFFSET = ("dx", "dy", "dz")
 
 FINAL, PARTIAL, PROBE, HOMELESS = range(4)
-PARTS = "part int, n_q long, n_p long, total long, queries binary, points binary, " + ", ".join(f"{n}{c} double" for n in ("lo", "hi") for c in XYZ)
-PARTS_SCHEMA = pa.schema([("part", pa.int32()), ("n_q", pa.int64()), ("n_p", pa.int64()), ("total", pa.int64()), ("queries", pa.binary()), ("points", pa.binary()),
-                          *((f"{n}{c}", pa.float64()) for n in ("lo", "hi") for c in XYZ)])
+PARTS = "part int, n_q long, n_p long, total long, repeated long, queries binary, points binary, boxes binary"
+PARTS_SCHEMA = pa.schema([("part", pa.int32()), ("n_q", pa.int64()), ("n_p", pa.int64()), ("total", pa.int64()), ("repeated", pa.int64()),
+                          ("queries", pa.binary()), ("points", pa.binary()), ("boxes", pa.binary())])
 MESSAGE = "kind int, target int, home int, n long, payload binary"
 MESSAGE_SCHEMA = pa.schema([("kind", pa.int32()), ("target", pa.int32()), ("home", pa.int32()), ("n", pa.int64()), ("payload", pa.binary())])
 QUERY = (("eid", "<i8"), ("copies", "<i8"), ("x", "<f8"), ("y", "<f8"), ("z", "<f8"), ("bound", "<f8"))
@@ -82,13 +85,13 @@ def usable() -> Column:
 def entries(df: DataFrame, keep: int = 1) -> DataFrame:
     """Distinct coordinates with multiplicity n; with keep > 1 the ``keep`` lowest ids each, the first as the query of all."""
     clean = df.where(usable()).select(F.col("point_id").cast("long").alias("eid"), *[F.col(c).cast("double").alias(c) for c in XYZ])
-    whole = clean.groupBy(*XYZ).agg(F.min("eid").alias("eid"), F.count(F.lit(1)).alias("n"))
+    whole = clean.groupBy(*XYZ).agg(F.min("eid").alias("eid"), F.count(F.lit(1)).alias("n")).select("eid", *XYZ, "n", F.col("n").alias("copies"))
     if keep == 1:
-        return whole.select("eid", *XYZ, "n", F.col("n").alias("copies"))
+        return whole
+    again = whole.where("n > 1").select(*XYZ, "copies")               # only these are looked at once more
     rank = F.row_number().over(Window.partitionBy(*XYZ).orderBy("eid"))
-    lowest = clean.withColumn("rn", rank).where(F.col("rn") <= keep)
-    first = whole.select(*XYZ, F.col("n").alias("copies"))
-    return lowest.join(first, list(XYZ)).select("eid", *XYZ, F.lit(1).cast("long").alias("n"), F.when(F.col("rn") == 1, F.col("copies")).alias("copies"))
+    lowest = clean.join(again, list(XYZ)).withColumn("rn", rank).where(F.col("rn") <= keep)
+    return whole.where("n = 1").unionByName(lowest.select("eid", *XYZ, F.lit(1).cast("long").alias("n"), F.when(F.col("rn") == 1, F.col("copies")).alias("copies")))
 
 
 # Ranks between which an axis is divided evenly: sixty-fourths, and ever smaller shares towards both ends, so that
@@ -117,14 +120,30 @@ def along_curve(ent: DataFrame) -> DataFrame:
 
 @dataclass
 class Boxes:
-    """Of the points of every part that has any."""
+    """Parts that have points, and the boxes of runs of their points along the curve; ``owner`` counts in ``part``."""
 
     part: np.ndarray
     points: np.ndarray
     total: np.ndarray
+    owner: np.ndarray
     lo: np.ndarray
     hi: np.ndarray
 
+    def gaps(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Squared least distance of a box to every box."""
+        return squared_gap(lo, hi, self.lo, self.hi)
+
+    def inside(self, lo: np.ndarray, hi: np.ndarray, limit: float) -> np.ndarray:
+        """Parts of which every box is within ``limit`` of every place in a box."""
+        open_ = np.bincount(self.owner, squared_span(lo, hi, self.lo, self.hi) * SLACK > limit, len(self.part))
+        return open_ == 0
+
+
+def runs(points: Columns, size: int) -> np.ndarray:
+    """Low and high corners of every ``size`` points, a row each."""
+    starts = np.arange(0, len(points["eid"]), size)
+    return np.stack([f.reduceat(points[c], starts) for f in (np.minimum, np.maximum) for c in XYZ], 1) if len(starts) else np.zeros((0, 6))
+
 
 def squared_gap(lo: np.ndarray, hi: np.ndarray, other_lo: np.ndarray, other_hi: np.ndarray) -> np.ndarray:
     """Squared least distance between boxes, the last axis being x, y, z."""
@@ -142,11 +161,10 @@ class Leaves:
     """The points of a part in curve order, cut into leaves."""
 
     def __init__(self, points: Columns, leaf: int):
-        self.points, self.leaf, n = points, leaf, len(points["eid"])
-        self.n, starts = n, np.arange(0, n, leaf)
-        corner = lambda f: np.stack([f.reduceat(points[c], starts) for c in XYZ], 1) if n else np.zeros((0, 3))
-        self.lo, self.hi = corner(np.minimum), corner(np.maximum)
-        self.total = np.add.reduceat(points["n"], starts) if n else np.zeros(0, np.int64)
+        self.points, self.leaf, self.n = points, leaf, len(points["eid"])
+        box = runs(points, leaf)
+        self.lo, self.hi = box[:, :3], box[:, 3:]
+        self.total = np.add.reduceat(points["n"], np.arange(0, self.n, leaf)) if self.n else np.zeros(0, np.int64)
 
     def members(self, leaves: np.ndarray) -> np.ndarray:
         at = (leaves[:, None] * self.leaf + np.arange(self.leaf)).ravel()
@@ -216,7 +234,9 @@ class Parts:
         """``both``: eid, x, y, z, n (null: no point), copies (null: no query)."""
         both = cut(both)
         size = both.count()
-        self.count = max(1, min(MAX_PARTS, -(-size // PART)))
+        cores = both.sparkSession.sparkContext.defaultParallelism
+        self.count = max(1, min(MAX_PARTS, max(-(-size // PART), min(cores, 4 * size // PART))))
+        per_part = max(1, min(PART_BOXES, MAX_BOXES // self.count))
         dealt = along_curve(both).repartitionByRange(self.count, "curve", *XYZ) if size else both.withColumn("curve", F.lit(0))
 
         def run(batches):
@@ -229,14 +249,19 @@ class Parts:
             order = np.lexsort((value["x"], value["curve"]))
             q = taken(value, order[rows.column("copies").is_valid().to_numpy(zero_copy_only=False)[order]])
             p = taken(value, order[rows.column("n").is_valid().to_numpy(zero_copy_only=False)[order]])
-            box = [*corners(p)[0], *corners(p)[1]] if len(p["eid"]) else [None] * 6
-            row = (TaskContext.get().partitionId(), len(q["eid"]), len(p["eid"]), int(p["n"].sum()), packed(QUERY, q), packed(POINT, p), *box)
+            box = runs(p, max(1, -(-len(p["eid"]) // per_part)))
+            row = (TaskContext.get().partitionId(), len(q["eid"]), len(p["eid"]), int(p["n"].sum()), int((q["copies"] > 1).sum()),
+                   packed(QUERY, q), packed(POINT, p), box.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, PARTS_SCHEMA, strict=True)], schema=PARTS_SCHEMA)
 
         self.table = cut(dealt.mapInArrow(run, PARTS))
-        boxes = self.table.where("n_p > 0").select("part", "n_p", "total", *(f"{n}{c}" for n in ("lo", "hi") for c in XYZ)).toPandas()
-        self.boxes = Boxes(boxes["part"].to_numpy(), boxes["n_p"].to_numpy(), boxes["total"].to_numpy(),
-                           boxes[["lo" + c for c in XYZ]].to_numpy(float).reshape(-1, 3), boxes[["hi" + c for c in XYZ]].to_numpy(float).reshape(-1, 3))
+        held = self.table.select("part", "n_p", "total", "repeated", "boxes").toPandas()
+        self.repeated = int(held["repeated"].sum())
+        held = held[held["n_p"] > 0]
+        box = [np.frombuffer(b, np.float64).reshape(-1, 6) for b in held["boxes"]]
+        corner = np.concatenate([np.zeros((0, 6)), *box])
+        self.boxes = Boxes(held["part"].to_numpy(), held["n_p"].to_numpy(), held["total"].to_numpy(), np.repeat(np.arange(len(box)), [len(b) for b in box]),
+                           corner[:, :3], corner[:, 3:])
 
 
 def rows_of(batches) -> Iterator[dict]:
@@ -253,9 +278,12 @@ def message(kind: int, kinds, columns: Columns, target: int = -1, home: int = -1
 def abroad(q: Columns, boxes: Boxes, skip: Sequence[int]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
     """For every other part that the balls of a unit reach: which queries go there, and the message that takes them."""
     lo, hi = corners(q)
-    for i in np.flatnonzero((squared_gap(lo, hi, boxes.lo, boxes.hi) <= q["bound"].max() * SLACK) & ~np.isin(boxes.part, skip)).tolist():
-        place = np.stack([q[c] for c in XYZ], 1)
-        some = squared_gap(place, place, boxes.lo[i], boxes.hi[i]) <= q["bound"] * SLACK
+    place = np.stack([q[c] for c in XYZ], 1)
+    near = np.flatnonzero(boxes.gaps(lo, hi) <= q["bound"].max() * SLACK)
+    near = near[~np.isin(boxes.part[boxes.owner[near]], skip)]
+    for i in np.unique(boxes.owner[near]).tolist():
+        mine = near[boxes.owner[near] == i]
+        some = (squared_gap(place[:, None], place[:, None], boxes.lo[mine], boxes.hi[mine]) <= q["bound"][:, None] * SLACK).any(1)
         if some.any():
             yield some, message(PROBE, QUERY, taken(q, some), int(boxes.part[i]))
 
@@ -307,12 +335,14 @@ def _by_unit(row: dict, bound: float) -> Iterator[Columns]:
         yield taken(q, slice(at, at + UNIT)) | {"bound": np.full(min(UNIT, row["n_q"] - at), bound)}
 
 
-def _to_rows(queries: DataFrame, found: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _to_rows(queries: DataFrame, parts: Parts, found: DataFrame, columns: Sequence[str]) -> DataFrame:
     """From one answer per distinct coordinate to one per query row; only coordinates that repeat are joined."""
-    rows = queries.where(usable()).select("point_id", *[F.col(c).cast("double").alias(c) for c in XYZ])
-    same = rows.groupBy(*XYZ).agg(F.min(F.col("point_id").cast("long")).alias("eid"), F.count(F.lit(1)).alias("n")).where("n > 1").select("eid", *XYZ)
-    named = rows.join(same, list(XYZ)).select("point_id", "eid")
     alone = found.where("copies = 1").select(F.col("eid").cast(queries.schema["point_id"].dataType).alias("point_id"), *columns)
+    if not parts.repeated:
+        return alone
+    rows = queries.where(usable()).select("point_id", *[F.col(c).cast("double").alias(c) for c in XYZ])
+    again = rows.groupBy(*XYZ).agg(F.min(F.col("point_id").cast("long")).alias("eid"), F.count(F.lit(1)).alias("n")).where("n > 1").select("eid", *XYZ)
+    named = rows.join(again, list(XYZ)).select("point_id", "eid")
     return alone.unionByName(found.where("copies > 1").join(named, "eid").select("point_id", *columns))
 
 
@@ -342,7 +372,8 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int = 1, max_radius: floa
                 out = np.zeros(len(lost), bool)
                 if lost.any() and len(full):                          # the ball comes from the nearest part that has k points
                     lo, hi = corners(q)
-                    near = full[np.argmin(squared_gap(lo, hi, boxes.lo[full], boxes.hi[full]))]
+                    fit = np.flatnonzero(np.isin(boxes.owner, full))
+                    near = boxes.owner[fit[np.argmin(boxes.gaps(lo, hi)[fit])]]
                     out |= lost
                     yield message(HOMELESS, QUERY, taken(q, lost), int(boxes.part[near]), part)
                 here = np.flatnonzero(~out)
@@ -375,7 +406,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int = 1, max_radius: floa
     merged = partial.withColumn("rank", rank).where(F.col("rank") <= k)
     best = opened(at_home.where(F.col("kind") == FINAL), FOUND).unionByName(merged.select(*(F.col(c).cast("long") if c == "rank" else c for c, _ in FOUND)))
     best = best.withColumnRenamed("d2", "distance2").withColumn("rank", F.col("rank").cast("int"))
-    return _to_rows(queries, best, ["rank", "neighbour", "distance2", *(OFFSET if offsets else ())])
+    return _to_rows(queries, parts, best, ["rank", "neighbour", "distance2", *(OFFSET if offsets else ())])
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -399,7 +430,7 @@ def radius_count(queries: DataFrame, points: DataFrame, radius: float) -> DataFr
             leaves, part = Leaves(unpacked(POINT, row["points"], row["n_p"]), leaf), row["part"]
             for q in _by_unit(row, limit):
                 lo, hi = corners(q)
-                whole = (squared_span(lo, hi, boxes.lo, boxes.hi) * SLACK <= limit) & (boxes.part != part)
+                whole = boxes.inside(lo, hi, limit) & (boxes.part != part)
                 count = leaves.within(q, limit) + boxes.total[whole].sum()
                 out = np.zeros(len(count), bool)
                 for some, sent in abroad(q, boxes, [part, *boxes.part[whole].tolist()]):
@@ -418,7 +449,7 @@ def radius_count(queries: DataFrame, points: DataFrame, radius: float) -> DataFr
     summed = partial.groupBy("eid").agg(F.max("copies").alias("copies"), F.sum("c").alias("c"))
     found = opened(at_home.where(F.col("kind") == FINAL), COUNTED).unionByName(summed).withColumnRenamed("c", "n")
     nowhere = queries.where(~usable()).select("point_id", F.lit(0).cast("long").alias("n"))
-    return _to_rows(queries, found, ["n"]).unionByName(nowhere)
+    return _to_rows(queries, parts, found, ["n"]).unionByName(nowhere)
 
 
 def nn_transfer(target: DataFrame, source: DataFrame, cols: Sequence[str], default: Sequence[float],
