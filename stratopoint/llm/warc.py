@@ -11,8 +11,10 @@ and payload digests are verified; a record that breaks a rule raises an error wi
 compression are read the same way. Memory: one piece and one record.
 
 Defined results: a null payload is empty; a null address is written as the record's own id. Rows with a null id are left
-out; rows that repeat an id with equal payloads are all responses if the id is the smallest. Empty tables give an
-archive without files. Tasks can be repeated: files are written under a temporary name first.
+out; rows that repeat an id are records of their own: a row is a revisit if its own payload has a smaller id, so rows with the
+smallest id of a payload are all responses, and another payload under the same id is judged by itself. Empty tables give an
+archive without files. Tasks can be repeated: files are written under a temporary name first, and a written archive is read
+by the list of its files, so what a lost attempt left behind is not read.
 """
 
 from __future__ import annotations
@@ -80,9 +82,10 @@ def write(pages: DataFrame, folder: str | None = None, a: Archive = Archive(), k
     folder = folder or f"{common.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     rows = common.non_null_id(pages, key).select(F.col(key).cast("long").alias("page_id"), F.col(uri).alias("uri"),
                                                  F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"))
-    marks = rows.select("page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("size")).filter(F.col("size") >= a.min_revisit)
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    marks = rows.filter(F.octet_length("payload") >= a.min_revisit).select("page_id", "digest")
     first = marks.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    revisits = marks.join(first, "digest").filter("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    revisits = marks.join(first, "digest").filter("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
     schema = pa.schema([("path", pa.string()), ("records", pa.int64())])
 
     def run(batches):
@@ -104,7 +107,7 @@ def write(pages: DataFrame, folder: str | None = None, a: Archive = Archive(), k
             yield close()
 
     common.make_dir(f"{folder}/records")
-    rows.join(revisits, "page_id", "left").mapInArrow(run, "path string, records long").write.parquet(f"{folder}/files")
+    rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "uri", "payload", "refers_to").mapInArrow(run, "path string, records long").write.parquet(f"{folder}/files")
     return folder
 
 
@@ -205,8 +208,9 @@ def _verify(digest: str | None, content: bytes, name: str, offset: int) -> None:
         raise ValueError(f"{name}: digest differs in the record at {offset}")
 
 
-def read(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
-    """All records of the ``.warc`` and ``.warc.gz`` files below a folder, one file after another in each task."""
+def read(spark: SparkSession, folder: str, with_payload: bool = True, listed: bool = True) -> DataFrame:
+    """All records of a written archive, one file after another in each task. ``listed=False`` reads all ``.warc`` and
+    ``.warc.gz`` files below the ``records`` folder of an archive that has no list."""
 
     def run(batches):
         for batch in batches:
@@ -223,5 +227,9 @@ def read(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFra
                 if held:
                     yield common.arrays(RECORD_SCHEMA, *map(list, zip(*held)))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(f"{folder}/records").select("path")
+    if listed:
+        files = spark.read.schema("path string").parquet(f"{folder}/files")
+        files = files.repartition(max(1, min(files.count(), 8 * common.shuffle_width(files))), "path")
+    else:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(f"{folder}/records").select("path")
     return files.mapInArrow(run, RECORD)

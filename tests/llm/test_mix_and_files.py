@@ -146,6 +146,17 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read(spark, empty).count() == 0
 
 
+def test_warc_of_repeated_ids_and_lost_attempts(spark, tmp_path):
+    a, b = "A" * 150, "B" * 150
+    rows = [(1, "u", a), (5, "u", a), (5, "u", b), (7, "u", b), (7, "u", b), (7, "u", "short"), (1, "v", a)]
+    folder = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), str(tmp_path / "w"))
+    (tmp_path / "w" / "records" / "0000099-00000.warc.gz").write_bytes(b"what a lost attempt left")
+    got = sorted((r.record_id, r.record_type, r.refers_to or "", bytes(r.payload or b"").decode()) for r in warc.read(spark, folder).collect())
+    name = warc.record_id
+    assert got == sorted([(name(1), "response", "", a), (name(1), "response", "", a), (name(5), "revisit", name(1), ""), (name(5), "response", "", b),
+                          (name(7), "revisit", name(5), ""), (name(7), "revisit", name(5), ""), (name(7), "response", "", "short")])
+
+
 def test_warc_reader_refuses_damage():
     a = warc.Archive()
     body = b"hello" * 30
