@@ -6,9 +6,9 @@ it into groups, and the two tokens that end there are a link. Pair counts are li
 documents. Measures are joined back to the document ids by the texts' sha256.
 
 What bounds it: a task goes through a megabyte of text (or one longer text) at a time and keeps only
-numpy arrays. Distinct pairs are counted per chunk, then per part of the chunk table, and only then per pair, so a
-pair that stands in every text is a row per part. The counts of a part's pairs come back as a file of that part
-in the shared folder, which its tasks read; nothing is broadcast but the best count per id of B (one row per entry of the
+numpy arrays. Distinct pairs are counted per chunk, then per lane (the chunks of some 64 MB of text), and only then per
+pair, so a pair that stands in every text is a row per lane. The counts of a lane's pairs come back as a file of that
+lane in the shared folder, which its tasks read; nothing is broadcast but the best count per id of B (one row per entry of the
 vocabulary) and texts that more than one document in 256 holds (fewer than 256 rows).
 
 Defined results: null and empty texts, and texts that either tokenizer does not give back byte for byte (or gives tokens
@@ -36,6 +36,7 @@ from . import common
 from .token_store import Encoder
 
 ALIGNED_BYTES = 1 << 17              # text aligned at once; a chunk puts several of these together
+LANE_LINKS = 1 << 24                 # links (some 64 MB of text) whose pairs are looked up together
 HOT_SHARE = 256                      # a text that more than 1 / 256 of the documents hold is joined by broadcast
 MEASURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 CHUNK = ("part int, text_keys array<binary>, copies array<long>, sizes array<struct<n_a: long, n_b: long, n_groups: long>>, digests array<string>, links binary, "
@@ -188,35 +189,35 @@ def chunks(texts: DataFrame, t: Tokenizers) -> DataFrame:
 
 
 def pair_counts(aligned: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links per part and pair, and per pair over the corpus (pair, links, best: the highest count of the pair's B id)."""
-    per_part = common.stage(aligned.select("part", F.explode(F.arrays_zip("pairs", "weights")).alias("p"))
-                            .groupBy("part", F.col("p.pairs").alias("pair")).agg(F.sum("p.weights").alias("links")), "pairs-by-part")
-    counts = common.stage(per_part.groupBy("pair").agg(F.sum("links").alias("links")), "pairs")
+    """Links per lane and pair, and per pair over the corpus (pair, links, best: the highest count of the pair's B id)."""
+    per_lane = common.stage(aligned.select("lane", F.explode(F.arrays_zip("pairs", "weights")).alias("p"))
+                            .groupBy("lane", F.col("p.pairs").alias("pair")).agg(F.sum("p.weights").alias("links")), "pairs-by-lane")
+    counts = common.stage(per_lane.groupBy("pair").agg(F.sum("links").alias("links")), "pairs")
     b_id = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
     best = counts.groupBy(b_id.alias("b")).agg(F.max("links").alias("best"))       # a row per entry of B's vocabulary
-    return per_part, counts.withColumn("b", b_id).join(F.broadcast(best), "b").drop("b")
+    return per_lane, counts.withColumn("b", b_id).join(F.broadcast(best), "b").drop("b")
 
 
 class Counts:
-    """The pair counts of one part at a time, read from its files in the shared folder."""
+    """The pair counts of one lane at a time, read from its files in the shared folder."""
 
     def __init__(self, folder: str):
-        self.folder, self.part = folder, -1
+        self.folder, self.lane = folder, -1
 
-    def of(self, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of(self, lane: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted pairs, their links, and whether that is the best of the B id."""
-        if part != self.part:
-            fs, path = common.file_system(f"{self.folder}/part={part}")
+        if lane != self.lane:
+            fs, path = common.file_system(f"{self.folder}/lane={lane}")
             files = fs.get_file_info(pafs.FileSelector(path)) if fs.get_file_info(path).type == pafs.FileType.Directory else []
             tables = [pq.ParquetFile(f.path, filesystem=fs).read(["pair", "links", "best"]) for f in files if f.path.endswith(".parquet")]
             pair, links, best = (np.concatenate([np.zeros(0, np.int64), *(t.column(c).to_numpy() for t in tables)]) for c in ("pair", "links", "best"))
             order = np.argsort(pair)
-            self.part, self.held = part, (pair[order], links[order], links[order] == best[order])
+            self.lane, self.held = lane, (pair[order], links[order], links[order] == best[order])
         return self.held
 
 
 def measures(aligned: DataFrame, folder: str) -> DataFrame:
-    """text_key and the measures of every distinct text; ``folder``: pair counts by part."""
+    """text_key and the measures of every distinct text; ``folder``: pair counts by lane."""
     schema = pa.schema([("text_key", pa.binary()), ("copies", pa.int64()), *((m, pa.int64()) for m in MEASURES), ("groups_sha256", pa.string())])
 
     def run(batches):
@@ -224,7 +225,7 @@ def measures(aligned: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.slice(i, 1)
-                pair, links, best = counts.of(row.column("part")[0].as_py())
+                pair, links, best = counts.of(row.column("lane")[0].as_py())
                 sizes = row.column("sizes").flatten()
                 n_a, n_b, n_groups = (sizes.field(f).to_numpy() for f in range(3))
                 at = np.searchsorted(pair, np.frombuffer(row.column("links")[0].as_py(), np.int64))
@@ -233,7 +234,7 @@ def measures(aligned: DataFrame, folder: str) -> DataFrame:
                                     common.per_row(links[at], off), row.column("digests").flatten())
 
     names = ", ".join(f"{m} long" for m in MEASURES)
-    return aligned.select("part", "text_keys", "copies", "sizes", "digests", "links").mapInArrow(run, f"text_key binary, copies long, {names}, groups_sha256 string")
+    return aligned.select("lane", "text_keys", "copies", "sizes", "digests", "links").mapInArrow(run, f"text_key binary, copies long, {names}, groups_sha256 string")
 
 
 def alignment(docs: DataFrame, t: Tokenizers, text: str = "text") -> DataFrame:
@@ -242,10 +243,12 @@ def alignment(docs: DataFrame, t: Tokenizers, text: str = "text") -> DataFrame:
     key = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("text_key")
     texts = docs.filter("text <> ''").groupBy("text").agg(F.count("*").alias("copies"))
     aligned = common.stage(chunks(texts.select("text", key, "copies"), t), "aligned")
-    per_part, counts = pair_counts(aligned)
+    links = aligned.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda n, x: n + x.n_groups))).first()[0] or 0
+    aligned = aligned.withColumn("lane", F.pmod("part", F.lit(-(-links // LANE_LINKS) or 1)).cast("int"))
+    per_lane, counts = pair_counts(aligned)
 
     folder = f"{common.shared_dir(docs.sparkSession)}/counts-{uuid.uuid4().hex}"
-    per_part.select("part", "pair").join(counts, "pair").repartition("part").write.partitionBy("part").parquet(folder)
+    per_lane.select("lane", "pair").join(counts, "pair").repartition("lane").write.partitionBy("lane").parquet(folder)
     found = common.stage(measures(aligned, folder), "measures")
 
     keyed = docs.filter("text <> ''").select("doc_id", key)

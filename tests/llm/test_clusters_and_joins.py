@@ -190,7 +190,9 @@ def plain_tokens(pair):
             lambda t: [(i, piece(i)) for i in b.encode(t)])
 
 
-def test_alignment(spark, pair, sf):
+@pytest.mark.parametrize("lane_links", [1 << 24, 3000])
+def test_alignment(spark, pair, sf, monkeypatch, lane_links):
+    monkeypatch.setattr(token_align, "LANE_LINKS", lane_links)
     texts = [(i, t) for i, t in brute.awkward().items() if i not in (6, 7)]
     texts += [(200, "a <|endoftext|> b</s><s> <0x41>"), (201, "mark ▁ inside"), (202, " leading  and   trailing  "), (203, "don't we'LL 12345 x_y"), (204, "naïve 😀 é\r\n\ttab"),
               (205, "\x00\x01 odd"), (206, "x" * 3000), (207, "   "), (208, "<unk>")]
