@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from ..functions import camera as cam
 from ..functions.linear import invert, matmul_cols, matvec_cols
 from ..functions.names import sequence_token
-from ..session import cut
+from ..session import cut, ship_package
 
 FALLBACK = (107, 107, 107)
 BROADCAST_ROWS = 2_000_000  # (cell, camera) rows a broadcast may hold (12 bytes each); beyond it the join shuffles
@@ -56,6 +56,8 @@ def ground_box(points: DataFrame) -> dict[str, float] | None:
 
     An axis reaches twice the span of its middle 98 percent beyond it at most, so a stray point does not blow
     up the cells of all others. ``strays``: points lie outside; they are tried with every camera."""
+    for c in "xyz":                  # a point without a place is seen by no camera
+        points = points.where(F.abs(c) < F.lit(math.inf))
     aggs = [f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("min_", F.min), ("max_", F.max))]
     row = points.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
     if row["min_x"] is None:
@@ -197,6 +199,7 @@ class CellCameras:
     """The cameras per cell of a cloud, as lists of bounded length, with their measured size."""
 
     def __init__(self, points: DataFrame, cameras: DataFrame, transform, max_radius: float, best_only: bool):
+        ship_package(points.sparkSession)
         self.empty, self.max_radius = True, max_radius
         box = ground_box(points)
         if box is None:

@@ -17,6 +17,7 @@ from ..functions.linear import map_point, rot_z
 from .percentiles import quantiles
 
 
+RUN = 1024              # buckets of nearest_time carried over together
 _FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
 
 
@@ -279,36 +280,44 @@ def top_angles(scores: DataFrame, k: int = 5, gap: float = 10.0, winner: float |
     return top, second.select(F.lit(best["score"]).alias("best"), "second")
 
 
-def nearest_time(frames: DataFrame, telemetry: DataFrame, bucket: float = 60.0) -> DataFrame:
-    """Telemetry row nearest in time for every frame; the earlier one wins a tie.
+def nearest_time(frames: DataFrame, telemetry: DataFrame, bucket: float = 60.0, by: Sequence[str] = ()) -> DataFrame:
+    """Telemetry row nearest in time for every frame of the same flight (the columns ``by``); the earlier one wins a tie.
 
     Time is cut into buckets that sort on their own; what a bucket needs from
-    outside is only the last sample before it and the first one after, taken
-    from a table with one row per occupied bucket.
+    outside is only the last sample before it and the first one after, carried over the occupied buckets, and over
+    runs of ``RUN`` buckets first, so that a long recording without a flight key is no single sort either. A frame of a
+    flight without telemetry has nulls.
     """
-    row = F.struct("t", *[c for c in telemetry.columns if c != "t"])
+    by = list(by)
+    row = F.struct("t", *[c for c in telemetry.columns if c != "t" and c not in by])
     b = F.floor(F.col("t") / F.lit(bucket))
-    samples = telemetry.select(b.alias("b"), "t", row.alias("s"), F.lit(None).cast("long").alias("frame"))
-    wanted = frames.select(b.alias("b"), "t", F.lit(None).cast(samples.schema["s"].dataType).alias("s"),
+    samples = telemetry.select(*by, b.alias("b"), "t", row.alias("s"), F.lit(None).cast("long").alias("frame"))
+    wanted = frames.select(*by, b.alias("b"), "t", F.lit(None).cast(samples.schema["s"].dataType).alias("s"),
                            F.col("frame").cast("long").alias("frame"))
-    per = samples.groupBy("b").agg(F.min("s").alias("first_s"), F.max("s").alias("last_s"))
-    occupied = per.unionByName(wanted.select("b").distinct(), allowMissingColumns=True).groupBy("b").agg(
-        F.max("first_s").alias("first_s"), F.max("last_s").alias("last_s"))
-    # one row per minute of flight
-    order = Window.orderBy("b")
-    edges = occupied.select(
-        "b", F.last("last_s", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-        F.first("first_s", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-    both = samples.unionByName(wanted).repartition("b")
-    prev = Window.partitionBy("b").orderBy("t", F.col("frame").isNotNull(), F.col("s.t").desc())
-    nxt = Window.partitionBy("b").orderBy(F.desc("t"), F.col("frame").isNotNull())
-    seen = both.select("b", "t", "frame", F.last("s", ignorenulls=True).over(prev).alias("p"),
+    per = samples.groupBy(*by, "b").agg(F.min("s").alias("first_s"), F.max("s").alias("last_s"))
+    occupied = per.unionByName(wanted.select(*by, "b").distinct(), allowMissingColumns=True).groupBy(*by, "b").agg(
+        F.max("first_s").alias("first_s"), F.max("last_s").alias("last_s")).withColumn("run", F.floor(F.col("b") / F.lit(RUN)))
+
+    def carried(df: DataFrame, keys: list[str], place: str) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy(place)
+        return df.withColumns({"before": F.last("last_s", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
+                               "after": F.first("first_s", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))})
+
+    runs = occupied.groupBy(*by, "run").agg(F.min("first_s").alias("first_s"), F.max("last_s").alias("last_s"))
+    lane = [] if by else ["lane"]        # a recording without a key: one row per run of buckets, in one lane
+    outer = carried(runs.withColumn("lane", F.lit(0)), by + lane, "run").select(*by, "run", F.col("before").alias("before_run"), F.col("after").alias("after_run"))
+    edges = carried(occupied, [*by, "run"], "b").join(outer, [*by, "run"]).select(
+        *by, "b", F.coalesce("before", "before_run").alias("before"), F.coalesce("after", "after_run").alias("after"))
+    both = samples.unionByName(wanted)
+    prev = Window.partitionBy(*by, "b").orderBy("t", F.col("frame").isNotNull(), F.col("s.t").desc())
+    nxt = Window.partitionBy(*by, "b").orderBy(F.desc("t"), F.col("frame").isNotNull())
+    seen = both.select(*by, "b", "t", "frame", F.last("s", ignorenulls=True).over(prev).alias("p"),
                        F.last("s", ignorenulls=True).over(nxt).alias("n")).where("frame IS NOT NULL")
-    j = seen.join(edges, "b", "left")
+    j = seen.join(edges, [*by, "b"], "left")
     p, n = F.coalesce("p", "before"), F.coalesce("n", "after")
-    j = j.select("frame", "t", p.alias("p"), n.alias("n"))
+    j = j.select(*by, "frame", "t", p.alias("p"), n.alias("n"))
     use_prev = F.col("n").isNull() | (F.col("t") - F.col("p.t") <= F.col("n.t") - F.col("t"))
     picked = F.when(F.col("p").isNotNull() & use_prev, F.col("p")).otherwise(F.col("n"))
-    rest = [c for c in telemetry.columns if c != "t"]
-    return j.withColumn("m", picked).select("frame", F.col("t").alias("frame_t"), F.col("m.t").alias("t"),
+    rest = [c for c in telemetry.columns if c != "t" and c not in by]
+    return j.withColumn("m", picked).select(*by, "frame", F.col("t").alias("frame_t"), F.col("m.t").alias("t"),
                                             *[F.col(f"m.{c}").alias(c) for c in rest])

@@ -164,7 +164,8 @@ def select_spheres(df: DataFrame, centers: DataFrame, radius: float = 0.3, max_b
     """Select points within ``radius`` of any row of ``centers`` (x, y, z).
 
     Centres are spread to the 27 cells they can reach; each point looks up its
-    own cell once, and a semi join never multiplies points.
+    own cell once. A semi and an anti join split the cloud where it is: points are
+    never multiplied and never shuffled by id, and rows that share an id keep their own flag.
     """
     def cell(c: str) -> Column:
         return F.floor(F.col(c) / F.lit(float(radius)))
@@ -180,8 +181,8 @@ def select_spheres(df: DataFrame, centers: DataFrame, radius: float = 0.3, max_b
     d2 = sum(((F.col(c) - F.col("q" + c)) * (F.col(c) - F.col("q" + c)) for c in "yz"),
              (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")))
     cond = [keyed[c] == spread[c] for c in ("cx", "cy", "cz")] + [d2 <= F.lit(float(radius) * float(radius))]
-    hits = keyed.join(spread, cond, "left_semi").select("point_id").withColumn("hit", F.lit(True))
-    return _select(df.join(hits, "point_id", "left"), F.col("hit")).drop("hit")
+    hit, rest = (keyed.join(spread, cond, how).select(*df.columns, F.lit(flag).alias("hit")) for how, flag in (("left_semi", True), ("left_anti", False)))
+    return _select(hit.unionByName(rest), F.col("hit")).drop("hit")
 
 
 def _pick(df: DataFrame, picks: DataFrame, score: Column, ok: Column, max_px: float) -> DataFrame:

@@ -251,13 +251,13 @@ query("palette_hue", f"{U}, h AS (SELECT point_id, ((66e-2 - 83e-2 * t + 1) - fl
 
 
 @query("intensity_tint",
-       f"{P}, q AS (SELECT quantile_cont(intensity, 2e-2) lo, quantile_cont(intensity, 98e-2) hi FROM fx_points WHERE cloud_id <> 2), "
-       "t AS (SELECT point_id, x, least(greatest((intensity - lo) / (hi - lo), 0), 1) AS t FROM fx_points, q WHERE cloud_id <> 2) SELECT point_id, "
+       f"{P}, q AS (SELECT quantile_cont(intensity, 2e-2) lo, quantile_cont(intensity, 98e-2) hi FROM fx_points), "
+       "t AS (SELECT point_id, x, least(greatest((intensity - lo) / (hi - lo), 0), 1) AS t FROM fx_points, q) SELECT point_id, "
        + ", ".join(f"CAST(trunc(CASE WHEN x > 90 THEN {m} ELSE ({a} + {k} * t) * {b} END * 255e0) AS SMALLINT) AS {n}"
                    for n, m, a, k, b in (("red", "1e0", "2e-1", "8e-1", "1e0"), ("green", "15e-2", "4e-1", "6e-1", "9e-1"), ("blue", "15e-2", "6e-1", "4e-1", "8e-1")))
        + " FROM t")
 def intensity_tint(spark, sf):
-    df = points(spark, sf).where("cloud_id <> 2").withColumn("selected", F.col("x") > 90)
+    df = points(spark, sf).withColumn("selected", F.col("x") > 90)
     return G.intensity_tint(df, (1.0, 0.9, 0.8)).select("point_id", "red", "green", "blue")
 
 

@@ -138,25 +138,25 @@ def feature_registration(spark, sf):
 
 @query("registration_evaluation",
        f"{P}, k AS (SELECT *, CAST(floor(x / 3e0) AS BIGINT) gx, CAST(floor(y / 3e0) AS BIGINT) gy FROM fx_points), s AS (SELECT unnest([-1, 0, 1]) AS s), "
-       "w AS (SELECT x, y, z, gx + a.s AS gx, gy + b.s AS gy FROM k, s a, s b WHERE cloud_id = 1), "
+       "w AS (SELECT x, y, z, gx + a.s AS gx, gy + b.s AS gy FROM k, s a, s b WHERE cloud_id <> 0), "
        "src AS (SELECT point_id, x + 5e-1 AS x, y, z, CAST(floor((x + 5e-1) / 3e0) AS BIGINT) gx, CAST(floor(y / 3e0) AS BIGINT) gy FROM fx_points WHERE cloud_id = 0), "
        "pair AS (SELECT point_id, min((src.x - w.x) * (src.x - w.x) + (src.y - w.y) * (src.y - w.y) + (src.z - w.z) * (src.z - w.z)) AS d2 FROM src JOIN w USING (gx, gy) GROUP BY point_id), "
        "hit AS (SELECT d2 FROM pair WHERE d2 < 9), n AS (SELECT count(*) AS c FROM src) "
        f"SELECT count(*) AS n, {s6('count(*) / CAST(max(c) AS DOUBLE)', 'fitness')}, {s6('sqrt(avg(d2))', 'rmse')} FROM hit, n")
 def registration_evaluation(spark, sf):
     p = I.points(spark, sf)
-    e = IC.evaluate(p.where("cloud_id = 0"), p.where("cloud_id = 1"), 3.0, join4(np.eye(3), [0.5, 0.0, 0.0]))
+    e = IC.evaluate(p.where("cloud_id = 0"), p.where("cloud_id <> 0"), 3.0, join4(np.eye(3), [0.5, 0.0, 0.0]))
     return e.select("n", r6("fitness"), r6("rmse"))
 
 
 @query("icp_correspondences",
        f"{P}, k AS (SELECT *, CAST(floor(x / 3e0) AS BIGINT) gx, CAST(floor(y / 3e0) AS BIGINT) gy FROM fx_points), s AS (SELECT unnest([-1, 0, 1]) AS s), "
-       "w AS (SELECT point_id AS t_point_id, x, y, z, gx + a.s AS gx, gy + b.s AS gy FROM k, s a, s b WHERE cloud_id = 1), "
+       "w AS (SELECT point_id AS t_point_id, x, y, z, gx + a.s AS gx, gy + b.s AS gy FROM k, s a, s b WHERE cloud_id <> 0), "
        "pair AS (SELECT k.point_id, t_point_id, (k.x - w.x) * (k.x - w.x) + (k.y - w.y) * (k.y - w.y) + (k.z - w.z) * (k.z - w.z) AS d2 FROM k JOIN w USING (gx, gy) WHERE cloud_id = 0) "
        f"SELECT point_id, t_point_id, {s6('d2', 'd2')} FROM pair WHERE d2 < 9 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY pair.d2, t_point_id) = 1")
 def icp_correspondences(spark, sf):
     p = I.points(spark, sf)
-    return IC.correspondences(p.where("cloud_id = 0"), p.where("cloud_id = 1"), 3.0).select("point_id", "t_point_id", r6("d2"))
+    return IC.correspondences(p.where("cloud_id = 0"), p.where("cloud_id <> 0"), 3.0).select("point_id", "t_point_id", r6("d2"))
 
 
 @query("surface_normals",

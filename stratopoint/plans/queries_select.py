@@ -189,14 +189,13 @@ def percentile_crop(spark, sf):
 @query("robust_subset",
        f"{I.with_sql('fx_points', 'fx_cameras')}, q AS (SELECT quantile_cont(x, 1e-2) xl, quantile_cont(x, 99e-2) xh, "
        "quantile_cont(y, 1e-2) yl, quantile_cont(y, 99e-2) yh, quantile_cont(z, 1e-2) zl, quantile_cont(z, 99e-2) zh FROM fx_points), "
-       "m AS (SELECT quantile_cont(c_x, 5e-1) mx, quantile_cont(c_y, 5e-1) my FROM fx_cameras WHERE c_x < 20), "
-       "f AS (SELECT max(sqrt((c_x - mx) * (c_x - mx) + (c_y - my) * (c_y - my))) + 5 AS far FROM fx_cameras, m WHERE c_x < 20) "
+       "m AS (SELECT quantile_cont(c_x, 5e-1) mx, quantile_cont(c_y, 5e-1) my FROM fx_cameras), "
+       "f AS (SELECT max(sqrt((c_x - mx) * (c_x - mx) + (c_y - my) * (c_y - my))) - 60 AS far FROM fx_cameras, m) "
        "SELECT point_id FROM fx_points, q, m, f WHERE x BETWEEN xl AND xh AND y BETWEEN yl AND yh AND z BETWEEN zl AND zh "
        "AND sqrt((x - mx) * (x - mx) + (y - my) * (y - my)) < far")
 def robust_subset(spark, sf):
-    # a flight over one part of the site only, so that the distance test bites
-    cams = I.cameras(spark, sf).where("c.x < 20")
-    return X.robust_subset(I.points(spark, sf), cams, margin=5.0).select("point_id")
+    # a margin inside the flight, so that the distance test bites
+    return X.robust_subset(I.points(spark, sf), I.cameras(spark, sf), margin=-60.0).select("point_id")
 
 
 MED = ("m AS (SELECT quantile_cont(c_x, 5e-1) mx, quantile_cont(c_y, 5e-1) my, quantile_cont(c_z, 5e-1) mz FROM fx_cameras), "
@@ -235,10 +234,9 @@ def fixed_sample(spark, sf):
     return X.fixed_sample(I.points(spark, sf), 500, 7).select("point_id", r6("x"), r6("y"), r6("z"))
 
 
-@query("dense_ordinal", f"{P} SELECT point_id, row_number() OVER (ORDER BY z, point_id) - 1 AS ordinal FROM fx_points WHERE x > 0")
+@query("dense_ordinal", f"{P} SELECT point_id, row_number() OVER (ORDER BY z, point_id) - 1 AS ordinal FROM fx_points")
 def dense_ordinal(spark, sf):
-    df = I.points(spark, sf).where("x > 0")
-    return X.rerank(df, ["z", "point_id"], "ordinal").select("point_id", "ordinal")
+    return X.rerank(I.points(spark, sf), ["z", "point_id"], "ordinal").select("point_id", "ordinal")
 
 
 A = [[0.6, -0.8, 0.0], [0.8, 0.6, 0.0], [0.0, 0.0, 2.0]]
@@ -274,11 +272,11 @@ def rigid_euler(spark, sf):
 
 @query("yaw_about_centroid",
        f"{P}, s AS (SELECT * FROM fx_points WHERE cloud_id = 0), a AS (SELECT avg(x) ax, avg(y) ay, avg(z) az FROM s), "
-       "t AS (SELECT avg(x) bx, avg(y) by_, avg(z) bz FROM fx_points WHERE cloud_id = 1) "
+       "t AS (SELECT avg(x) bx, avg(y) by_, avg(z) bz FROM fx_points WHERE cloud_id <> 0) "
        f"SELECT point_id, {s6('-(y - ay) + bx', 'x')}, {s6('(x - ax) + by_', 'y')}, {s6('z - az + bz', 'z')} FROM s, a, t")
 def yaw_about_centroid(spark, sf):
     p = I.points(spark, sf)
-    src, tgt = p.where("cloud_id = 0"), p.where("cloud_id = 1")
+    src, tgt = p.where("cloud_id = 0"), p.where("cloud_id <> 0")
     return X.apply_matrix(src, X.yaw_about_centroid(src, tgt, 90.0)).select("point_id", r6("x"), r6("y"), r6("z"))
 
 
@@ -371,11 +369,11 @@ def measure(spark, sf):
     return X.measure(pairs).select("point_id", *[r6(c) for c in ("distance", "horizontal", "rise", "dx", "dy", "dz")])
 
 
-@query("point_grids", f"{P}, c AS (SELECT * FROM fx_points WHERE z > 8), i AS (SELECT unnest(range(5)) AS i) "
+@query("point_grids", f"{P}, c AS (SELECT * FROM fx_points), i AS (SELECT unnest(range(5)) AS i) "
        f"SELECT point_id AS center_id, CAST(u.i AS INT) AS iu, CAST(v.i AS INT) AS iv, {s6('u.i * 5e-1 - 1 + x', 'x')}, {s6('v.i * 5e-1 - 1 + y', 'y')} "
        "FROM c, i u, i v")
 def point_grids(spark, sf):
-    g = X.grids_at(I.points(spark, sf).where("z > 8"), 2.0, 0.5)
+    g = X.grids_at(I.points(spark, sf), 2.0, 0.5)
     return g.select("center_id", "iu", "iv", r6("x"), r6("y"))
 
 

@@ -210,12 +210,12 @@ NEAR = ("k AS (SELECT *, CAST(floor(x / {r}) AS BIGINT) gx, CAST(floor(y / {r})
 
 
 @query("nearest_colour_transfer",
-       f"{P}, {NEAR.format(r='25e-1', cond='w.cloud_id = 0 AND k.cloud_id = 1')}, best AS (SELECT q, p FROM pair WHERE d2 < 625e-2 "
+       f"{P}, {NEAR.format(r='25e-1', cond='w.cloud_id = 0 AND k.cloud_id <> 0')}, best AS (SELECT q, p FROM pair WHERE d2 < 625e-2 "
        "QUALIFY row_number() OVER (PARTITION BY q ORDER BY d2, p) = 1) SELECT a.point_id, CAST(coalesce(p % 256, 107) AS SMALLINT) AS red "
        "FROM fx_points a LEFT JOIN best ON q = a.point_id WHERE cloud_id = 0")
 def nearest_colour_transfer(spark, sf):
     p = I.points(spark, sf)
-    src = p.where("cloud_id = 1").withColumn("red", (F.col("point_id") % 256).cast("short"))
+    src = p.where("cloud_id <> 0").withColumn("red", (F.col("point_id") % 256).cast("short"))
     out = N.nn_transfer(p.where("cloud_id = 0"), src, ["red"], [107], 2.5)
     return out.select("point_id", F.col("red").cast("short").alias("red"))
 
@@ -282,7 +282,7 @@ def merge_clouds(spark, sf):
 
 @query("merge_clouds_with_intensity", f"{P} SELECT cloud_id AS slot, point_id, intensity FROM fx_points WHERE cloud_id <> 2")
 def merge_clouds_with_intensity(spark, sf):
-    slots = spark.createDataFrame([(0, 0, True), (1, 1, True)], "cloud_id int, slot int, visible boolean")
+    slots = spark.createDataFrame([(0, 0, True), (1, 1, True), (2, 2, False)], "cloud_id int, slot int, visible boolean")
     return E.merge_clouds(I.points(spark, sf), slots).select("slot", "point_id", "intensity")
 
 

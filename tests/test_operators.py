@@ -290,3 +290,49 @@ def test_gather_with_images_of_several_sizes(spark):
             h, w, _ = raster[cam].shape
             want = tuple(int(c) for c in raster[cam][min(max(int(v), 0), h - 1), min(max(int(u), 0), w - 1)])
         assert got[i] == want, (i, cam, u, v)
+
+
+def test_nearest_time_keeps_flights_apart(spark, monkeypatch):
+    """Many flights that all start at 0, gaps of hours, a flight without telemetry, and the same without a key."""
+    monkeypatch.setattr(G, "RUN", 3)
+    rng = np.random.default_rng(6)
+    tele = {f: np.sort(np.unique(np.concatenate([rng.uniform(0, 400, 40), rng.uniform(9000, 9100, 5)]).round(2))) for f in range(6)}
+    ask = {f: np.concatenate([rng.uniform(-50, 9500, 30), tele[f % 6][:3] if f < 6 else [1.0, 2.0, 3.0]]).round(2) for f in range(8)}
+    t = spark.createDataFrame([(f, float(v), float(v) * 10 + f) for f, ts in tele.items() for v in ts], "flight int, t double, value double")
+    q = spark.createDataFrame([(f, i, float(v)) for f, ts in ask.items() for i, v in enumerate(ts)], "flight int, frame long, t double")
+
+    def nearest(times, v):
+        d = np.abs(times - v)
+        return times[np.flatnonzero(np.isclose(d, d.min(), rtol=0, atol=1e-9))[0]]
+
+    got = {(r.flight, r.frame): (r.t, r.value) for r in G.nearest_time(q, t, 60.0, by=["flight"]).collect()}
+    assert len(got) == q.count()
+    for (f, i), (at, value) in got.items():
+        if f > 5:
+            assert at is None and value is None
+        else:
+            want = nearest(tele[f], ask[f][i])
+            assert abs(at - want) < 1e-9 and value == at * 10 + f
+    one = {r.frame: r.t for r in G.nearest_time(q.where("flight = 2"), t.where("flight = 2").drop("flight"), 60.0).collect()}
+    assert all(abs(v - nearest(tele[2], ask[2][i])) < 1e-9 for i, v in one.items()) and len(one) == 33
+
+
+def test_points_without_a_place_are_seen_by_no_camera(spark, sf):
+    from stratopoint.operators import colouring as C
+    from stratopoint.plans import inputs as I
+
+    pts, cams = I.points(spark, sf).select("point_id", "x", "y", "z"), I.cameras(spark, sf)
+    bad = spark.createDataFrame([(-1, float("nan"), 0.0, 0.0), (-2, 0.0, float("inf"), 0.0), (-3, None, 1.0, 1.0), (-4, 0.0, 0.0, float("nan"))], "point_id long, x double, y double, z double")
+    want = {r.point_id: (r.cam_id, r.rad) for r in C.best_camera(pts, cams).collect()}
+    got = {r.point_id: (r.cam_id, r.rad) for r in C.best_camera(pts.unionByName(bad), cams).collect()}
+    assert {i: v for i, v in got.items() if i >= 0} == want and all(got[i] == (None, None) for i in (-1, -2, -3, -4))
+
+
+def test_spheres_keep_rows_that_share_an_id_apart(spark):
+    from stratopoint.operators import select as S
+
+    df = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (1, 5.0, 0.0, 0.0), (2, 0.1, 0.0, 0.0), (2, 0.1, 0.0, 0.0)], "point_id long, x double, y double, z double")
+    centers = spark.createDataFrame([(0.05, 0.0, 0.0), (0.0, 0.0, 0.0)], "x double, y double, z double")
+    for broadcast in (200_000, 0):
+        got = sorted((r.point_id, r.x, r.selected) for r in S.select_spheres(df, centers, 0.3, broadcast).collect())
+        assert got == [(1, 0.0, True), (1, 5.0, False), (2, 0.1, True), (2, 0.1, True)]
