@@ -107,9 +107,10 @@ ent AS (SELECT 0 AS step, 0e0 AS lo, 1e0 AS hi, 1e0 AS a, x FROM x
                         >= {_MIX.entropy} * ln(len(x)) AS ok FROM ent) WHERE step < 41),
 rep AS (SELECT greatest(0e0, CASE WHEN list_max(x) > list_min(x) THEN 1 - ln({_MIX.max_repeats}) / (list_max(x) - list_min(x)) ELSE 0 END) AS a FROM x),
 alpha AS (SELECT greatest((SELECT lo FROM ent ORDER BY step DESC LIMIT 1), (SELECT a FROM rep)) AS a),
-w AS (SELECT source, total, greatest(round(exp(ln(total) * a) / (sum(exp(ln(total) * a)) OVER ()) * 1000000), 1)::HUGEINT AS millionths FROM t, alpha),
-b AS (SELECT *, max((total::HUGEINT * 1000000 + millionths - 1) // millionths) OVER () AS budget FROM w),
-q AS (SELECT source, total, (budget * millionths // 1000000)::BIGINT AS quota FROM b),
+fine AS (SELECT (10 ** greatest(6, ceil(4 - log10(min(exp(ln(total) * a)) / sum(exp(ln(total) * a))))))::HUGEINT AS fine FROM t, alpha),
+w AS (SELECT source, total, fine, round(exp(ln(total) * a) / (sum(exp(ln(total) * a)) OVER ()) * fine)::HUGEINT AS parts FROM t, alpha, fine),
+b AS (SELECT *, max((total::HUGEINT * fine + parts - 1) // parts) OVER () AS budget FROM w),
+q AS (SELECT source, total, (budget * parts // fine)::BIGINT AS quota FROM b),
 n AS (SELECT ((sum(quota) + {_MIX.block_tokens} - 1) // {_MIX.block_tokens})::BIGINT AS blocks FROM q),
 e AS (SELECT doc_id, source, n_tokens, total, quota, unnest(range(quota // total + 1)) AS epoch FROM d JOIN q USING (source)),
 h AS (SELECT *, ('0x' || substr(md5('{_MIX.seed}order/' || doc_id || '/' || epoch), 1, 8))::BIGINT AS draw,

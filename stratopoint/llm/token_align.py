@@ -79,7 +79,7 @@ class PlainEncoder(Encoder):
     def __init__(self, spec: str):
         super().__init__(spec)
         self.library.encode_special_tokens = True
-        self.units = common.UnitCache(500_000)
+        self.units = common.UnitCache(250_000)
 
     def _solve(self, units: list[str]) -> list[list[int]]:
         return [ids for at in range(0, len(units), 2000) for ids in super()._solve(units[at: at + 2000])]

@@ -159,3 +159,45 @@ def alignment(texts, tokens_a, tokens_b):
         best[b] = max(best.get(b, 0), n)
     return {key: (*shown[key][:2], len(found), len(found), sum(count[x] == best[x[1]] for x in found), sum(count[x] for x in found), shown[key][2])
             for key, found in links.items()}
+
+
+def letter_grams(text):
+    """Three-sign grams with a letter in them; 0 stands between words and around the text."""
+    signs = [0]
+    for c in (text or "").lower():
+        if c.isalpha():
+            signs.append(ord(c))
+        elif signs[-1]:
+            signs.append(0)
+    if signs[-1]:
+        signs.append(0)
+    return [g for g in zip(signs, signs[1:], signs[2:]) if any(g)]
+
+
+def language_bundle(text, vector, dimensions):
+    """The sum over all grams of the product of their letters' vectors, each turned by its distance from the end."""
+    out = [0] * dimensions
+    for g in letter_grams(text):
+        a, b, c = (vector(sign) for sign in g)
+        for i in range(dimensions):
+            out[i] += a[i - 2] * b[i - 1] * c[i]
+    return out
+
+
+def languages(texts, learned, vector, dimensions):
+    """{id: (language, cosine)} for {id: text}; ``learned``: {id: language} of the texts to learn from."""
+    bundles = {i: language_bundle(t, vector, dimensions) for i, t in texts.items()}
+    prototypes = {}
+    for i, lang in learned.items():
+        old = prototypes.get(lang, [0] * dimensions)
+        prototypes[lang] = [x + y for x, y in zip(old, bundles[i])]
+    norm = lambda v: math.sqrt(sum(x * x for x in v))
+    out = {}
+    for i, v in bundles.items():
+        if not letter_grams(texts[i]):
+            out[i] = ("und", 0.0)
+            continue
+        cosine = {k: sum(x * y for x, y in zip(v, p)) / ((norm(v) * norm(p)) or 1) for k, p in prototypes.items()}
+        best = max(sorted(cosine), key=cosine.get)
+        out[i] = (best, max(0.0, cosine[best]))
+    return out

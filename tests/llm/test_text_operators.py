@@ -160,3 +160,22 @@ def test_encode_and_decode_tables(spark):
     assert back == {i: t or "" for i, t in texts.items()}
     assert all(r.same for r in sentencepiece_codec.round_trip(table(spark, texts)).collect())
     assert sentencepiece_codec.encode(table(spark, texts).filter("false")).count() == 0
+
+
+def test_languages_equal_the_plain_version(spark, sf):
+    """Every vector, bundle and cosine in plain Python, on short texts, copies, repeated rows and texts without letters."""
+    docs = [(r.doc_id, r.text[:400], r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").filter("length(text) > 50").orderBy("doc_id").limit(60).collect()]
+    docs += [(9001, "", "en"), (9002, None, "de"), (9003, "12 .. !", "fr"), (9004, "Ünïcödé ÇA Straße", "de"), (9005, "a", None), (9006, "日本語 テキスト", "ja")]
+    dims, space = 64, language_id.Space(64)
+    texts, langs = {i: t for i, t, _ in docs}, {i: x for i, _, x in docs if x is not None and i % 4 != 2}
+    want = brute.languages(texts, langs, lambda sign: space._letter(sign).tolist(), dims)
+    df = spark.createDataFrame([*docs, docs[0], docs[0]], "doc_id long, text string, lang string").repartition(3)
+    model = language_id.train(df.dropDuplicates(["doc_id"]).filter("doc_id % 4 <> 2"), dims)
+    rows = language_id.predict(df, model).collect()
+    assert len(rows) == len(docs) + 2
+    close = 0
+    for r in rows:
+        lang, score = want[r.doc_id]
+        assert abs(r.score - score) < 1e-4, r.doc_id
+        close += r.lang_pred != lang
+    assert close == 0
