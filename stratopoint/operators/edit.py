@@ -95,18 +95,15 @@ def _apply(df: DataFrame, steps: tuple[Edit, ...]) -> DataFrame:
     return df
 
 
-def effective_steps(df: DataFrame, log: list[Edit], limit: int | None = HISTORY) -> tuple[Edit, ...]:
-    """Steps left after undo and redo.
-
-    A new change clears what could be redone, all changes (or the last ``limit``) can be
-    undone, and a delete that meets no point is no change (checked with a
-    one-row look at the cloud).
-    """
+def _walk(log: list[Edit], limit: int | None, met: dict[int, bool]) -> tuple[tuple[Edit, ...], list[tuple[int, tuple[Edit, ...]]]]:
+    """Steps left at the end of the log, and for every delete and brush the steps before it with what it would remove
+    selected. ``met`` tells by place in the log whether it removes anything; what is not known yet is taken as true."""
     done: tuple[Edit, ...] = ()
     undo: list[tuple[Edit, ...]] = []
     redo: list[tuple[Edit, ...]] = []
     pending: tuple[Edit, ...] = ()
-    for e in log:
+    asked = []
+    for i, e in enumerate(log):
         if e.op in SELECTIONS:
             pending = (*pending, e)
         elif e.op == "undo":
@@ -118,13 +115,87 @@ def effective_steps(df: DataFrame, log: list[Edit], limit: int | None = HISTORY)
                 undo.append(done)
                 done, pending = redo.pop(), ()
         else:
-            probe = (Edit("sphere", e.params),) if e.op == "brush" else pending
-            if e.op in ("delete", "brush") and not _apply(df, (*done, *probe)).where("selected").head(1):
-                continue
+            if e.op in ("delete", "brush"):
+                asked.append((i, (*done, *((Edit("sphere", e.params),) if e.op == "brush" else pending))))
+                if not met.get(i, True):
+                    continue
             undo = [*undo, done] if limit is None else [*undo, done][-limit:]
             redo.clear()
             done, pending = (*done, *(pending if e.op == "delete" else ()), e), ()
-    return (*done, *pending)
+    return (*done, *pending), asked
+
+
+def _shared(a: tuple, b: tuple) -> int:
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x is not y), min(len(a), len(b)))
+
+
+def _names(steps: tuple[Edit, ...]) -> tuple[int, ...]:
+    """Steps by identity: lists of one log share their steps, and parameters need no hash."""
+    return tuple(map(id, steps))
+
+
+def selects_any(df: DataFrame, asked: list[tuple[Edit, ...]]) -> list[bool]:
+    """Whether a point that is left is selected after each of the given step lists; one scan for all of them.
+
+    Points carry their place, whether they are left and whether they are selected through the steps. Where a list
+    leaves the one before it, as after an undo, the state at that fork is kept beside and taken up again."""
+    state = ["x", "y", "z", "_left", "selected"]
+    df = df.select("x", "y", "z", *(["visible"] if "visible" in df.columns else []), F.lit(True).alias("_left"), F.lit(False).alias("selected"))
+    forks = {_names(b[:_shared(a, b)]) for a, b in zip(asked, asked[1:])} | {()}
+    kept: dict[tuple[int, ...], int] = {}
+    here: tuple[int, ...] = ()
+
+    def keep(df: DataFrame) -> DataFrame:
+        if here not in forks or here in kept:
+            return df
+        kept[here] = len(kept)
+        return df.withColumns({f"{c}_{kept[here]}": F.col(c) for c in state})
+
+    df = keep(df)
+    for n, steps in enumerate(asked):
+        path = _names(steps)
+        if path[:len(here)] != here:
+            here = max((k for k in kept if path[:len(k)] == k), key=len)
+            df = df.withColumns({c: F.col(f"{c}_{kept[here]}") for c in state})
+        for e in steps[len(here):]:
+            if e.op in SELECTIONS:
+                df = df.withColumn("selected", _mask(e, F.col("selected")) & visible(df))
+            elif e.op == "move":
+                df = apply_affine(df, *e.params).withColumn("selected", F.lit(False))
+            elif e.op in ("delete", "brush"):
+                gone = F.col("selected") if e.op == "delete" else sphere_mask(*e.params) & visible(df)
+                df = df.withColumns({"_left": F.coalesce(F.col("_left") & ~gone, F.lit(False)), "selected": F.lit(False)})
+            else:
+                raise ValueError(f"unknown edit {e.op!r}")
+            here = (*here, id(e))
+            df = keep(df)
+        df = df.withColumn(f"met_{n}", F.col("_left") & F.col("selected"))
+    return list(df.agg(*[F.coalesce(F.bool_or(f"met_{n}"), F.lit(False)) for n in range(len(asked))]).first()) if asked else []
+
+
+def effective_steps(df: DataFrame, log: list[Edit], limit: int | None = HISTORY) -> tuple[Edit, ...]:
+    """Steps left after undo and redo.
+
+    A new change clears what could be redone, all changes (or the last ``limit``) can be
+    undone, and a delete that meets no point is no change. One scan of the cloud answers that for all deletes of the
+    log, on the guess that each meets a point. An empty delete changes no point, so the answers up to the next undo or
+    redo (or up to an empty brush, which leaves a selection standing) hold even where the guess was wrong; only
+    what comes after is asked again.
+    """
+    met: dict[int, bool] = {}
+    turns = [i for i, e in enumerate(log) if e.op in ("undo", "redo")]
+    while True:
+        steps, asked = _walk(log, limit, met)
+        open_ = [(i, s) for i, s in asked if i not in met]
+        if not open_:
+            return steps
+        holds = len(log)                # answers for places up to here are sure
+        for (i, _), found in zip(open_, selects_any(df, [s for _, s in open_])):
+            if i > holds:
+                break
+            met[i] = found
+            if not found:
+                holds = min(holds, i if log[i].op == "brush" else next((t for t in turns if t > i), len(log)))
 
 
 def replay(df: DataFrame, log: list[Edit], limit: int | None = HISTORY) -> DataFrame:

@@ -336,3 +336,59 @@ def test_spheres_keep_rows_that_share_an_id_apart(spark):
     for broadcast in (200_000, 0):
         got = sorted((r.point_id, r.x, r.selected) for r in S.select_spheres(df, centers, 0.3, broadcast).collect())
         assert got == [(1, 0.0, True), (1, 5.0, False), (2, 0.1, True), (2, 0.1, True)]
+
+
+def plain_replay(points, log, limit=None):
+    """The editor's history on plain sets of points: the steps that count, and the points left with their selection."""
+    import copy
+
+    state, undo, redo = {i: (p, False) for i, p in enumerate(points)}, [], []
+
+    def inside(p, q):
+        return sum((a - b) ** 2 for a, b in zip(p, q[0])) <= q[1] ** 2
+
+    for op, q in log:
+        if op == "sphere":
+            state = {i: (p, inside(p, q)) for i, (p, _) in state.items()}
+        elif op == "invert":
+            state = {i: (p, not s) for i, (p, s) in state.items()}
+        elif op in ("undo", "redo"):
+            take, give = (undo, redo) if op == "undo" else (redo, undo)
+            if take:
+                give.append({i: (p, False) for i, (p, _) in state.items()})
+                state = take.pop()
+        else:
+            gone = {i for i, (p, s) in state.items() if (s if op == "delete" else op == "brush" and inside(p, q))}
+            if op != "move" and not gone:
+                continue
+            undo = [*undo, {i: (p, False) for i, (p, _) in copy.copy(state).items()}]
+            undo = undo if limit is None else undo[-limit:]
+            redo.clear()
+            state = {i: (tuple(a + b for a, b in zip(p, q[1])) if op == "move" else p, False) for i, (p, _) in state.items() if i not in gone}
+    return state
+
+
+@pytest.mark.parametrize("seed,limit", [(0, None), (1, 2), (2, None), (3, 3), (4, None)])
+def test_an_edit_log_equals_the_plain_history(spark, seed, limit):
+    """Random logs in which many deletes and brushes meet nothing, with undo and redo between them."""
+    import random
+
+    rng, eye = random.Random(seed), ((1.0, 0, 0), (0, 1.0, 0), (0, 0, 1.0))
+    points = [(float(rng.randint(0, 9)), float(rng.randint(0, 9)), 0.0) for _ in range(60)]
+    log = []
+    for _ in range(24):
+        place = ((float(rng.randint(0, 12)), float(rng.randint(0, 12)), 0.0), rng.choice([0.5, 1.0, 2.5]))
+        op = rng.choice(["sphere", "sphere", "delete", "delete", "brush", "undo", "undo", "redo", "invert", "move"])
+        log += [(op, place)] if op in ("sphere", "brush") else [("move", (eye, (1.0, -1.0, 0.0)))] if op == "move" else [("sphere", place), ("delete", ())] if op == "delete" else [(op, ())]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "point_id long, x double, y double, z double").repartition(2)
+    got = {r.point_id: ((r.x, r.y, r.z), r.selected) for r in E.replay(df, [E.Edit(*e) for e in log], limit).collect()}
+    assert got == plain_replay(points, log, limit)
+
+
+def test_one_scan_answers_all_deletes(spark, monkeypatch):
+    df = spark.range(40).selectExpr("id as point_id", "double(id) as x", "0D as y", "0D as z")
+    log = [E.Edit(op, q) for k in range(12) for op, q in (("sphere", ((3.0 * k, 0.0, 0.0), 0.6)), ("delete", ()), ("undo", ()), ("sphere", ((3.0 * k + 1, 0.0, 0.0), 0.6)), ("delete", ()))]
+    calls, real = [], E.selects_any
+    monkeypatch.setattr(E, "selects_any", lambda d, a: calls.append(len(a)) or real(d, a))
+    assert sorted(r.point_id for r in E.replay(df, log).collect()) == [i for i in range(40) if i % 3 != 1 or i > 34]
+    assert calls == [24]
