@@ -209,7 +209,7 @@ class Leaves:
         last = rank == k
         bound[row[last]] = np.minimum(bound[row[last]], d2[last])
         offset = {o: self.points[c][col] - q[c][row] for o, c in zip(OFFSET, XYZ)}
-        return {"eid": q["eid"][row], "copies": q["copies"][row], "rank": rank, "neighbour": self.points["eid"][col], "d2": d2, "row": row, **offset}, bound
+        return {"eid": q["eid"][row], "copies": q["copies"][row], "rank": rank, "neighbour": self.points["eid"][col], "d2": d2, "row": row, "col": col, **offset}, bound
 
     def within(self, q: Columns, limit: float) -> np.ndarray:
         """Points in the closed ball of every query of a unit; leaves wholly inside all balls are not opened."""
