@@ -94,17 +94,24 @@ def entries(df: DataFrame, keep: int = 1) -> DataFrame:
     return whole.where("n = 1").unionByName(lowest.select("eid", *XYZ, F.lit(1).cast("long").alias("n"), F.when(F.col("rn") == 1, F.col("copies")).alias("copies")))
 
 
-# Ranks between which an axis is divided evenly: sixty-fourths, and ever smaller shares towards both ends, so that
-# a few points far away, or a dense spot, take as much of the curve as they have points and not as they have room.
-RANKS = sorted({k / 64 for k in range(65)} | {2.0 ** -k for k in range(7, 15)} | {1 - 2.0 ** -k for k in range(7, 15)})
+# Order statistics of an axis: one scale in length between the outer two of all axes, so that cells are cubes and a flat
+# cloud is not cut into sheets; beyond them by rank, so that a few points far away take a margin and not the whole curve.
+BULK, MARGIN = 2.0 ** -9, 1 / 64
+TAIL = [0.0, *(2.0 ** -k for k in range(14, 9, -1)), BULK]
+RANKS = [*TAIL, *(1 - r for r in reversed(TAIL))]
 
 
 def along_curve(ent: DataFrame) -> DataFrame:
-    """Add ``curve``, the place on a Z-order curve over order statistics of each axis."""
+    """Add ``curve``, the place on a Z-order curve through cubes, its margins over order statistics of each axis."""
     marks = {}
-    for c, q in zip(XYZ, ent.approxQuantile(list(XYZ), RANKS, 1e-4)):
-        values, last = np.unique(np.array(q), return_index=True)
-        marks[c] = (values, np.array(RANKS)[last] if len(values) > 1 else np.zeros(1))
+    at = np.array(ent.approxQuantile(list(XYZ), RANKS, 1e-4))
+    inner = at[:, [len(TAIL) - 1, len(TAIL)]]
+    length = max(float((inner[:, 1] - inner[:, 0]).max()), 1e-300)
+    for c, q, (low, high) in zip(XYZ, at, inner):
+        tail = MARGIN * np.array(TAIL) / BULK
+        place = np.concatenate([tail, MARGIN + (high - low) / length * (1 - 2 * MARGIN) + MARGIN - tail[::-1]])
+        values, last = np.unique(q, return_index=True)
+        marks[c] = (values, place[last])
 
     def run(batches):
         for batch in batches:

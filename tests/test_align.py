@@ -71,12 +71,39 @@ def test_icp_recovers_motion(spark, kind):
     assert e["fitness"] == 1.0 and e["rmse"] < 1e-9
 
 
-def test_crowded_target_uses_tree(spark, monkeypatch):
+def test_correspondences_equal_brute_force(spark):
     tgt = blob(spark, 200)
-    want = {tuple(r) for r in IC.correspondences(tgt, tgt, 1.0).select("point_id", "t_point_id").collect()}
-    monkeypatch.setattr(IC, "CELL_LIMIT", 0)
-    got = {tuple(r) for r in IC.correspondences(tgt, tgt, 1.0).select("point_id", "t_point_id").collect()}
-    assert got == want and len(got) == tgt.count()
+    got = {(r["point_id"], r["t_point_id"]) for r in IC.correspondences(tgt, tgt, 1.0).collect()}
+    assert got == {(i, i) for i in range(tgt.count())}
+
+
+def test_kept_matches_equal_brute_force_at_every_step(spark, monkeypatch):
+    """Half of both clouds crowds in one spot, one point is far off, ids repeat, one row has no place."""
+    import pandas as pd
+
+    from stratopoint.operators import matching as MT
+
+    monkeypatch.setattr(MT, "TARGET_PART", 64)
+    rng = np.random.default_rng(5)
+    t = np.concatenate([rng.random((200, 3)) * [20, 20, 2], 5 + rng.random((200, 3)) * 0.3, [[1e6, 0, 0]]])
+    s = np.concatenate([rng.random((150, 3)) * [20, 20, 2], 5 + rng.random((150, 3)) * 0.3, [[-1e6, 0, 0]]])
+
+    def table(p, extra=()):
+        return spark.createDataFrame(pd.DataFrame([[i % 7 if extra else i, *v] for i, v in enumerate([*p, *extra])], columns=["point_id", "x", "y", "z"]))
+
+    m = MT.Matches(table(s, [[np.nan, 0.0, 0.0]]), MT.Target(table(t)))
+    shifts = [[0, 0, 0], [0.02, 0, 0], [0.03, 0.01, 0], [0.03, 0.0101, 0], [0.5, 0.2, 0.1], [0.5, 0.2001, 0.1]]
+    for radius in (1.0, 0.4):
+        for shift in shifts:
+            poses = {k: la.join4(la.rot_z(0.3 * k), shift) for k in (0, 1)}
+            got = m.sums(poses, radius, "point")
+            for k, pose in poses.items():
+                d2 = (((s @ pose[:3, :3].T + pose[:3, 3])[:, None] - t) ** 2).sum(2)
+                near = d2.min(1)
+                hit = near < radius * radius
+                assert got[k]["n"] == hit.sum() and np.isclose(got[k]["d2"], near[hit].sum())
+                assert np.allclose([got[k]["t" + c] for c in "xyz"], t[d2.argmin(1)][hit].sum(0))
+    assert m.searched < 2 * len(shifts)
 
 
 def test_normals_of_plane(spark):
