@@ -7,14 +7,14 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linear import rot_z
 from ..functions.literals import constant_rows
 from ..session import cut
-from .grid import DsmGrid, dsm, dsm_quality, height_raster, top_angles
+from .correlate import Windows, bulks, layout
+from .grid import DsmGrid, dsm, dsm_quality, top_angles
 from .percentiles import quantiles
 
 BROADCAST_CELLS = 2_000_000
@@ -65,75 +65,28 @@ def dsm_score(model: DataFrame, target: DataFrame, poses: Sequence[Pose], sigma:
     return model.sparkSession.createDataFrame(list(enumerate(s)), "pose int, score double")
 
 
-def _centre(model: DataFrame) -> tuple[float, float]:
-    q = quantiles(model, {"x": [0.5], "y": [0.5]})
-    return q["x"][0], q["y"][0]
-
-
-def yaw_scores(model: DataFrame, spectrum, centre: tuple[float, float], angles: Sequence[float], res: float, n: int) -> DataFrame:
-    """angle, score and the circular shift (px, py) with which the turned model's raster fits the target's best.
-
-    One aggregation builds the rasters of all angles; a group handed to the transform is one raster of n x n cells.
-    """
-    turns = constant_rows([{"angle": float(a), "c": math.cos(math.radians(a)), "s": math.sin(math.radians(a))} for a in angles],
-                          "angle: double, c: double, s: double")
-    df = model.select("x", "y", "z", F.explode(turns).alias("t"))
-    dx, dy = F.col("x") - F.lit(centre[0]), F.col("y") - F.lit(centre[1])
-    turned = df.select(F.col("t.angle").alias("angle"), (F.col("t.c") * dx - F.col("t.s") * dy).alias("x"),
-                       (F.col("t.s") * dx + F.col("t.c") * dy).alias("y"), "z")
-
-    def correlate(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-        product = spectrum.value * np.conj(np.fft.rfft2(_raster(cells, n)))
-        fit = pd.Series(np.fft.irfft2(product, s=(n, n)).ravel())
-        return pd.DataFrame({"angle": [key[0]], "score": [float(fit.max())], "cell": [int(fit.idxmax())]})
-
-    half = n // 2 - 1
-    wrapped = [(F.pmod(c + F.lit(half), F.lit(n)) - F.lit(half)).cast("int") for c in (F.col("cell") % n, F.floor(F.col("cell") / n))]
-    best = height_raster(turned, 0.0, 0.0, res, n, by=["angle"]).groupBy("angle").applyInPandas(correlate, "angle double, score double, cell long")
-    return best.select("angle", "score", wrapped[0].alias("px"), wrapped[1].alias("py"))
-
-
-def _raster(cells: pd.DataFrame, n: int) -> np.ndarray:
-    out = np.zeros(n * n, np.float32)
-    out[(cells["iy"] * n + cells["ix"]).to_numpy()] = cells["value"].to_numpy()
-    return out.reshape(n, n)
-
-
-def window_cells(target: DataFrame, middle: tuple[float, float], model: DataFrame, centre: tuple[float, float], res: float, most: int = 8192) -> int:
-    """Cells per side of a square raster that holds the target about ``middle`` and the model about ``centre`` at any turn.
-
-    A power of two; raises where it would exceed ``most``, since a raster is the unit of one task."""
-    def reach(df: DataFrame, at: tuple[float, float]) -> float:
-        return df.agg(F.max(F.hypot(F.col("x") - F.lit(at[0]), F.col("y") - F.lit(at[1])))).first()[0] or 0.0
-
-    n = 1 << max(4, math.ceil(math.log2(2 * (max(reach(target, middle), reach(model, centre)) / res + 2))))
-    if n > most:
-        raise ValueError(f"{n} cells of {res} m per side are more than {most}: choose a coarser res or remove stray points")
-    return n
-
-
 def coarse_yaw(model: DataFrame, target: DataFrame, res: float = 0.5, n: int | None = None, step: float = 2.0, fine: float = 0.25) -> dict:
     """Turn and plan shift by correlating height rasters over the full circle, then in quarter degrees around the best.
 
-    ``n`` cells per side; by default as many as both clouds need, so nothing is cut off. ``second`` is the best
-    score more than ten degrees from the winner.
+    ``n`` cuts both rasters to n x n cells about the middle of either cloud, with shifts that wrap around; by default
+    nothing but stray points is cut off and all shifts are tried. ``second`` is the best score more than ten
+    degrees from the winner.
     """
-    mean = target.agg(F.avg("x").alias("x"), F.avg("y").alias("y")).first()
-    middle = (mean["x"], mean["y"])
     model = cut(model.select("x", "y", "z"))
-    centre = _centre(model)
-    n = n or window_cells(target, middle, model, centre, res)
-    cells = height_raster(target, *middle, res, n).toPandas()                 # n * n rows at most
-    spectrum = model.sparkSession.sparkContext.broadcast(np.fft.rfft2(_raster(cells, n)))
+    held, aim = bulks(model, target)
+    model, target = held.rows(model), aim.rows(target)
+    plan = layout(res, model, held.at, target, n)
+    windows = Windows(target, plan)
+    middle = plan.target.at
 
-    circle = cut(yaw_scores(model, spectrum, centre, np.arange(0.0, 360.0, step), res, n))
+    circle = cut(windows.best(model, np.arange(0.0, 360.0, step)))
     top = top_angles(circle)[0].collect()
     around = [top[0]["angle"] + k * fine for k in range(1 - round(step / fine), round(step / fine)) if k]
-    close = yaw_scores(model, spectrum, centre, around, res, n) if around else circle.limit(0)
+    close = windows.best(model, around) if around else circle.limit(0)
     won = circle.union(close).agg(F.max_by(F.struct("*"), F.struct("score", -F.abs(F.col("angle") - F.lit(top[0]["angle"])), -F.col("angle")))).first()[0]
     second = top_angles(circle, winner=won["angle"])[1].first()["second"]
     turn = rot_z(math.radians(won["angle"]))
-    moved = turn @ np.array([*centre, 0.0])
+    moved = turn @ np.array([*held.at, 0.0])
     return {"yaw": math.radians(won["angle"]), "tx": float(middle[0] + res * won["px"] - moved[0]), "ty": float(middle[1] + res * won["py"] - moved[1]),
             "score": won["score"], "second": second, "ratio": won["score"] / second if second > 0 else math.inf,
             "top": [(r["angle"], r["score"]) for r in top]}
