@@ -200,7 +200,7 @@ def blocks(df: DataFrame, side: Side, res: float, angles: Sequence[float]) -> Da
         if key:
             yield block(key, dense)
 
-    return _dealt(df.select("x", "y", "z").mapInArrow(parts, BLOCKS), BLOCK_KEY[:], BLOCK_KEY).mapInArrow(merged, BLOCKS)
+    return _dealt(df.select("x", "y", "z").mapInArrow(parts, BLOCKS), BLOCK_KEY, BLOCK_KEY).mapInArrow(merged, BLOCKS)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -210,8 +210,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _dealt(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(count, *by).sortWithinPartitions(*order)
+    return df.repartition(*by).sortWithinPartitions(*order)
 
 
 def _spread(table: DataFrame) -> DataFrame:
