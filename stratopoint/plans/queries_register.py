@@ -380,6 +380,17 @@ def model_text_round_trip(spark, sf):
     return TX.read_model(spark, folder)[0].select("cam_id", "name", *[r6(F.col(f"c.{a}"), "c" + a) for a in "xyz"])
 
 
+@query("stage_tables_reused", f"{P} SELECT cloud_id, count(*) AS n, {s6('min(x)', 'lo')}, {s6('max(z)', 'hi')} FROM fx_points GROUP BY cloud_id")
+def stage_tables_reused(spark, sf):
+    """A second run over the same folder reads both stages: what it would build now, an empty cloud, is never written."""
+    work, cloud = shared_folder(spark, "stages"), I.points(spark, sf)
+    for source in (cloud, cloud.where("false")):
+        kept = TX.stage(spark, work, "cloud", lambda source=source: source)
+        out = TX.stage(spark, work, "extents", lambda kept=kept: kept.groupBy("cloud_id").agg(
+            F.count(F.lit(1)).alias("n"), r6(F.min("x"), "lo"), r6(F.max("z"), "hi")))
+    return out
+
+
 @query("geotag_json_round_trip", f"{I.with_sql('fx_geotags')} SELECT name, round(lat, 6) AS lat, round(lon, 6) AS lon, rel_alt FROM fx_geotags")
 def geotag_json_round_trip(spark, sf):
     lines = TX.geotag_json(I.derived(spark, sf, "fx_geotags"))
